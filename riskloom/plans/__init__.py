@@ -1,5 +1,7 @@
 """Registered queries and the SQL they are checked against."""
 
 from riskloom.plans import base  # noqa: F401
-from riskloom.plans import backtests, panel_queries, sources_queries  # noqa: F401
+from riskloom.plans import (  # noqa: F401  isort: skip
+    panel_queries, backtests, risk_queries, portfolio_queries, sources_queries,
+)
 from riskloom.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -29,8 +29,8 @@ def weight_arrays(weights: DataFrame, universe: Column) -> DataFrame:
     building the portfolio x asset grid as rows.
     """
     packed = weights.groupBy("portfolio_id").agg(F.map_from_entries(F.collect_list(F.struct("asset", "w"))).alias("m"))
-    filled = F.transform(universe, lambda a: F.coalesce(F.try_element_at(F.col("m"), a), F.lit(0.0)))
-    return packed.select("portfolio_id", universe.alias("assets"), filled.alias("w"))
+    filled = F.transform("assets", lambda a: F.coalesce(F.try_element_at(F.col("m"), a), F.lit(0.0)))
+    return packed.withColumn("assets", universe).select("portfolio_id", "assets", filled.alias("w"))
 
 
 def align_to_universe(weights: DataFrame, universe: Column, tolerance: float = 1e-9) -> DataFrame:
