@@ -21,7 +21,7 @@ from riskloom.functions.columns import (
 )
 from riskloom.functions.constants import TRADING_DAYS
 from riskloom.functions.periods import period_key
-from riskloom.session import MAX_INLINE_CELLS
+from riskloom.session import MAX_INLINE_CELLS, spread
 from riskloom.sources.portfolios import universe_array, weight_arrays
 
 SALTS = 64
@@ -117,7 +117,7 @@ def evaluate(
                         cols.insert(1, pa.array([name] * len(part), type=pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, names=[*keys, "n", *STATISTICS])
 
-    arrays = weight_arrays(weights, universe_array(rets)).select("portfolio_id", "w")
+    arrays = weight_arrays(spread(weights, "portfolio_id"), universe_array(rets)).select("portfolio_id", "w")
     id_type = arrays.schema["portfolio_id"].dataType.simpleString()
     schema = ", ".join([f"portfolio_id {id_type}"] + (["slice string"] if slice_type else []) + ["n int"] + [f"{c} double" for c in STATISTICS])
     return arrays.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import ratio
 from riskloom.functions.constants import TRADING_DAYS
+from riskloom.session import spread
 
 
 def by_asset():
@@ -68,7 +69,7 @@ def window_arrays(rets: DataFrame, window: int, step: int = 1, lag: int = 0, val
     f = rows(window, lag)
     out = rets.withColumn("rn", F.row_number().over(by_asset())).withColumn("w", F.collect_list(value).over(f))
     out = out.filter((F.size("w") == window) & ((F.col("rn") - window - lag) % step == 0))
-    return out.select("asset", "date", F.col(value).alias("current"), "w").repartition("asset", "date")
+    return spread(out.select("asset", "date", F.col(value).alias("current"), "w"), "asset", "date")
 
 
 def ewma_next_variance(w: Column, lam: float) -> Column:

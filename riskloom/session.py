@@ -45,3 +45,14 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition by ``columns`` into the session's full task count.
+
+    For rows that are few in bytes but costly to process, which adaptive
+    coalescing would otherwise pack into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)

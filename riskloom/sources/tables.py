@@ -57,7 +57,8 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
 
     The order join shuffles on the order key, where adaptive execution splits a
     skewed partition; spend is then summed on the map side before it is
-    exchanged by customer.
+    exchanged by customer.  The table is written once, since portfolio jobs
+    read it several times and must not repeat the join of the trades.
     """
     spend = (
         read(spark, sf, "lineitem").select("l_orderkey", asset_name().alias("asset"), "l_extendedprice")
