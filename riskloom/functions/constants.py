@@ -7,6 +7,7 @@ and enters the plan as literals, so no per-row special function is needed.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 _STD = NormalDist()
@@ -25,21 +26,40 @@ def t_pdf(x: float, df: float) -> float:
     return math.exp(log_norm - (df + 1) / 2 * math.log1p(x * x / df))
 
 
-def t_upper_tail(x: float, df: float) -> float:
-    """P(T > x) for x >= 0 by Simpson's rule on the angle substitution."""
-    # T = sqrt(df) tan(a) turns the tail into an integral of cos^(df-1) over [a0, pi/2].
-    lo, hi, steps = math.atan(x / math.sqrt(df)), math.pi / 2, 2000
-    h = (hi - lo) / steps
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + num * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return h
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0.0 or x >= 1.0:
+        return 0.0 if x <= 0.0 else 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
-    def f(a: float) -> float:
-        return max(math.cos(a), 0.0) ** (df - 1)
 
-    total = f(lo) + f(hi)
-    total += sum((4 if k % 2 else 2) * f(lo + k * h) for k in range(1, steps))
-    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return norm * total * h / 3
+def t_upper_tail(x: float, df: float) -> float:
+    """P(T > x) for x >= 0."""
+    return 0.5 * incomplete_beta(df / 2, 0.5, df / (df + x * x))
 
 
+@lru_cache(maxsize=None)
 def t_quantile(p: float, df: float) -> float:
     """Student-t quantile by bisection on the upper tail."""
     if p == 0.5:
