@@ -64,9 +64,9 @@ for grain in ("week", "day"):
 
 cte("ohlcv", """
     SELECT 'A' || CAST(l_suppkey % 10 AS VARCHAR) AS asset, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
-           arg_min(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS open,
+           arg_min(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS open,
            max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-           arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume
+           arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS close, sum(l_quantity) AS volume
     FROM lineitem GROUP BY 1, 2""")
 cte("spend", """
     SELECT o_custkey AS portfolio_id, 'A' || CAST(l_suppkey % 10 AS VARCHAR) AS asset, sum(l_extendedprice) AS spend

@@ -44,7 +44,7 @@ def prices(spark: SparkSession, sf: str, grain: str = "week") -> DataFrame:
 def ohlcv(spark: SparkSession, sf: str, grain: str = "week") -> DataFrame:
     """(asset, date, open, high, low, close, volume) from unit prices within the period."""
     li = read(spark, sf, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     panel = li.groupBy(asset_name().alias("asset"), price_date(grain).alias("date")).agg(
         F.min_by("unit", order).alias("open"), F.max("unit").alias("high"), F.min("unit").alias("low"),
         F.max_by("unit", order).alias("close"), F.sum("l_quantity").alias("volume"),
