@@ -88,16 +88,16 @@ def evaluate(
     ``rets`` must be aligned (every date complete); weights outside the universe
     are dropped and missing ones are 0.
     """
-    cells, n_assets = panel_shape(rets)
     keys = ["portfolio_id"] + (["slice"] if slice_type else [])
-    if cells > max_cells:
-        return path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
     slice_of = period_key(F.col("date"), slice_type) if slice_type else F.lit("")
-    days = _rows_by_date(rets).select("date", slice_of.alias("slice"), "r").orderBy("date").collect()  # at most max_cells values
-    panel = np.array([d["r"] for d in days], dtype=float).reshape(len(days), n_assets)
-    labels = [d["slice"] for d in days]
-    names = sorted(set(labels))
-    blocks = {s: np.flatnonzero([x == s for x in labels]) for s in names}
+    cells = rets.select("date", slice_of.alias("slice"), "asset", "r").limit(max_cells + 1).toPandas()  # never more than the limit
+    if len(cells) > max_cells:
+        return path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
+    wide = cells.sort_values(["date", "asset"])
+    universe = sorted(cells["asset"].unique())
+    panel = wide["r"].to_numpy(dtype=float).reshape(-1, len(universe))
+    labels = wide["slice"].to_numpy()[:: len(universe)]
+    blocks = {str(s): np.flatnonzero(labels == s) for s in sorted(set(labels))}
     spark = weights.sparkSession
     shared = spark.sparkContext.broadcast((panel, blocks))
 
@@ -117,7 +117,8 @@ def evaluate(
                         cols.insert(1, pa.array([name] * len(part), type=pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, names=[*keys, "n", *STATISTICS])
 
-    arrays = weight_arrays(spread(weights, "portfolio_id"), universe_array(rets)).select("portfolio_id", "w")
+    names = F.array(*[F.lit(a) for a in universe])
+    arrays = weight_arrays(spread(weights, "portfolio_id"), names).select("portfolio_id", "w")
     id_type = arrays.schema["portfolio_id"].dataType.simpleString()
     schema = ", ".join([f"portfolio_id {id_type}"] + (["slice string"] if slice_type else []) + ["n int"] + [f"{c} double" for c in STATISTICS])
     return arrays.mapInArrow(run, schema)
@@ -290,16 +291,25 @@ def covariance_matrix(cov: DataFrame, value: str = "cov") -> Column:
 def ex_ante(weights: DataFrame, mu: DataFrame, cov: DataFrame, risk_free: float = 0.0) -> DataFrame:
     """Expected return, variance, volatility and Sharpe ratio of every portfolio.
 
-    For a small universe (checked) mean vector and covariance matrix are scalars
-    of the plan and each portfolio is one row, so scoring needs no join.
+    For a small universe (checked) means and covariances enter the plan as
+    literals and each portfolio is one row, so scoring needs no join.
     """
-    n_assets = mu.count()
-    if n_assets > MAX_UNROLLED:
+    cells = cov.select("i", "j", "cov").limit(MAX_UNROLLED * MAX_UNROLLED + 1).collect()
+    means = {r["asset"]: r["mu"] for r in mu.select("asset", "mu").limit(MAX_UNROLLED + 1).collect()}
+    if len(means) > MAX_UNROLLED or len(cells) > MAX_UNROLLED * MAX_UNROLLED:
         return _ex_ante_by_join(weights, mu, cov, risk_free)
-    means = mu.agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "mu"))), lambda x: x["mu"]).alias("m")).scalar()
-    arrays = weight_arrays(weights, universe_array(mu)).withColumns({"mu": means, "sigma": covariance_matrix(cov)})
-    out = arrays.select("portfolio_id", weighted_sum("w", "mu", n_assets).alias("expected_return"), quadratic_form("w", "sigma", n_assets).alias("variance"))
-    return _with_sharpe(out, risk_free)
+    names = sorted(means)
+    s = {(r["i"], r["j"]): r["cov"] for r in cells}
+    arrays = weight_arrays(weights, F.array(*[F.lit(a) for a in names]))
+    split = arrays.select("portfolio_id", *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(len(names))])
+    exp, var = F.lit(0.0), F.lit(0.0)
+    for i, a in enumerate(names):
+        exp = exp + F.col(f"w{i}") * means[a]
+        row = F.col(f"w{i}") * s[(a, a)]
+        for j in range(i + 1, len(names)):
+            row = row + F.col(f"w{j}") * (2.0 * s[(a, names[j])])
+        var = var + F.col(f"w{i}") * row
+    return _with_sharpe(split.select("portfolio_id", exp.alias("expected_return"), var.alias("variance")), risk_free)
 
 
 def quadratic_form(w: str, matrix: str, n: int) -> Column:

@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import materialise
@@ -66,8 +66,8 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("portfolio_id"), "asset")
         .agg(F.sum("l_extendedprice").alias("spend"))
     )
-    total = spend.groupBy("portfolio_id").agg(F.sum("spend").alias("total"))
-    return spend.join(total, "portfolio_id").select("portfolio_id", "asset", (F.col("spend") / F.col("total")).alias("w"))
+    total = F.sum("spend").over(Window.partitionBy("portfolio_id"))  # at most one row per asset
+    return materialise(spend.select("portfolio_id", "asset", (F.col("spend") / total).alias("w")), "weights")
 
 
 def market_weights(spark: SparkSession, sf: str) -> DataFrame:
