@@ -410,7 +410,27 @@ def study_samples(spark, sf):
     return sampling.study_samples(strata(spark, sf), 100, 50, 50, 10)
 
 
-@query("convergence", "SM4 W15")
+_POISSON = []
+_p, _acc = 2.718281828459045 ** -1, 0.0
+for _k in range(7):
+    _acc += _p
+    _POISSON.append(_acc)
+    _p /= _k + 1
+_COUNT = " + ".join(f"CASE WHEN u > {d(c)} THEN 1 ELSE 0 END" for c in _POISSON)
+cte("block_pairs", """
+    SELECT pos, max(v) FILTER (WHERE blk = 0) AS v0, max(v) FILTER (WHERE blk = 1) AS v1, max(k) FILTER (WHERE blk = 0) AS k0, max(k) FILTER (WHERE blk = 1) AS k1 FROM (
+      SELECT *, rank() OVER (PARTITION BY blk ORDER BY v) + (count(*) OVER (PARTITION BY blk, v) - 1) / 2e0 AS k FROM (
+        SELECT *, CASE WHEN back <= 500 THEN 1 ELSE 0 END AS blk, (back - 1) % 500 AS pos FROM (
+          SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_orderkey DESC) AS back FROM orders) WHERE back <= 1000)) GROUP BY pos""")
+
+
+@query("convergence", "SM4 W15", f"""
+    SELECT relative_change, width_fraction, rank_stability, relative_change <= 2e-2 AS mean_stable, width_fraction <= 1e-1 AS interval_narrow, rank_stability >= 95e-2 AS ranks_stable FROM (
+      SELECT abs(avg(v1) - avg(v0)) / abs(avg(v0)) AS relative_change, corr(k0, k1) AS rank_stability FROM block_pairs) CROSS JOIN (
+      SELECT (quantile_cont(m, 975e-3) - quantile_cont(m, 25e-3)) / abs(avg(m)) AS width_fraction FROM (
+        SELECT b, sum(({_COUNT}) * o_totalprice) / sum({_COUNT}) AS m FROM (
+          SELECT o_totalprice, b, (CAST('0x' || substr(md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR), CAST(b AS VARCHAR))), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0 AS u
+          FROM orders CROSS JOIN (SELECT unnest(range(1, 201)) AS b)) GROUP BY b))""", "relative_change width_fraction rank_stability", 6)
 def convergence(spark, sf):
     return sampling.convergence(materialise(tables.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "orders"), "o_orderkey", "o_totalprice", 500)
 

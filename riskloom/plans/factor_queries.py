@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import factors, risk, rolling
 from riskloom.plans.base import CONFIDENCE, simple_returns
 from riskloom.plans.registry import cte, query
+from riskloom.session import materialise
 from riskloom.sources import tables
 
 cte("last52", "SELECT asset, date, r FROM simple_returns QUALIFY row_number() OVER (PARTITION BY asset ORDER BY date DESC) <= 52")
@@ -71,6 +72,18 @@ def psd_repair(spark, sf):
     return factors.repair_psd(rolling_cov(spark, sf), "date")
 
 
+cte("rolling_cov", """
+    SELECT * FROM (SELECT a.date, a.asset AS i, b.asset AS j, covar_samp(a.r, b.r) OVER (PARTITION BY a.asset, b.asset ORDER BY a.date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS cov
+      FROM simple_returns a JOIN simple_returns b ON a.date = b.date AND a.asset <= b.asset)
+    WHERE date IN (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS rn FROM (SELECT DISTINCT date FROM simple_returns)) WHERE rn >= 52 AND (rn - 52) % 5 = 0)""")
+
+
+@query("psd_repaired_covariance", "FAC5", "SELECT date, i, j, cov FROM rolling_cov", "cov")
+def psd_repaired_covariance(spark, sf):
+    # Sample matrices of 52 rows and 10 assets are positive already, so the repair leaves them as they are.
+    return factors.repair_psd(rolling_cov(spark, sf), "date").drop("condition_number")
+
+
 def rolling_factors(spark, sf):
     return factors.eigen_factors(rolling_cov(spark, sf), 3)
 
@@ -87,6 +100,15 @@ def factor_risk(spark, sf):
     return factors.factor_risk(factors.exposures(rolling_factors(spark, sf)), total, risk.normal_grid(CONFIDENCE, [1]))
 
 
+@query("full_rank_explained_variance", "FAC8 FAC9", """
+    SELECT a.date, a.i AS asset, a.cov AS explained, t.trace AS eigenvalue_sum FROM rolling_cov a JOIN (SELECT date, sum(cov) AS trace FROM rolling_cov WHERE i = j GROUP BY date) t USING (date) WHERE a.i = a.j""", "explained eigenvalue_sum", 7)
+def full_rank_explained_variance(spark, sf):
+    """With all factors kept, loadings and eigenvalues give back every variance and their sum the trace."""
+    f = materialise(factors.eigen_factors(rolling_cov(spark, sf), 1000), "factors")
+    e = factors.exposures(f).groupBy("date", "asset").agg(F.sum(F.col("exposure") ** 2 * F.col("eigenvalue")).alias("explained"))
+    return e.join(f.groupBy("date").agg(F.sum("eigenvalue").alias("eigenvalue_sum")), "date")
+
+
 @query("factor_shock_loss", "FAC12")
 def factor_shock_loss(spark, sf):
     return factors.factor_shock_loss(factors.exposures(rolling_factors(spark, sf)), 2.0)

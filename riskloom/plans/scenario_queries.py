@@ -67,7 +67,21 @@ _register("normal", "S-4 S-7")
 _register("student", "S-5 S-7")
 
 
-@query("filtered_scenarios", "S-6 S-7 W7")
+cte("window_rows", f"SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY date) AS k, r FROM log_returns QUALIFY row_number() OVER (PARTITION BY asset ORDER BY date DESC) <= {W}")
+cte("window_pos", "SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY k) AS k, r, avg(r) OVER (PARTITION BY asset) AS mu FROM window_rows")
+cte("window_scan", """
+    SELECT asset, k, r, mu, r * r AS s FROM window_pos WHERE k = 1
+    UNION ALL SELECT p.asset, p.k, p.r, p.mu, 94e-2 * w.s + 6e-2 * w.r * w.r FROM window_scan w JOIN window_pos p ON p.asset = w.asset AND p.k = w.k + 1""")
+cte("filtered_draws", f"""
+    SELECT x.asset, x.date, x.sim, x.step, s.mu, (s.r - s.mu) / (sqrt(greatest(s.s, 1e-12)) + 1e-10) AS z, 94e-2 * l.s + 6e-2 * l.r * l.r AS v0
+    FROM (SELECT *, CAST(floor({draw_sql('iid')} * {W}) AS INTEGER) + 1 AS pos FROM sim_steps) x JOIN window_scan s ON s.asset = x.asset AND s.k = x.pos JOIN window_scan l ON l.asset = x.asset AND l.k = {W}""")
+cte("filtered_scan", """
+    SELECT asset, date, sim, step, mu + sqrt(greatest(v0, 1e-12)) * z AS total, mu + sqrt(greatest(v0, 1e-12)) * z AS r, v0 AS v FROM filtered_draws WHERE step = 1
+    UNION ALL SELECT d.asset, d.date, d.sim, d.step, f.total + d.mu + sqrt(greatest(94e-2 * f.v + 6e-2 * f.r * f.r, 1e-12)) * d.z, d.mu + sqrt(greatest(94e-2 * f.v + 6e-2 * f.r * f.r, 1e-12)) * d.z, 94e-2 * f.v + 6e-2 * f.r * f.r
+    FROM filtered_scan f JOIN filtered_draws d ON d.asset = f.asset AND d.sim = f.sim AND d.step = f.step + 1""")
+
+
+@query("filtered_scenarios", "S-6 S-7 W7", "SELECT asset, date, sim, CAST(step AS INTEGER) AS horizon, total FROM filtered_scan WHERE step IN (1, 10)", "total", 7)
 def filtered_scenarios(spark, sf):
     return scenarios.horizon_sums(scenarios.filtered_paths(latest_windows(spark, sf), N_SIMS, 10, seed=SEED), HORIZONS)
 

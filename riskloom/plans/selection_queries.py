@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.constants import TRADING_DAYS
 from riskloom.operators import black_litterman as bl
 from riskloom.operators import factors, portfolio, risk, rolling, scenarios, selection
-from riskloom.plans.base import simple_returns
+from riskloom.plans.base import d, simple_returns
 from riskloom.plans.portfolio_queries import METRIC_COLUMNS, METRIC_DOUBLES, metrics_sql, mu_cov
 from riskloom.plans.registry import cte, query
 from riskloom.plans.scenario_queries import u_sql
@@ -157,17 +157,24 @@ cte("energies", """
       WHERE len(string_split(set_id, '|')) BETWEEN 4 AND 9 GROUP BY set_id) e ON e.set_id = s.set_id""")
 
 
-def qubo(spark, sf, weights=P):
-    mu, cov = mu_cov(spark, sf)
+def qubo_inputs(spark, sf):
+    """Annualised means, signed 5 % tail means and correlations of the universe."""
     r = simple_returns(spark, sf)
     cvar = risk.historical_var_cvar(r, ["asset"], [0.95]).select("asset", (-F.col("cvar")).alias("cvar"))
-    return selection.selection_coefficients(mu, cvar, cov, **weights)
+    return factors.expected_returns(r), cvar, factors.sample_covariance(r)
+
+
+def qubo(spark, sf):
+    return selection.selection_coefficients(*qubo_inputs(spark, sf), **P)
+
 
+def energies_of(w, q, p=P):
+    c = selection.selection_constant(p["budget_penalty"], p["cardinality_penalty"], p["min_assets"], p["max_assets"])
+    return selection.selection_energies(w, materialise(q, "coefficients"), c, p["min_assets"], p["max_assets"])
 
-def energies(spark, sf, weights=P):
-    q = materialise(qubo(spark, sf, weights), "coefficients")
-    c = selection.selection_constant(weights["budget_penalty"], weights["cardinality_penalty"], weights["min_assets"], weights["max_assets"])
-    return selection.selection_energies(tables.weights(spark, sf), q, c, weights["min_assets"], weights["max_assets"])
+
+def energies(spark, sf):
+    return energies_of(tables.weights(spark, sf), qubo(spark, sf))
 
 
 @query("selection_coefficients", "O8 D13", "SELECT i, j, coef FROM qubo", "coef", 7)
@@ -206,13 +213,34 @@ def tail_mean_of_energies(spark, sf):
 _SWEEP = [(a, b) for a in (0.5, 1.0) for b in (1.0, 2.0)]
 
 
-@query("weight_config_sweep", "O10 J13")
+def _sweep_sql() -> str:
+    parts = []
+    for rw, kw in _SWEEP:
+        coef = f"CASE WHEN i = j THEN -{d(rw)} * zm + {d(kw)} * zc ELSE 1e-1 * corr END + 18e0 - CASE WHEN i = j THEN 2 * 10e0 + 2 * 8e0 * 65e-1 ELSE 0e0 END"
+        parts.append(f"""
+        SELECT {d(rw)} AS return_weight, {d(kw)} AS risk_weight, b.portfolio_id, avg(x.r) * 252 AS mean_return, stddev_samp(x.r) * sqrt(252) AS volatility, count(*) AS n FROM (
+          SELECT portfolio_id, set_id FROM asset_set JOIN (
+            SELECT set_id, sum({coef}) AS energy FROM (SELECT DISTINCT set_id FROM asset_set) JOIN zq ON contains(set_id, i) AND contains(set_id, j)
+            WHERE len(string_split(set_id, '|')) BETWEEN 4 AND 9 GROUP BY set_id) USING (set_id) ORDER BY energy, portfolio_id LIMIT 1) b
+        JOIN (SELECT s.set_id, date, avg(r) AS r FROM (SELECT DISTINCT set_id FROM asset_set) s JOIN simple_returns ON contains(s.set_id, asset) GROUP BY 1, 2) x ON x.set_id = b.set_id GROUP BY 3""")
+    return " UNION ALL ".join(parts)
+
+
+cte("zq", """
+    SELECT i, j, corr, zm, zc FROM cov_full JOIN (
+      SELECT asset, (mu - avg(mu) OVER ()) / stddev_pop(mu) OVER () AS zm, (cvar - avg(cvar) OVER ()) / stddev_pop(cvar) OVER () AS zc FROM mu JOIN tail_mean USING (asset)) ON asset = i""")
+
+
+@query("weight_config_sweep", "O10 J13", _sweep_sql(), "return_weight risk_weight mean_return volatility", 7)
 def weight_config_sweep(spark, sf):
     """Best candidate of every objective weighting, held equally weighted: annualised outcome per setting."""
     out = None
     r = simple_returns(spark, sf)
+    inputs = [materialise(x, "inputs") for x in qubo_inputs(spark, sf)]
+    w = tables.weights(spark, sf)
     for rw, kw in _SWEEP:
-        top = selection.lowest_energies(energies(spark, sf, {**P, "return_weight": rw, "risk_weight": kw}), 1)
+        p = {**P, "return_weight": rw, "risk_weight": kw}
+        top = selection.lowest_energies(energies_of(w, selection.selection_coefficients(*inputs, **p), p), 1)
         part = top.select(F.lit(rw).alias("return_weight"), F.lit(kw).alias("risk_weight"), "portfolio_id", F.explode(F.split("set_id", "\\|")).alias("asset"))
         out = part if out is None else out.unionByName(part)
     w = out.withColumn("w", 1.0 / F.count("*").over(_by("return_weight", "risk_weight")))
@@ -320,6 +348,27 @@ def posterior_by_set(spark, sf):
     return posterior(spark, sf)[4]
 
 
+cte("first_view", "SELECT * FROM bl_views WHERE view_id = (SELECT asset_1 || '-' || asset_2 FROM differentials ORDER BY abs(return_diff) DESC LIMIT 1)")
+cte("view_sets", "SELECT DISTINCT set_id FROM asset_set WHERE NOT EXISTS (SELECT 1 FROM first_view v WHERE NOT contains(set_id, v.asset))")
+cte("view_gain", """
+    SELECT i AS asset, sum(cov * p) AS sp, (SELECT sum(a.p * b.p * cov) FROM first_view a JOIN first_view b ON true JOIN cov_full ON i = a.asset AND j = b.asset) AS psp,
+           (SELECT any_value(q) - sum(p * pi) FROM first_view JOIN equilibrium USING (asset)) AS miss FROM cov_full JOIN first_view ON j = asset GROUP BY i""")
+
+
+@query("posterior_with_one_view", "BL5 BL6", """
+    SELECT s.set_id, e.asset, e.pi AS prior, e.pi + CASE WHEN v.set_id IS NULL THEN 0e0 ELSE g.sp * g.miss / (2 * g.psp) END AS posterior,
+           c.cov * 1025e-3 - CASE WHEN v.set_id IS NULL THEN 0e0 ELSE 25e-3 * g.sp * g.sp / (2 * g.psp) END AS variance
+    FROM (SELECT DISTINCT set_id FROM asset_set) s JOIN equilibrium e ON contains(s.set_id, e.asset) JOIN view_gain g ON g.asset = e.asset JOIN cov c ON c.i = e.asset AND c.j = e.asset
+    LEFT JOIN view_sets v ON v.set_id = s.set_id""", "prior posterior variance", 7)
+def posterior_with_one_view(spark, sf):
+    """One view has a closed form: the update is S p (q - p'prior) / (2 p'S p)."""
+    r, cov, w, _, prior, _ = bl_inputs(spark, sf)
+    post = bl.posterior(portfolio.set_dictionary(portfolio.asset_sets(w)), cov, prior, bl.synthetic_views(r, 1))
+    z = F.explode(F.arrays_zip("assets", "prior", "posterior", "posterior_variance")).alias("z")
+    return post.select("set_id", z).select(
+        "set_id", F.col("z.assets").alias("asset"), F.col("z.prior").alias("prior"), F.col("z.posterior").alias("posterior"), F.col("z.posterior_variance").alias("variance"))
+
+
 @query("posterior_diagnostics", "BL8")
 def posterior_diagnostics(spark, sf):
     _, _, _, market, post = posterior(spark, sf)

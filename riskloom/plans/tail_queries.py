@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from riskloom.functions import constants as K
 from riskloom.operators import discretise, evt, portfolio, risk, volatility
 from riskloom.plans.base import CONFIDENCE, HORIZONS, d, log_returns, simple_returns
 from riskloom.plans.portfolio_queries import mu_cov
@@ -83,16 +86,38 @@ def tail_parameters_summary(spark, sf):
     return evt.tail_parameters_summary(pot_parameters(spark, sf))
 
 
+_GRID = ", ".join(f"({d(g['alpha'])}, {d(g['beta'])})" for g in volatility.garch_grid())
+cte("garch_members", """
+    SELECT e.asset, e.date, e.r AS current, m.rn - e.rn + 53 AS k, m.r FROM ranked_returns e JOIN ranked_returns m ON m.asset = e.asset AND m.rn >= e.rn - 52 AND m.rn < e.rn
+    WHERE e.rn >= 53 AND (e.rn - 53) % 4 = 0""")
+cte("garch_e2", "SELECT *, avg(e2) OVER (PARTITION BY asset, date) AS target FROM (SELECT asset, date, current, k, pow(r - avg(r) OVER (PARTITION BY asset, date), 2) AS e2 FROM garch_members)")
+cte("garch_scan", f"""
+    SELECT asset, date, current AS r, target, alpha, beta, target * (1 - alpha - beta) AS omega, CAST(1 AS BIGINT) AS k, target * (1 - alpha - beta) + alpha * e2 + beta * target AS v, target AS v_last,
+           -5e-1 * (ln(target) + e2 / target) AS ll FROM garch_e2 CROSS JOIN (VALUES {_GRID}) AS g(alpha, beta) WHERE k = 1
+    UNION ALL SELECT s.asset, s.date, s.r, s.target, s.alpha, s.beta, s.omega, s.k + 1, s.omega + s.alpha * e.e2 + s.beta * s.v, s.v, s.ll - 5e-1 * (ln(s.v) + e.e2 / s.v)
+    FROM garch_scan s JOIN garch_e2 e ON e.asset = s.asset AND e.date = s.date AND e.k = s.k + 1""")
+cte("garch_fit", """
+    SELECT asset, date, r, omega, alpha, beta, alpha + beta AS persistence, target AS unconditional_variance, sqrt(v_last) AS sigma_last, sqrt(v) AS sigma, ll AS log_likelihood
+    FROM garch_scan WHERE k = 52 QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY ll DESC, alpha, beta) = 1""")
+_T6 = ", ".join(f"({d(c)}, {h}, {d(K.t_quantile(1 - c, 6.0))}, {d(K.es_factor_t(c, 6.0))})" for c in CONFIDENCE for h in HORIZONS)
+FIT_DOUBLES = "r omega alpha beta persistence unconditional_variance sigma_last sigma log_likelihood"
+
+
 def garch(spark, sf):
     return volatility.garch_forecasts(log_returns(spark, sf), 52, 4)
 
 
-@query("garch_volatility", "R11 R8 R9")
+@query("garch_volatility", "R11 R8 R9", f"""
+    SELECT g.*, confidence_level, horizon, -z * sigma * sqrt(horizon) AS var, es * sigma * sqrt(horizon) AS cvar FROM garch_fit g CROSS JOIN (VALUES {_T6}) AS c(confidence_level, horizon, z, es)""",
+       FIT_DOUBLES + " confidence_level var cvar", 6)
 def garch_volatility(spark, sf):
     return risk.volatility_to_risk(garch(spark, sf), risk.student_grid(CONFIDENCE, HORIZONS, 6.0))
 
 
-@query("garch_diagnostics", "R12 A11 P19")
+@query("garch_diagnostics", "R12 A11 P19", """
+    SELECT asset, avg(persistence) AS mean_persistence, stddev_samp(persistence) / avg(persistence) AS cv_persistence, avg(ln(5e-1) / ln(persistence)) AS mean_half_life,
+           avg(sqrt(omega / (1 - persistence))) AS mean_long_run_volatility, avg(CASE WHEN persistence >= 1 THEN 1e2 ELSE 0e0 END) AS non_stationary_pct FROM garch_fit GROUP BY asset""",
+       "mean_persistence cv_persistence mean_half_life mean_long_run_volatility non_stationary_pct", 6)
 def garch_diagnostics(spark, sf):
     return volatility.garch_diagnostics(garch(spark, sf)).groupBy("asset").agg(
         F.avg("persistence").alias("mean_persistence"), (F.stddev_samp("persistence") / F.avg("persistence")).alias("cv_persistence"),
@@ -100,18 +125,34 @@ def garch_diagnostics(spark, sf):
         F.avg((~F.col("stationary")).cast("double") * 100).alias("non_stationary_pct"))
 
 
-@query("garch_forecast_bias", "A12")
+@query("garch_forecast_bias", "A12", """
+    SELECT asset, avg(sigma - sigma_last) AS mean_error, sqrt(avg(pow(sigma - sigma_last, 2))) AS rmse, count(*) AS n FROM garch_fit GROUP BY asset""", "mean_error rmse", 6)
 def garch_forecast_bias(spark, sf):
     g = garch(spark, sf)
     return volatility.forecast_bias(g, g.select("asset", "date", F.col("sigma_last").alias("sigma")))
 
 
-@query("student_dof", "R23")
+_DOFS = (2.1, 3, 4, 5, 6, 8, 10, 15, 20, 30, 50)
+_DOF_ROWS = ", ".join(f"({d(v)}, {d(math.sqrt((v - 2) / v))}, {d(math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi))})" for v in _DOFS)
+cte("student_fit", f"""
+    SELECT asset, date, r, dof, mu, scale, ll AS log_likelihood FROM (
+      SELECT asset, date, r, dof, mu, sd * shrink AS scale, sum(-(dof + 1) / 2 * ln(1 + pow((x - mu) / (sd * shrink), 2) / dof)) + count(*) * (any_value(norm) - ln(sd * shrink)) AS ll FROM (
+        SELECT *, avg(x) OVER w AS mu, stddev_samp(x) OVER w AS sd FROM (
+          SELECT e.asset, e.date, e.r, m.r AS x FROM ranked_returns e JOIN ranked_returns m ON m.asset = e.asset AND m.rn > e.rn - 104 AND m.rn <= e.rn WHERE e.rn >= 104 AND (e.rn - 104) % 13 = 0)
+        WINDOW w AS (PARTITION BY asset, date)) CROSS JOIN (VALUES {_DOF_ROWS}) AS v(dof, shrink, norm) GROUP BY asset, date, r, dof, mu, sd, shrink)
+    QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY ll DESC, dof) = 1""")
+_T_ROWS = ", ".join(f"({d(v)}, {d(c)}, {d(K.t_quantile(c, v))}, {d(K.es_factor_t(c, v))})" for v in map(float, _DOFS) for c in CONFIDENCE)
+
+
+@query("student_dof", "R23", "SELECT * FROM student_fit", "r dof mu scale log_likelihood", 6)
 def student_dof(spark, sf):
     return volatility.student_dof(log_returns(spark, sf), 104, 13)
 
 
-@query("student_var_cvar", "R22")
+@query("student_var_cvar", "R22", f"""
+    SELECT *, var * 95e-2 AS var_low, var * 105e-2 AS var_high FROM (
+      SELECT f.*, t.confidence_level, -mu + q * scale AS var, -mu + es * scale AS cvar FROM student_fit f JOIN (VALUES {_T_ROWS}) AS t(dof, confidence_level, q, es) ON t.dof = f.dof)""",
+       "r dof mu scale log_likelihood confidence_level var cvar var_low var_high", 6)
 def student_var_cvar(spark, sf):
     return volatility.student_var_cvar(volatility.student_dof(log_returns(spark, sf), 104, 13), CONFIDENCE)
 
