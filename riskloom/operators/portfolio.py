@@ -25,6 +25,7 @@ from riskloom.session import MAX_INLINE_CELLS, spread
 from riskloom.sources.portfolios import universe_array, weight_arrays
 
 SALTS = 64
+BROADCAST_ROWS = 500_000  # panel rows of three columns, about 20 MB
 MAX_UNROLLED = 64  # assets up to which dot products are written out as plain expressions
 STATISTICS = (
     "mean", "std", "skewness", "kurtosis", "downside_all", "downside_negative", "max_drawdown", "compounded_return",
@@ -90,7 +91,7 @@ def evaluate(
     """
     keys = ["portfolio_id"] + (["slice"] if slice_type else [])
     slice_of = period_key(F.col("date"), slice_type) if slice_type else F.lit("")
-    cells = rets.select("date", slice_of.alias("slice"), "asset", "r").limit(max_cells + 1).toPandas()  # never more than the limit
+    cells = rets.select("date", slice_of.alias("slice"), "asset", "r").limit(max_cells + 1).toArrow().to_pandas()  # never more than the limit
     if len(cells) > max_cells:
         return path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
     wide = cells.sort_values(["date", "asset"])
@@ -134,19 +135,24 @@ def _return_paths_by_join(weights: DataFrame, rets: DataFrame, slice_type: str |
     return packed.select(*keys, F.transform("p", lambda x: x["r"]).alias("rets"))
 
 
-def portfolio_returns(weights: DataFrame, rets: DataFrame, renormalise: bool = True) -> DataFrame:
+def portfolio_returns(weights: DataFrame, rets: DataFrame, renormalise: bool = True, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """(portfolio_id, date, r) by joining on the asset.
 
     With ``renormalise`` the weights of the assets present on a date are scaled
-    to 1.  Both sides carry a salt, so one heavily held asset is spread over
-    ``SALTS`` tasks; a panel under the broadcast threshold is not shuffled at all.
+    to 1.  A panel of few rows (counted) is broadcast.  A larger one is joined
+    with a salt on both sides, so one heavily held asset is spread over ``SALTS``
+    tasks.
     """
-    left = weights.filter("w <> 0").withColumn("salt", F.pmod(F.xxhash64("portfolio_id"), F.lit(SALTS)).cast("int"))
-    right = rets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = weights.filter("w <> 0")
+    if rets.limit(max_broadcast + 1).count() <= max_broadcast:
+        joined = held.join(F.broadcast(rets), "asset")
+    else:
+        left = held.withColumn("salt", F.pmod(F.xxhash64("portfolio_id"), F.lit(SALTS)).cast("int"))
+        joined = left.join(rets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["asset", "salt"])
     value = F.sum(F.col("w") * F.col("r"))
     if renormalise:
         value = ratio(value, F.sum("w"))
-    return left.join(right, ["asset", "salt"]).groupBy("portfolio_id", "date").agg(value.alias("r"))
+    return joined.groupBy("portfolio_id", "date").agg(value.alias("r"))
 
 
 def batch_returns(weights: DataFrame, rets: DataFrame) -> DataFrame:

@@ -91,10 +91,12 @@ def zone_counts(spark, sf):
 
 
 @query("tail_risk_comparison", "A8 A1", """
-    SELECT model, confidence_level, avg(var) AS var_mean, median(var) AS var_median, quantile_cont(var, 95e-2) AS var_p95, avg(cvar) AS cvar_mean, median(cvar) AS cvar_median, quantile_cont(cvar, 95e-2) AS cvar_p95
-    FROM model_series WHERE horizon = 1 GROUP BY 1, 2""", "confidence_level var_mean var_median var_p95 cvar_mean cvar_median cvar_p95", 6)
+    SELECT model, confidence_level, metric, count(*) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, median(value) AS median, quantile_cont(value, 95e-2) AS p95 FROM (
+      SELECT model, confidence_level, 'var' AS metric, var AS value FROM model_series WHERE horizon = 1 UNION ALL SELECT model, confidence_level, 'cvar', cvar FROM model_series WHERE horizon = 1)
+    WHERE value IS NOT NULL GROUP BY 1, 2, 3""", "confidence_level mean std min max median p95", 6)
 def tail_risk_comparison(spark, sf):
-    return compare.configurable_summary(model_series(spark, sf).filter("horizon = 1"), ["model", "confidence_level"], ["var", "cvar"], ["mean", "median", "p95"], 12)
+    long = compare.to_long(model_series(spark, sf).filter("horizon = 1"), ["model", "confidence_level"], ["var", "cvar"])
+    return compare.summary(materialise(long, "long"), ["model", "confidence_level", "metric"], {"median": 0.5, "p95": 0.95})
 
 
 @query("distribution_diagnostics", "A9", """

@@ -28,7 +28,7 @@ cte("latest_window", f"""
     SELECT asset, max(date) AS date, list(r ORDER BY date) AS w, avg(r) AS mu, stddev_samp(r) AS sigma FROM
       (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS back FROM log_returns) WHERE back <= {W} GROUP BY asset""")
 cte("sim_steps", f"""
-    SELECT asset, date, w, mu, sigma, sim, step FROM latest_window CROSS JOIN (SELECT unnest(range(1, {N_SIMS + 1})) AS sim) CROSS JOIN (SELECT unnest(range(1, 11)) AS step)""")
+    SELECT asset, date, w, mu, sigma, sim, step FROM latest_window CROSS JOIN (SELECT CAST(unnest(range(1, {N_SIMS + 1})) AS INTEGER) AS sim) CROSS JOIN (SELECT unnest(range(1, 11)) AS step)""")
 
 
 def draw_sql(tag: str, step: str = "step") -> str:

@@ -92,6 +92,19 @@ def test_evaluation_paths_agree(spark, panel):
     assert sliced.count() == again.count() == 2 * len(w)
 
 
+def test_daily_returns_agree_with_and_without_salt(spark, panel):
+    rets, m = panel
+    weights, w = portfolios(spark, 5)
+    some = rets.filter("NOT (asset = 'X3' AND day(date) < 10)")
+    for renormalise in (True, False):
+        a = {(r.portfolio_id, r.date): r.r for r in portfolio.portfolio_returns(weights, some, renormalise).collect()}
+        b = {(r.portfolio_id, r.date): r.r for r in portfolio.portfolio_returns(weights, some, renormalise, max_broadcast=10).collect()}
+        assert a.keys() == b.keys() and len(a) == 300
+        assert all(a[k] == pytest.approx(b[k]) for k in a)
+    c = {(r.portfolio_id, r.date): r.r for r in portfolio.batch_returns(weights, rets).collect()}
+    assert c[(2, dt.date(2020, 1, 1))] == pytest.approx(float(w[2] @ m[0]))
+
+
 def test_ex_ante_paths_agree(spark, panel):
     rets, m = panel
     weights, w = portfolios(spark)
