@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from riskloom.operators import backtest
-from riskloom.plans.base import ACCURACY_DOUBLES, KEYS, varcov_flagged, varcov_series, log_returns
+from riskloom.plans.base import ACCURACY_DOUBLES, KEYS, daily_flagged, log_returns, varcov_flagged, varcov_series
 from riskloom.plans.registry import query
 
 
@@ -14,6 +12,11 @@ def varcov_backtest(spark, sf):
     return backtest.accuracy(varcov_flagged(spark, sf))
 
 
+@query("varcov_backtest_daily", "R2 B8", "SELECT * FROM accuracy_day", ACCURACY_DOUBLES)
+def varcov_backtest_daily(spark, sf):
+    return backtest.accuracy(daily_flagged(spark, sf))
+
+
 @query("varcov_var_series", "R1 R2 F2 F3 J13 W2", "SELECT * FROM varcov", "confidence_level r var")
 def varcov_var_series(spark, sf):
     return varcov_series(spark, sf)

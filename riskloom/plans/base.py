@@ -87,6 +87,24 @@ cte("varcov", f"""
 cte("flagged", "SELECT *, -r AS loss, -r > var AS violation FROM varcov WHERE var > 0")
 
 
+# The same series on daily prices with yearly and two-yearly windows.
+DAILY_WINDOWS = [252, 500]
+_moments_day = " UNION ALL ".join(
+    f"SELECT asset, date, r, {w} AS estimation_window, count(r) OVER f AS n, avg(r) OVER f AS mu, stddev_samp(r) OVER f AS sigma "
+    f"FROM log_returns_day WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in DAILY_WINDOWS)
+cte("moments_day", f"SELECT * FROM ({_moments_day}) WHERE n >= estimation_window")
+cte("varcov_day", f"""
+    SELECT asset, date, r, estimation_window, confidence_level, horizon,
+           CASE WHEN sigma > 0 THEN greatest(0e0, -(mu + z * sigma)) * sqrt(horizon) END AS var
+    FROM moments_day CROSS JOIN {normal_values()}""")
+cte("flagged_day", "SELECT *, -r AS loss, -r > var AS violation FROM varcov_day WHERE var > 0")
+
+
+def daily_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    series = risk.parametric_var_series(log_returns(spark, sf, "day"), DAILY_WINDOWS, CONFIDENCE, HORIZONS)
+    return backtest.with_violations(series)
+
+
 def accuracy_sql(source: str, keys: str) -> str:
     """SQL of the accuracy bundle over ``source`` grouped by ``keys``."""
     xlogy = lambda x, y: f"CASE WHEN {x} = 0 THEN 0e0 ELSE {x} * ln({y}) END"
@@ -132,6 +150,7 @@ def accuracy_sql(source: str, keys: str) -> str:
 
 KEYS = "asset, confidence_level, horizon, estimation_window"
 cte("accuracy", f"SELECT * EXCLUDE (p, green, yellow) FROM ({accuracy_sql('flagged', KEYS)})")
+cte("accuracy_day", f"SELECT * EXCLUDE (p, green, yellow) FROM ({accuracy_sql('flagged_day', KEYS)})")
 ACCURACY_DOUBLES = (
     "confidence_level expected_violations hit_rate violation_ratio kupiec_statistic independence_statistic "
     "conditional_coverage_statistic kupiec_p_value independence_p_value conditional_coverage_p_value"

@@ -53,6 +53,15 @@ def portfolio_batch_metrics(spark, sf):
     return portfolio_metrics(spark, sf)
 
 
+cte("pr_day", "SELECT portfolio_id, date, sum(w * r) AS r FROM weights JOIN simple_returns_day USING (asset) GROUP BY portfolio_id, date")
+cte("pm_day", metrics_sql("pr_day", "portfolio_id"))
+
+
+@query("portfolio_batch_metrics_daily", "E13 BL9", f"SELECT {METRIC_COLUMNS} FROM pm_day", METRIC_DOUBLES, 6)
+def portfolio_batch_metrics_daily(spark, sf):
+    return portfolio.batch_metrics(tables.weights(spark, sf), simple_returns(spark, sf, "day"))
+
+
 @query("portfolio_ratio_variants", "E2 E3 E4 E5 E7 E8 E12", """
     SELECT portfolio_id, (mean * 252 - 1e-4) / nullif(std * sqrt(252), 0) AS sharpe_annualised, (mean - 1e-4 / 252) / nullif(std, 0) * sqrt(252) AS sharpe_excess_daily,
            (mean * 252 - 1e-4) / nullif(downside_negative * sqrt(252), 0) AS sortino_negative_rows, (mean * 252 - 1e-4) / nullif(downside_all * sqrt(252), 0) AS sortino_all_rows,

@@ -35,10 +35,11 @@ def prices(spark: SparkSession, sf: str, grain: str = "week") -> DataFrame:
     must not scan the trades again.
     """
     li = read(spark, sf, "lineitem")
-    panel = li.groupBy(asset_name().alias("asset"), price_date(grain).alias("date")).agg(
+    # Grouped on the number; the name is made once per result row, not once per trade.
+    panel = li.groupBy((F.col("l_suppkey") % 10).alias("group"), price_date(grain).alias("date")).agg(
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price")
     )
-    return materialise(panel, "prices")
+    return materialise(panel.select(asset_name("group").alias("asset"), "date", "price"), "prices")
 
 
 def ohlcv(spark: SparkSession, sf: str, grain: str = "week") -> DataFrame:
@@ -61,13 +62,13 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     read it several times and must not repeat the join of the trades.
     """
     spend = (
-        read(spark, sf, "lineitem").select("l_orderkey", asset_name().alias("asset"), "l_extendedprice")
+        read(spark, sf, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 10).alias("group"), "l_extendedprice")
         .join(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("portfolio_id"), "asset")
+        .groupBy(F.col("o_custkey").alias("portfolio_id"), "group")
         .agg(F.sum("l_extendedprice").alias("spend"))
     )
     total = F.sum("spend").over(Window.partitionBy("portfolio_id"))  # at most one row per asset
-    return materialise(spend.select("portfolio_id", "asset", (F.col("spend") / total).alias("w")), "weights")
+    return materialise(spend.select("portfolio_id", asset_name("group").alias("asset"), (F.col("spend") / total).alias("w")), "weights")
 
 
 def market_weights(spark: SparkSession, sf: str) -> DataFrame:
