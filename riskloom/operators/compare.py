@@ -297,12 +297,14 @@ def pareto_front_2d(df: DataFrame, maximise: str, minimise: str, key: str = "por
     return df.join(keep, [maximise, minimise], "left_semi").select(key, maximise, minimise)
 
 
-def pareto_front(df: DataFrame, objectives: dict[str, bool], key: str = "portfolio_id", max_local: int = 200_000) -> DataFrame:
-    """Rows not dominated over any number of objectives (True = maximise).
-
-    Every partition first drops rows dominated inside it; the few survivors are
-    then compared with each other.  Survivors within the limit travel to the tasks
-    as a broadcast; more than that go through an anti join on dominance.
+def pareto_front(df: DataFrame, objectives: dict[str, bool], key: str = "portfolio_id", batch: int = 200_000) -> DataFrame:
+    """Rows not dominated over any number of objectives (True = maximise); exact.
+
+    Every partition first drops rows dominated inside it.  The survivors are taken
+    in order of their objective sum, best first: a dominating row always comes
+    earlier, so the undominated rows of the first ``batch`` are final.  They are
+    broadcast (at most ``batch`` rows), remove what they dominate, and the next
+    batch follows until nothing is left.  One round is enough for most fronts.
     """
     import numpy as np
 
@@ -311,12 +313,12 @@ def pareto_front(df: DataFrame, objectives: dict[str, bool], key: str = "portfol
     base = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
 
     def skyline(v: np.ndarray) -> np.ndarray:
-        order = np.argsort(-v.sum(axis=1), kind="stable")
+        order = np.lexsort((*[-v[:, c] for c in reversed(range(v.shape[1]))], -v.sum(axis=1)))
         front: list[int] = []
         for k in order:
             f = v[front]
-            if not len(front) or not ((f >= v[k]).all(axis=1) & (f > v[k]).any(axis=1)).any():
-                front.append(k)
+            if not front or not ((f >= v[k]).all(axis=1) & (f > v[k]).any(axis=1)).any():
+                front.append(int(k))
         return np.array(front, dtype=int)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,29 +329,38 @@ def pareto_front(df: DataFrame, objectives: dict[str, bool], key: str = "portfol
         if kept is not None:
             yield kept
 
-    survivors = materialise(base.mapInPandas(local, base.schema), "skyline")
-    if survivors.limit(max_local + 1).count() <= max_local:
-        rows = np.array([tuple(r) for r in survivors.select(*cols).collect()], dtype=float).reshape(-1, len(cols)) * signs
-        shared = df.sparkSession.sparkContext.broadcast(rows)
-
-        def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    signed = [F.col(c) if objectives[c] else -F.col(c) for c in cols]
+    total = signed[0]
+    for x in signed[1:]:
+        total = total + x
+    place = F.struct((-total).alias("s"), *[(-x).alias(f"o{k}") for k, x in enumerate(signed)], F.col(key).alias("k"))
+    rest = materialise(base.mapInPandas(local, base.schema).withColumn("place", place), "skyline")
+    finished: DataFrame | None = None
+    while True:
+        head = rest.orderBy("place").limit(batch).select(*cols, "place").toArrow().to_pandas()  # at most one batch
+        if head.empty:
+            break
+        v = head[cols].to_numpy(dtype=float) * signs
+        shared = df.sparkSession.sparkContext.broadcast(v[skyline(v)])
+
+        def undominated(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             f = shared.value
             for pdf in batches:
-                v = pdf[cols].to_numpy() * signs
-                keep = [not ((f >= x).all(axis=1) & (f > x).any(axis=1)).any() for x in v]
+                keep = [not ((f >= x).all(axis=1) & (f > x).any(axis=1)).any() for x in pdf[cols].to_numpy() * signs]
                 yield pdf[keep]
 
-        return survivors.mapInPandas(final, base.schema)
-    other = survivors.select(*[F.col(c).alias(f"o_{c}") for c in cols])
-    ge = [(F.col(f"o_{c}") >= F.col(c)) if objectives[c] else (F.col(f"o_{c}") <= F.col(c)) for c in cols]
-    gt = [(F.col(f"o_{c}") > F.col(c)) if objectives[c] else (F.col(f"o_{c}") < F.col(c)) for c in cols]
-    dominated = ge[0]
-    for g in ge[1:]:
-        dominated = dominated & g
-    strictly = gt[0]
-    for g in gt[1:]:
-        strictly = strictly | g
-    return survivors.join(other, dominated & strictly, "left_anti")
+        last = head["place"].iloc[-1]
+        end = F.struct(*[F.lit(float(x) if n != "k" else x).alias(n) for n, x in last.items()])
+        done = F.col("place") <= end
+        left = rest.withColumn("done", done)
+        flat = left.select(key, *cols, "done")
+        kept = materialise(flat.mapInPandas(undominated, flat.schema).withColumn("place", place), "skyline")
+        part = kept.filter("done").select(*base.columns)
+        finished = part if finished is None else finished.unionByName(part)
+        if len(head) < batch:
+            break
+        rest = kept.filter("NOT done").drop("done")
+    return finished if finished is not None else base.limit(0)
 
 
 def quartile_dominance(df: DataFrame, objectives: dict[str, bool], tool: str = "tool_name") -> DataFrame:

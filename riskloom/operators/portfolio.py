@@ -92,7 +92,7 @@ def evaluate(
     keys = ["portfolio_id"] + (["slice"] if slice_type else [])
     slice_of = period_key(F.col("date"), slice_type) if slice_type else F.lit("")
     cells = rets.select("date", slice_of.alias("slice"), "asset", "r").limit(max_cells + 1).toArrow().to_pandas()  # never more than the limit
-    if len(cells) > max_cells:
+    if len(cells) == 0 or len(cells) > max_cells:
         return path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
     wide = cells.sort_values(["date", "asset"])
     universe = sorted(cells["asset"].unique())

@@ -87,6 +87,7 @@ def test_evaluation_paths_agree(spark, panel):
         assert inline[p].max_drawdown == pytest.approx(-(c / np.maximum.accumulate(c) - 1).min())
         for name in portfolio.STATISTICS:
             assert inline[p][name] == pytest.approx(joined[p][name], rel=1e-9, abs=1e-12), name
+    assert portfolio.evaluate(weights, rets.filter("date < '1990-01-01'")).count() == 0
     sliced = portfolio.evaluate(weights, rets, "year")
     again = portfolio.evaluate(weights, rets, "year", max_cells=10)
     assert sliced.count() == again.count() == 2 * len(w)
@@ -136,6 +137,21 @@ def test_global_order_with_a_hot_value(spark):
     assert q[(1, 0.9)] == pytest.approx(np.quantile(v[1::2], 0.9))
 
 
+def test_pareto_fronts_match_brute_force(spark):
+    from riskloom.operators import compare
+
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(400, 3)).round(1)
+    df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(v)], "portfolio_id long, a double, b double, c double")
+    s = v * np.array([1, -1, 1])
+    brute = lambda m: {k for k in range(len(m)) if not ((m >= m[k]).all(axis=1) & (m > m[k]).any(axis=1)).any()}
+    for batch in (7, 100_000):
+        got = [r.portfolio_id for r in compare.pareto_front(df, {"a": True, "b": False, "c": True}, batch=batch).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(s)
+    two = {r.portfolio_id for r in compare.pareto_front_2d(df, "a", "b").collect()}
+    assert two == brute(s[:, :2])
+
+
 def test_garch_grid_matches_a_loop(spark, panel):
     rets, m = panel
     got = {(r.asset, r.date): r for r in volatility.garch_forecasts(rets, 30, 10).collect()}
