@@ -12,7 +12,7 @@ from riskloom.functions.columns import fan_out, literal_rows, ratio
 from riskloom.operators.factors import mirror
 from riskloom.operators.portfolio import MAX_UNROLLED, asset_sets, evaluate, quadratic_form, set_dictionary
 from riskloom.session import materialise
-from riskloom.sources.portfolios import universe_array, weight_arrays
+from riskloom.sources.portfolios import weight_arrays
 
 
 def best_candidates(scored: DataFrame, keys: Sequence[str], risk_aversion: float = 1.0) -> DataFrame:

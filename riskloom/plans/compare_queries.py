@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.periods import with_periods
 from riskloom.operators import backtest, compare, portfolio, rolling, sampling
 from riskloom.operators.ordering import percent_rank
 from riskloom.plans import base

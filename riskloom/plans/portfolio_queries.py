@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import backtest, panel, portfolio, risk, rolling
-from riskloom.plans.base import d, simple_returns
+from riskloom.operators import portfolio, risk, rolling
+from riskloom.plans.base import simple_returns
 from riskloom.plans.registry import cte, query
 from riskloom.sources import portfolios as src
 from riskloom.sources import tables

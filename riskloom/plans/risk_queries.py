@@ -5,23 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import constants as K
-from riskloom.operators import backtest, risk, rolling
+from riskloom.operators import backtest, risk
 from riskloom.plans.base import CONFIDENCE, HORIZONS, KEYS, d, log_returns, normal_values, simple_returns
 from riskloom.plans.registry import cte, query
 
-_CONF = ", ".join(f"({d(c)})" for c in CONFIDENCE)
-
-cte("historical_estimate", f"""
-    SELECT q.asset, q.confidence_level, -q.q AS var, -avg(r) FILTER (WHERE r <= q.q) AS cvar FROM simple_returns s JOIN (
-      SELECT asset, confidence_level, quantile_cont(r, 1 - confidence_level) AS q FROM (
-        SELECT asset, r, {d(CONFIDENCE[0])} AS confidence_level FROM simple_returns UNION ALL SELECT asset, r, {d(CONFIDENCE[1])} FROM simple_returns)
-      GROUP BY asset, confidence_level) q ON s.asset = q.asset GROUP BY q.asset, q.confidence_level, q.q""")
-
-
-def _quantile_sql(table: str, key: str, levels, tail: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT {key}, {d(c)} AS confidence_level, {tail.replace('$A', d(1 - c)).replace('$C', d(c))}" for c in levels)
-
 
 def _hist_sql(levels) -> str:
     parts = [

@@ -8,7 +8,7 @@ from riskloom.functions.constants import TRADING_DAYS
 from riskloom.operators import black_litterman as bl
 from riskloom.operators import factors, portfolio, risk, rolling, scenarios, selection
 from riskloom.plans.base import d, simple_returns
-from riskloom.plans.portfolio_queries import METRIC_COLUMNS, METRIC_DOUBLES, metrics_sql, mu_cov
+from riskloom.plans.portfolio_queries import metrics_sql, mu_cov
 from riskloom.plans.registry import cte, query
 from riskloom.plans.scenario_queries import u_sql
 from riskloom.session import materialise
