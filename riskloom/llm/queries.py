@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,36 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 @query("op10_lexicon_toxicity")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_temperature_mixing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.copies(table(spark, sf, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+def _exponent_sql() -> str:
+    """The same search of the exponent, one common table per pass."""
+    parts = ["a0 AS (SELECT 0e0 AS low)"]
+    for i in range(1, mixing.PASSES + 1):
+        parts.append(f"""
+        g{i} AS (SELECT DISTINCT least(1e0, low + j * {32.0 ** -i!r}) AS a FROM a{i - 1}, (SELECT unnest(range(0, 33)) AS j)),
+        s{i} AS (SELECT a, sum(pow(s, a)) AS z, sum(pow(s, a) * ln(s)) AS zl, max(pow(s, a) / s) AS top FROM g{i}, share GROUP BY a),
+        a{i} AS (SELECT coalesce((SELECT max(a) FROM s{i} WHERE a < (SELECT coalesce(min(a), 2e0) FROM s{i} WHERE NOT ok(a, z, zl, top))), (SELECT low FROM a{i - 1})) AS low)""")
+    text = ",".join(parts)
+    need = f"{mixing.TARGET_ENTROPY!r} * ln((SELECT count(*) FROM share))"
+    return text.replace("NOT ok(a, z, zl, top)", f"NOT (ln(z) - a * zl / z >= {need} OR {mixing.BUDGET!r} * top / z > {mixing.MAX_REPETITION!r})")
+
+
+ORACLES["op3_temperature_mixing"] = f"""
+WITH k AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n,
+         md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+src AS (SELECT source, sum(n) AS tokens FROM k WHERE n > 0 GROUP BY source),
+share AS (SELECT source, tokens / (SELECT sum(tokens) FROM src) AS s FROM src),
+{_exponent_sql()},
+w AS (SELECT source, tokens, pow(s, low) / sum(pow(s, low)) OVER () AS weight FROM share JOIN src USING (source), a{mixing.PASSES}),
+b AS (SELECT *, CAST(floor(weight * {mixing.BUDGET!r} * sum(tokens) OVER () + 5e-1) AS BIGINT) AS share_tokens FROM w),
+p AS (SELECT *, CAST(floor(share_tokens / tokens) AS BIGINT) AS passes, share_tokens - CAST(floor(share_tokens / tokens) AS BIGINT) * tokens AS rest FROM b),
+r AS (SELECT k.*, sum(n) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, source, n AS n_tokens, CASE WHEN n = 0 THEN 1 ELSE passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END END AS copies, round(weight, 9) AS weight
+FROM r LEFT JOIN p USING (source)"""
