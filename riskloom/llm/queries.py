@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ p AS (SELECT *, CAST(floor(share_tokens / tokens) AS BIGINT) AS passes, share_to
 r AS (SELECT k.*, sum(n) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, source, n AS n_tokens, CASE WHEN n = 0 THEN 1 ELSE passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END END AS copies, round(weight, 9) AS weight
 FROM r LEFT JOIN p USING (source)"""
+
+
+@query("op1_token_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"))
