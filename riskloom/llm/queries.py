@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, packing, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, packing, repetition, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,28 @@ FROM r LEFT JOIN p USING (source)"""
 @query("op1_token_packing")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op4_repetition_coverage")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf, "documents"))
+
+
+_GRAM4 = "".join(f""",
+n{w} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {w - 1}], ' ')) AS c
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {w - 2})) AS i FROM d)) WHERE c > 1),
+c{w} AS (SELECT doc_id, count(*) AS words, sum(length(w[p])) AS chars FROM (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, {w})) AS k FROM n{w})) JOIN d USING (doc_id) GROUP BY doc_id)""" for w in repetition.GRAM_LIMITS)
+ORACLES["op4_repetition_coverage"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, line, count(*) - 1 AS more, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
+dl AS (SELECT doc_id, CAST(sum(more) AS BIGINT) AS n_dup_lines, CAST(sum(more * chars) AS BIGINT) AS dup_line_chars FROM l GROUP BY doc_id){_GRAM4},
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        CAST(coalesce(c8.words, 0) AS BIGINT) AS n_repeat_words, {", ".join(f"CAST(coalesce(c{w}.chars, 0) AS BIGINT) AS gram{w}_chars" for w in repetition.GRAM_LIMITS)},
+        coalesce(dup_line_chars, 0) AS dup_line_chars
+      FROM d LEFT JOIN dl USING (doc_id) {" ".join(f"LEFT JOIN c{w} USING (doc_id)" for w in repetition.GRAM_LIMITS)}),
+g AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_LIMIT} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND 100 * dup_line_chars <= {repetition.LINE_LIMIT} * word_chars
+       AND {" AND ".join(f"100 * gram{w}_chars <= {p} * word_chars" for w, p in repetition.GRAM_LIMITS.items())} AS kept
+FROM g"""
