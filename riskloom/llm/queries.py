@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, packing, repetition, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, packing, quality, repetition, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,8 @@ g AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repe
 SELECT *, NOT base_failed AND 100 * dup_line_chars <= {repetition.LINE_LIMIT} * word_chars
        AND {" AND ".join(f"100 * gram{w}_chars <= {p} * word_chars" for w, p in repetition.GRAM_LIMITS.items())} AS kept
 FROM g"""
+
+
+@query("op9_factorisation_quality")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
