@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, packing, quality, repetition, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, packing, quality, repetition, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ FROM g"""
 @query("op9_factorisation_quality")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_url_logistic_filter")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf, "pages")).withColumn("score", F.round("score", 6))
