@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, packing, quality, repetition, simhash, toxicity, url_filter
+from riskloom.llm import decontaminate, line_dedup, mixing, packing, quality, repetition, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,13 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_url_logistic_filter")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf, "pages")).withColumn("score", F.round("score", 6))
+
+
+@query("op5_segment_edit_join")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf, "documents"))
+
+
+@query("op6_transform_merge_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf, "documents")).drop("kept")
