@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import word_blocks
+from riskloom.llm.text import bounded_batches, word_blocks
 from riskloom.session import materialise
 
 WINDOW = 10
@@ -178,19 +178,27 @@ def item_shards(benchmark: DataFrame, window: int = WINDOW) -> Iterator[list[tup
 FOUND = {"__dc_words": pa.int64(), "__dc_from": pa.list_(pa.int32()), "__dc_to": pa.list_(pa.int32()), "__dc_items": pa.list_(pa.string()), "__dc_longest": pa.int32()}
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _schema(docs: DataFrame, more: str = "") -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *([more] if more else [])])
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
     """``docs`` with the columns of FOUND: hit word spans, items met and the longest match of each whole text.
 
     One pass over the texts per automaton, without a shuffle; a benchmark up to
     SHARD_WORDS words needs one.  A later pass adds to what earlier ones found.
+    ``finish`` turns the batches of the last pass into rows of ``schema``.
     """
     added = "__dc_words bigint, __dc_from array<int>, __dc_to array<int>, __dc_items array<string>, __dc_longest int"
     spark = docs.sparkSession
-    out, first = docs, True
-    for shard in item_shards(benchmark, window):
+    bounded_batches(spark)
+    shards = list(item_shards(benchmark, window))
+    out = docs
+    for at, shard in enumerate(shards):
         shared = spark.sparkContext.broadcast(shard)
+        last = finish if at == len(shards) - 1 else None
 
-        def run(it: Iterable[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterable[pa.RecordBatch], shared=shared, first=at == 0, last=last) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(window).build([(item, words.split()) for item, words in shared.value])
             for batch in it:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -206,13 +214,12 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 kept = [c for c in batch.schema.names if c not in FOUND]
                 cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 new = list(zip(*rows)) or [()] * len(FOUND)
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(v, t) for v, t in zip(new, FOUND.values())], kept + list(FOUND))
+                done = pa.RecordBatch.from_arrays(cols + [pa.array(v, t) for v, t in zip(new, FOUND.values())], kept + list(FOUND))
+                yield last(done) if last else done
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        if not first:
+        if at:
             out = materialise(out, "matches")
-        out = out.mapInArrow(run, f"{schema}, {added}")
-        first = False
+        out = out.mapInArrow(run, schema if last else _schema(docs, added))
     return out
 
 
@@ -258,31 +265,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     names = docs.columns
 
-    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            texts = col["text"].to_pylist()
-            keep, changed = [], {}
-            for i, (n, starts, ends) in enumerate(zip(*(col[c].to_pylist() for c in ("__dc_words", "__dc_from", "__dc_to")))):
-                hit = sum(ends) - sum(starts)
-                if hit > max_coverage * n:
-                    continue
-                if hit:
-                    changed[i] = cut(texts[i], starts, ends)
-                keep.append(i)
-            for i, t in changed.items():
-                texts[i] = t
-            cols = {c: col[c] for c in names}
-            if changed:
-                cols["text"] = pa.array(texts, col["text"].type)
-                if "n_chars" in cols:
-                    sizes = col["n_chars"].to_pylist()
-                    for i, t in changed.items():
-                        sizes[i] = len(t)
-                    cols["n_chars"] = pa.array(sizes, col["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).take(pa.array(keep, pa.int32()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return with_matches(docs, benchmark, window).mapInArrow(run, schema)
-
-
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+        texts = col["text"]
+        keep, changed = [], {}
+        for i, (n, starts, ends) in enumerate(zip(*(col[c].to_pylist() for c in ("__dc_words", "__dc_from", "__dc_to")))):
+            hit = sum(ends) - sum(starts)
+            if hit > max_coverage * n:
+                continue
+            if hit:
+                changed[i] = cut(texts[i].as_py(), starts, ends)
+            keep.append(i)
+        cols = {c: col[c] for c in names}
+        if changed:
+            cols["text"] = pa.array([changed[i] if i in changed else t for i, t in enumerate(texts.to_pylist())], texts.type)
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([len(changed[i]) if i in changed else v for i, v in enumerate(col["n_chars"].to_pylist())], col["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).take(pa.array(keep, pa.int32()))
+
+    return with_matches(docs, benchmark, window, apply, _schema(docs))

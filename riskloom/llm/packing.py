@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import batches
+from riskloom.llm.text import batches, bounded_batches
 
 #: Vocabulary of ranks; a parameter of the operator, read by the driver and sent to the tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -112,6 +112,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int
     are packed within a partition, so memory is bounded, there is no shuffle,
     and a task that is run again gives the same packs.
     """
+    bounded_batches(docs.sparkSession)
     if sequence < 2:
         raise ValueError("a sequence has two ids at least")
     shared = read_vocabulary(docs.sparkSession, vocabulary)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.labels import labelled_sample, remainder
-from riskloom.llm.text import word_blocks
+from riskloom.llm.text import bounded_batches, word_blocks
 
 #: Labelled documents learnt from, at most: label 1 and label 0.
 GOOD_ROWS, POOR_ROWS = 4000, 2000
@@ -140,6 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, poor_r
     sample has the labels' own proportions.  Without labels of both kinds every
     text gets the same score.
     """
+    bounded_batches(docs.sparkSession)
     use = remainder(FOLDS) != HELD_OUT
     sample = labelled_sample(docs, labels, "quality", use, {1: good_rows, 0: poor_rows})
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import components
-from riskloom.llm.text import batches, word_blocks
+from riskloom.llm.text import batches, bounded_batches, word_blocks
 from riskloom.session import materialise
 
 SEED = 42
@@ -25,6 +25,8 @@ HAMMING = (15, 0b10011, 1)
 
 #: Members of one anchor held in memory; fuller anchors are linked over shared midpoints instead.
 ANCHOR_LIMIT = 20_000
+#: So many ids of dropped documents are sent to all tasks, 8 MB of them.
+BROADCAST_IDS = 1_000_000
 #: Up to this size home and member fingerprints of an anchor are compared directly.
 PAIRWISE = 64
 
@@ -65,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
@@ -322,8 +325,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
     doc_id one stays.
     """
     found = materialise(near_duplicates(docs, threshold), "near")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS  # ids alone; else the texts are shuffled to them
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept

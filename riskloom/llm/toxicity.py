@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.decontaminate import NORMAL
 from riskloom.llm.labels import labelled_sample, remainder
-from riskloom.llm.text import word_blocks
+from riskloom.llm.text import bounded_batches, word_blocks
 from riskloom.session import materialise
 
 #: Labelled documents learnt from, at most.
@@ -131,7 +131,7 @@ class Model:
 class Scorer:
     """Counts of plain, misspelt and quoted hits of a text."""
 
-    CACHE = 300_000
+    CACHE = 100_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -241,6 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     clean documents within edit reach of a term are harmless look-alikes.
     Without toxic labels the lexicon is empty and the prior alone speaks.
     """
+    bounded_batches(docs.sparkSession)
     sample = materialise(labelled_sample(docs, labels, "toxic", remainder(FOLDS) != 0, {1: toxic_rows, 0: clean_rows}), "toxic-sample")
     words = materialise(word_contexts(sample), "toxic-words")
     total = words.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
