@@ -27,7 +27,8 @@ FOLDS = 5
 #: Words each side of a term that are looked at for signs of quotation.
 CONTEXT = 8
 #: Marks and verbs that introduce somebody else's words.
-QUOTES = ['"', "“", "”", "„", "«", "»", "‘", "’"]
+OPENERS = ["“", "„", "«"]
+CLOSERS = ["”", "“", "»"]
 CUES = ["said", "says", "wrote", "called", "quote", "quoted", "reported", "sagte", "schrieb", "nannte", "zitat", "dit", "cita", "dijo", "escribió"]
 
 #: Prior means of the score's coefficients: bias, plain, misspelt and quoted hits (log counts), hits per 100 words.
@@ -128,6 +129,16 @@ class Model:
     coefficients: tuple[float, ...] = PRIOR
 
 
+def inside_quotation(before: str, after: str) -> bool:
+    """Whether marks around a word say that it is quoted: an open mark before it and one that closes after, or a ``>`` line."""
+    if before.rpartition("\n")[2].lstrip().startswith(">"):
+        return True
+    if before.count('"') % 2 and '"' in after:
+        return True
+    opened = max(before.rfind(c) for c in OPENERS)
+    return opened >= 0 and opened >= max(before.rfind(c) for c in CLOSERS if c not in OPENERS) and any(c in after for c in CLOSERS)
+
+
 class Scorer:
     """Counts of plain, misspelt and quoted hits of a text."""
 
@@ -139,7 +150,6 @@ class Scorer:
         self.benign = frozenset(model.benign)
         self.cache: dict[bytes, tuple[int, str] | None] = {}
         self.cues = frozenset(CUES)
-        self.mark = re.compile("[" + "".join(QUOTES) + r"]|^[ \t]*>", re.MULTILINE)
 
     def lookup(self, w: bytes) -> tuple[int, str] | None:
         try:
@@ -176,11 +186,10 @@ class Scorer:
             if not found:
                 continue
             lo, hi = max(0, i - CONTEXT), min(len(spots) - 1, i + CONTEXT)
-            before = raw[spots[lo][0]:s].decode("utf-8", "ignore")
-            after = raw[e:spots[hi][1]].decode("utf-8", "ignore")
-            marks = bool(self.mark.search(before)) and bool(self.mark.search(after) or before.rpartition("\n")[2].lstrip().startswith(">"))
+            before = raw[spots[lo - 1][1] if lo else 0:s].decode("utf-8", "ignore")
+            after = raw[e:spots[hi + 1][0] if hi + 1 < len(spots) else len(raw)].decode("utf-8", "ignore")
             said = any(flat[spots[j][0]:spots[j][1]].decode("utf-8", "replace") in self.cues for j in range(lo, i))
-            if marks or (said and (self.mark.search(before) or self.mark.search(after))):
+            if inside_quotation(before, after) or (said and '"' in before + after):
                 quoted += 1
             elif found[0]:
                 misspelt += 1
