@@ -41,7 +41,11 @@ def running_totals(df: DataFrame, order: Sequence[Column], values: Sequence[str]
     out = r
     for v in values:
         out = out.withColumn(f"__c_{v}", F.sum(v).over(inside))
-    out = out.join(offsets, [*keys, "__part"])
+    right = offsets.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), *[f"__o_{v}" for v in values])
+    same = F.col("__part") == F.col("__p")
+    for k in keys:  # a NULL key is a key
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    out = out.join(right, same)
     return out.select(*df.columns, *[(F.col(f"__c_{v}") + F.col(f"__o_{v}")).alias(f"cum_{v}") for v in values])
 
 
@@ -52,16 +56,16 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank"
 
 
 def percent_rank(df: DataFrame, column: str, name: str = "percent_rank") -> DataFrame:
-    """(rank - 1) / (n - 1) with ties sharing the lowest rank.
+    """(rank - 1) / (n - 1) with ties sharing the lowest rank, among the rows that have a value; NULL elsewhere.
 
     Ranks are worked out on distinct values, so a value held by many rows is
     one row until it is joined back.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
     cum = running_totals(counts, [F.col(column)], ["__n"])
     total = counts.agg(F.sum("__n").alias("t")).scalar()
     ranks = cum.select(column, F.when(total > 1, (F.col("cum___n") - F.col("__n")) / (total - 1)).otherwise(0.0).alias(name))
-    return df.join(ranks, column)
+    return df.join(ranks, column, "left")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], max_buffered: int = MAX_BUFFERED_ROWS) -> DataFrame:
@@ -69,27 +73,36 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
 
     Small inputs (counted) use the percentile aggregate.  Beyond that, values are
     counted, ordered across tasks and the two rows around each position picked.
+    NULL is a key like any other; a key without a value has NULL quantiles.
     """
     keys = list(keys)
     levels = F.array(*[F.lit(float(q)) for q in qs])
-    if df.limit(max_buffered + 1).count() <= max_buffered:
+    if df.count() <= max_buffered:
         p = df.groupBy(*keys).agg(F.percentile(value, levels).alias("__p"))
-        return p.select(*keys, F.explode(F.arrays_zip(levels.alias("q"), F.col("__p").alias("v"))).alias("e")).select(*keys, F.col("e.q").alias("q"), F.col("e.v").alias("quantile"))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    cum = running_totals(counts, [F.col(value)], ["__n"], keys)
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__t"))
-    if keys:
-        joined = cum.join(materialise(totals, "totals"), keys)  # one row per key, size known before the join
-    else:
-        joined = cum.withColumn("__t", totals.scalar())
-    joined = joined.withColumn("q", F.explode(levels)).withColumn("__pos", F.col("q") * (F.col("__t") - 1))
+        e = p.select(*keys, F.posexplode(levels).alias("__at", "q"), "__p")
+        return e.select(*keys, "q", F.get("__p", F.col("__at")).alias("quantile"))
+    counts = materialise(df.groupBy(*keys, value).agg(F.count("*").alias("__n")), "counts")
+    totals = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("__n"))), F.lit(0)).alias("__t"))
+    totals = materialise(totals, "totals")  # one row per key, size known before the join
+    right = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__t")
+    cum = running_totals(counts.where(F.col(value).isNotNull()), [F.col(value)], ["__n"], keys)
+
+    def same(prefix: str) -> Column:
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+        return out
+
+    joined = cum.join(right, same("__k_")).withColumn("q", F.explode(levels)).withColumn("__pos", F.col("q") * (F.col("__t") - 1))
     lo, hi = F.floor("__pos"), F.ceil("__pos")
     first, last = F.col("cum___n") - F.col("__n"), F.col("cum___n") - 1
     near = joined.filter((first <= hi) & (last >= lo))
     picked = near.groupBy(*keys, "q").agg(
         F.max(F.when((first <= lo) & (last >= lo), F.col(value))).alias("a"), F.max(F.when((first <= hi) & (last >= hi), F.col(value))).alias("b"), F.first("__pos").alias("p")
     )
-    return picked.select(*keys, "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") - F.floor("p"))).alias("quantile"))
+    found = picked.select(*[F.col(k).alias(f"__f_{k}") for k in keys], F.col("q").alias("__q"), (F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") - F.floor("p"))).alias("quantile"))
+    every = totals.select(*keys, F.explode(levels).alias("q"))
+    return every.join(found, same("__f_") & (F.col("q") == F.col("__q")), "left").select(*keys, "q", "quantile")
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:

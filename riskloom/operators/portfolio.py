@@ -34,11 +34,18 @@ STATISTICS = (
 
 
 def panel_shape(rets: DataFrame) -> tuple[int, int]:
-    """Measured (cells, assets) of a panel, the basis of every inline decision."""
-    row = rets.agg(F.count("*").alias("cells"), F.count_distinct("asset").alias("assets")).first()
+    """Measured (cells, assets) of a panel, the basis of every inline decision; a panel with gaps is an error."""
+    row = rets.agg(F.count("r").alias("cells"), F.count_distinct("asset").alias("assets"), F.count_distinct("date").alias("dates")).first()
+    if row["cells"] != row["assets"] * row["dates"]:
+        raise ValueError(f"the panel has {row['cells']} returns for {row['assets']} assets x {row['dates']} dates; align it first (panel.complete_dates)")
     return row["cells"], row["assets"]
 
 
+def is_invested(w: str = "w") -> Column:
+    """Does an array of weights hold anything?  A portfolio without a known asset keeps its row, with NULL results."""
+    return F.exists(w, lambda x: x != 0)
+
+
 def weighted_sum(w: str, r: str, n: int) -> Column:
     """Dot product of two array columns of length ``n`` in generated code."""
     if n > MAX_UNROLLED:
@@ -86,18 +93,24 @@ def evaluate(
 ) -> DataFrame:
     """Path statistics of every portfolio (and period): (portfolio_id, [slice,] n, ...).
 
-    ``rets`` must be aligned (every date complete); weights outside the universe
-    are dropped and missing ones are 0.
+    ``rets`` must be aligned (every date complete, else an error); weights
+    outside the universe are dropped and missing ones are 0.  A portfolio without
+    a known asset keeps its rows, with NULL statistics.
     """
     keys = ["portfolio_id"] + (["slice"] if slice_type else [])
     slice_of = period_key(F.col("date"), slice_type) if slice_type else F.lit("")
-    cells = rets.select("date", slice_of.alias("slice"), "asset", "r").limit(max_cells + 1).toArrow().to_pandas()  # never more than the limit
-    if len(cells) == 0 or len(cells) > max_cells:
-        return path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
-    wide = cells.sort_values(["date", "asset"])
-    universe = sorted(cells["asset"].unique())
-    panel = wide["r"].to_numpy(dtype=float).reshape(-1, len(universe))
-    labels = wide["slice"].to_numpy()[:: len(universe)]
+    n_cells, _ = panel_shape(rets)
+    if n_cells == 0 or n_cells > max_cells:
+        stats = path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
+        spans = rets.groupBy(slice_of.alias("slice")).agg(F.count_distinct("date").cast("int").alias("n"))  # bounded by the calendar
+        spans = spans.agg(F.collect_list(F.struct("slice", "n")).alias("s")).scalar()
+        every = weights.select("portfolio_id").distinct().withColumn("s", F.explode(spans)).select("portfolio_id", *(["s.slice"] if slice_type else []), F.col("s.n").alias("n"))
+        return every.join(stats.drop("n"), keys, "left").select(*keys, "n", *STATISTICS)
+    # One row per date with its returns in asset order: eight bytes per cell, at most max_cells of them.
+    days = _rows_by_date(rets).select("date", slice_of.alias("slice"), "r").toArrow().sort_by("date")
+    universe = [r["asset"] for r in rets.select("asset").distinct().orderBy("asset").collect()]
+    panel = days.column("r").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(universe))
+    labels = np.array(days.column("slice").to_pylist(), dtype=object)
     blocks = {str(s): np.flatnonzero(labels == s) for s in sorted(set(labels))}
     spark = weights.sparkSession
     shared = spark.sparkContext.broadcast((panel, blocks))
@@ -110,10 +123,11 @@ def evaluate(
             w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             for lo in range(0, len(ids), step):
                 part = w[lo:lo + step]
+                empty = ~part.any(axis=1)
                 for name, span in spans.items():
                     stats = _path_arrays(part @ matrix[span].T, alpha)
                     cols = [ids.slice(lo, len(part)), pa.array(np.full(len(part), len(span), dtype=np.int32))]
-                    cols += [pa.array(stats[c], mask=~np.isfinite(stats[c])) for c in STATISTICS]
+                    cols += [pa.array(stats[c], mask=empty | ~np.isfinite(stats[c])) for c in STATISTICS]
                     if slice_type:
                         cols.insert(1, pa.array([name] * len(part), type=pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, names=[*keys, "n", *STATISTICS])
@@ -144,7 +158,7 @@ def portfolio_returns(weights: DataFrame, rets: DataFrame, renormalise: bool = T
     tasks.
     """
     held = weights.filter("w <> 0")
-    if rets.limit(max_broadcast + 1).count() <= max_broadcast:
+    if rets.count() <= max_broadcast:
         joined = held.join(F.broadcast(rets), "asset")
     else:
         left = held.withColumn("salt", F.pmod(F.xxhash64("portfolio_id"), F.lit(SALTS)).cast("int"))
@@ -155,15 +169,18 @@ def portfolio_returns(weights: DataFrame, rets: DataFrame, renormalise: bool = T
     return joined.groupBy("portfolio_id", "date").agg(value.alias("r"))
 
 
-def batch_returns(weights: DataFrame, rets: DataFrame) -> DataFrame:
-    """(portfolio_id, date, r) for every portfolio and date, generated from the inline panel."""
+def batch_returns(weights: DataFrame, rets: DataFrame, max_cells: int = MAX_INLINE_CELLS) -> DataFrame:
+    """(portfolio_id, date, r) for every portfolio and date of a complete panel; r is NULL without a known asset."""
     cells, n_assets = panel_shape(rets)
-    if cells > MAX_INLINE_CELLS:
-        return portfolio_returns(weights, rets, renormalise=False)
+    if cells > max_cells:
+        found = portfolio_returns(weights, rets, renormalise=False)
+        dates = rets.agg(F.array_sort(F.collect_set("date")).alias("d")).scalar()  # the calendar
+        every = weights.select("portfolio_id").distinct().withColumn("date", F.explode(dates))
+        return every.join(found, ["portfolio_id", "date"], "left")
     matrix = _rows_by_date(rets).agg(F.collect_list(F.struct("date", "r")).alias("m")).scalar()
-    out = weight_arrays(weights, universe_array(rets)).select("portfolio_id", "w", F.explode(matrix).alias("d"))
-    out = out.select("portfolio_id", "w", F.col("d.date").alias("date"), F.col("d.r").alias("r"))
-    return out.select("portfolio_id", "date", weighted_sum("w", "r", n_assets).alias("r"))
+    out = weight_arrays(weights, universe_array(rets)).select("portfolio_id", "w", is_invested().alias("held"), F.explode(matrix).alias("d"))
+    out = out.select("portfolio_id", "w", "held", F.col("d.date").alias("date"), F.col("d.r").alias("r"))
+    return out.select("portfolio_id", "date", F.when(F.col("held"), weighted_sum("w", "r", n_assets)).alias("r"))
 
 
 def path_statistics(paths: DataFrame, keys: Sequence[str] = ("portfolio_id",), alpha: float = 0.05) -> DataFrame:
@@ -286,28 +303,20 @@ def structure(weights: DataFrame) -> DataFrame:
     )
 
 
-def covariance_matrix(cov: DataFrame, value: str = "cov") -> Column:
-    """Symmetric matrix of an (i, j, value) table as one scalar array of rows in asset order."""
-    full = cov.select("i", "j", value).unionByName(cov.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), value))
-    row = F.transform(F.array_sort(F.collect_list(F.struct("j", F.col(value).alias("v")))), lambda x: x["v"])
-    rows = full.groupBy("i").agg(row.alias("row"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("m")).scalar()
-
-
-def ex_ante(weights: DataFrame, mu: DataFrame, cov: DataFrame, risk_free: float = 0.0) -> DataFrame:
+def ex_ante(weights: DataFrame, mu: DataFrame, cov: DataFrame, risk_free: float = 0.0, max_unrolled: int = MAX_UNROLLED) -> DataFrame:
     """Expected return, variance, volatility and Sharpe ratio of every portfolio.
 
-    For a small universe (checked) means and covariances enter the plan as
-    literals and each portfolio is one row, so scoring needs no join.
+    For a small universe (counted) means and covariances enter the plan as
+    literals and each portfolio is one row, so scoring needs no join.  A
+    portfolio without a known asset keeps its row, with NULL results.
     """
-    cells = cov.select("i", "j", "cov").limit(MAX_UNROLLED * MAX_UNROLLED + 1).collect()
-    means = {r["asset"]: r["mu"] for r in mu.select("asset", "mu").limit(MAX_UNROLLED + 1).collect()}
-    if len(means) > MAX_UNROLLED or len(cells) > MAX_UNROLLED * MAX_UNROLLED:
+    if mu.count() > max_unrolled:
         return _ex_ante_by_join(weights, mu, cov, risk_free)
+    means = {r["asset"]: r["mu"] for r in mu.select("asset", "mu").collect()}
     names = sorted(means)
-    s = {(r["i"], r["j"]): r["cov"] for r in cells}
+    s = {(r["i"], r["j"]): r["cov"] for r in cov.select("i", "j", "cov").collect()}  # at most max_unrolled squared
     arrays = weight_arrays(weights, F.array(*[F.lit(a) for a in names]))
-    split = arrays.select("portfolio_id", *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(len(names))])
+    split = arrays.select("portfolio_id", is_invested().alias("held"), *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(len(names))])
     exp, var = F.lit(0.0), F.lit(0.0)
     for i, a in enumerate(names):
         exp = exp + F.col(f"w{i}") * means[a]
@@ -315,7 +324,8 @@ def ex_ante(weights: DataFrame, mu: DataFrame, cov: DataFrame, risk_free: float
         for j in range(i + 1, len(names)):
             row = row + F.col(f"w{j}") * (2.0 * s[(a, names[j])])
         var = var + F.col(f"w{i}") * row
-    return _with_sharpe(split.select("portfolio_id", exp.alias("expected_return"), var.alias("variance")), risk_free)
+    held = F.col("held")
+    return _with_sharpe(split.select("portfolio_id", F.when(held, exp).alias("expected_return"), F.when(held, var).alias("variance")), risk_free)
 
 
 def quadratic_form(w: str, matrix: str, n: int) -> Column:
@@ -330,18 +340,20 @@ def quadratic_form(w: str, matrix: str, n: int) -> Column:
 
 
 def _with_sharpe(df: DataFrame, risk_free: float) -> DataFrame:
-    vol = F.sqrt(F.greatest("variance", F.lit(0.0)))
+    vol = F.when(F.col("variance").isNotNull(), F.sqrt(F.greatest("variance", F.lit(0.0))))
     return df.withColumn("ex_ante_volatility", vol).withColumn("ex_ante_sharpe", ratio(F.col("expected_return") - risk_free, F.col("ex_ante_volatility")))
 
 
 def _ex_ante_by_join(weights: DataFrame, mu: DataFrame, cov: DataFrame, risk_free: float) -> DataFrame:
-    a = weights.select("portfolio_id", F.col("asset").alias("i"), F.col("w").alias("wi"))
-    b = weights.select("portfolio_id", F.col("asset").alias("j"), F.col("w").alias("wj"))
+    held = weights.where("w <> 0")
+    a = held.select("portfolio_id", F.col("asset").alias("i"), F.col("w").alias("wi"))
+    b = held.select("portfolio_id", F.col("asset").alias("j"), F.col("w").alias("wj"))
     pairs = a.join(b, "portfolio_id").filter("i <= j").join(cov, ["i", "j"])
     twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
     var = pairs.groupBy("portfolio_id").agg(F.sum(twice * F.col("wi") * F.col("wj") * F.col("cov")).alias("variance"))
-    exp = weights.join(mu, "asset").groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("mu")).alias("expected_return"))
-    return _with_sharpe(exp.join(var, "portfolio_id").select("portfolio_id", "expected_return", "variance"), risk_free)
+    exp = held.join(mu, "asset").groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("mu")).alias("expected_return"))
+    every = weights.select("portfolio_id").distinct()
+    return _with_sharpe(every.join(exp, "portfolio_id", "left").join(var, "portfolio_id", "left").select("portfolio_id", "expected_return", "variance"), risk_free)
 
 
 def held_correlation(weights: DataFrame, corr: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import fan_out, literal_rows, ratio
 from riskloom.operators.factors import mirror
-from riskloom.operators.portfolio import MAX_UNROLLED, asset_sets, evaluate, quadratic_form, set_dictionary
+from riskloom.operators.portfolio import MAX_UNROLLED, asset_sets, evaluate, is_invested, quadratic_form, set_dictionary
 from riskloom.session import materialise
 from riskloom.sources.portfolios import weight_arrays
 
@@ -19,7 +19,9 @@ def best_candidates(scored: DataFrame, keys: Sequence[str], risk_aversion: float
     """Minimum-variance, risk-return and maximum-Sharpe candidate per key.
 
     One aggregate with map-side ``min_by``/``max_by``; ties go to the smaller id.
+    Candidates without a variance (no known asset) never win.
     """
+    scored = scored.where("variance IS NOT NULL")
     pid = F.col("portfolio_id")
     objective = risk_aversion * F.col("variance") - F.col("expected_return")
     return scored.groupBy(*keys).agg(
@@ -30,7 +32,8 @@ def best_candidates(scored: DataFrame, keys: Sequence[str], risk_aversion: float
 
 
 def frontier(scored: DataFrame, ret: str, risk: str, buckets: int) -> DataFrame:
-    """Lowest-risk candidate in each of ``buckets`` even target-return ranges."""
+    """Lowest-risk candidate in each of ``buckets`` even target-return ranges; candidates without risk or return are left out."""
+    scored = scored.where(F.col(ret).isNotNull() & F.col(risk).isNotNull())
     span = scored.agg(F.struct(F.min(ret).alias("lo"), F.max(ret).alias("hi")).alias("s")).scalar()
     s = scored.withColumn("__s", span)
     width = (F.col("__s.hi") - F.col("__s.lo")) / buckets
@@ -55,7 +58,7 @@ def cvar_scores(weights: DataFrame, scenario_returns: DataFrame, confidence: flo
 
 def best_by(scores: DataFrame, objective: str, k: int = 1, largest: bool = False) -> DataFrame:
     order = F.desc(objective) if largest else F.asc(objective)
-    return scores.orderBy(order, "portfolio_id").limit(k)
+    return scores.where(F.col(objective).isNotNull()).orderBy(order, "portfolio_id").limit(k)
 
 
 def rebalance_calendar(dates: DataFrame, every: int | None = None, start: int = 1) -> DataFrame:
@@ -139,31 +142,32 @@ def equal_risk_weights(sets: DataFrame, cov: DataFrame, tolerance: float = 1e-10
     return set_covariance(sets, cov).mapInPandas(solve, schema)
 
 
-def rolling_min_variance(weights: DataFrame, rolling_cov: DataFrame) -> DataFrame:
+def rolling_min_variance(weights: DataFrame, rolling_cov: DataFrame, max_unrolled: int = MAX_UNROLLED) -> DataFrame:
     """Lowest-variance candidate at every rebalance date: (date, portfolio_id, variance).
 
-    ``rolling_cov`` holds (date, i, j, cov) at the rebalance dates only.  Each
-    portfolio row is scored against every matrix in place and the winner per date
-    is kept by a map-side ``min_by``.
+    ``rolling_cov`` holds (date, i, j, cov) at the rebalance dates only.  The
+    matrices (dates x assets squared, at most ``max_unrolled`` assets) meet each
+    portfolio row in place and the winner per date is kept by a map-side
+    ``min_by``.  Portfolios without a known asset never win.
     """
     full = mirror(rolling_cov.select("date", "i", "j", "cov"))
+    best = F.min_by(F.struct("portfolio_id", "variance"), F.struct("variance", "portfolio_id")).alias("k")
+    n = rolling_cov.select("i").distinct().count()
+    if n > max_unrolled:
+        held = weights.where("w <> 0")
+        a = held.select("portfolio_id", F.col("asset").alias("i"), F.col("w").alias("wi"))
+        b = held.select("portfolio_id", F.col("asset").alias("j"), F.col("w").alias("wj"))
+        scored = a.join(b, "portfolio_id").join(full, ["i", "j"]).groupBy("portfolio_id", "date").agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("variance"))
+        return scored.groupBy("date").agg(best).select("date", "k.portfolio_id", "k.variance")
     row = F.transform(F.array_sort(F.collect_list(F.struct("j", "cov"))), lambda x: x["cov"])
     rows = full.groupBy("date", "i").agg(row.alias("row"))
     per_date = rows.groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("m"))
-    per_date = materialise(per_date, "matrices")
-    n = rolling_cov.select("i").distinct().count()
-    if n > MAX_UNROLLED:
-        a = weights.select("portfolio_id", F.col("asset").alias("i"), F.col("w").alias("wi"))
-        b = weights.select("portfolio_id", F.col("asset").alias("j"), F.col("w").alias("wj"))
-        scored = a.join(b, "portfolio_id").join(full, ["i", "j"]).groupBy("portfolio_id", "date").agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("variance"))
-    else:
-        u = rolling_cov.agg(F.array_sort(F.collect_set("i")).alias("u")).scalar()
-        matrices = per_date.agg(F.collect_list(F.struct("date", "m")).alias("a")).scalar()
-        p = weight_arrays(weights, u).select("portfolio_id", "w", F.explode(matrices).alias("d"))
-        p = p.select("portfolio_id", "w", F.col("d.date").alias("date"), F.col("d.m").alias("m"))
-        scored = p.select("portfolio_id", "date", quadratic_form("w", "m", n).alias("variance"))
-    best = scored.groupBy("date").agg(F.min_by(F.struct("portfolio_id", "variance"), F.struct("variance", "portfolio_id")).alias("k"))
-    return best.select("date", "k.portfolio_id", "k.variance")
+    u = rolling_cov.agg(F.array_sort(F.collect_set("i")).alias("u")).scalar()
+    matrices = materialise(per_date, "matrices").agg(F.collect_list(F.struct("date", "m")).alias("a")).scalar()
+    p = weight_arrays(weights, u).where(is_invested()).select("portfolio_id", "w", F.explode(matrices).alias("d"))
+    p = p.select("portfolio_id", "w", F.col("d.date").alias("date"), F.col("d.m").alias("m"))
+    scored = p.select("portfolio_id", "date", quadratic_form("w", "m", n).alias("variance"))
+    return scored.groupBy("date").agg(best).select("date", "k.portfolio_id", "k.variance")
 
 
 def hold_until_next(choices: DataFrame, weights: DataFrame, rets: DataFrame) -> DataFrame:

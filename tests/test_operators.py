@@ -244,3 +244,60 @@ def test_as_of_matching(spark):
     assert get("backward") == [d(0), d(0), d(10), d(10)]
     assert get("forward") == [d(10), d(10), d(10), d(10)]
     assert get("nearest") == [d(0), d(10), d(10), d(10)]
+
+
+@pytest.fixture(scope="module")
+def edge_weights(spark, panel):
+    """A held portfolio, one of zeros, one of unknown assets only, one of both kinds, one with a NULL weight."""
+    rows = [(1, "X0", 0.4), (1, "X3", 0.6), (2, "X0", 0.0), (2, "X1", 0.0), (3, "ZZ", 1.0), (4, "ZZ", 0.5), (4, "X2", 0.5), (5, "X1", None), (5, "X2", 1.0)]
+    return spark.createDataFrame(rows, "portfolio_id bigint, asset string, w double")
+
+
+def _rows(df, digits=9):
+    return sorted(tuple("~" if v is None else round(v, digits) if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("slice_type", [None, "year"])
+def test_evaluate_ways_agree_on_edge_portfolios(panel, edge_weights, slice_type):
+    rets, _ = panel
+    inline, joined = portfolio.evaluate(edge_weights, rets, slice_type), portfolio.evaluate(edge_weights, rets, slice_type, max_cells=10)
+    assert inline.columns == joined.columns and _rows(inline) == _rows(joined)
+    ids = {r.portfolio_id: r for r in inline.collect()}
+    assert set(ids) == {1, 2, 3, 4, 5} and ids[2]["mean"] is None and ids[3]["std"] is None and ids[4]["mean"] is not None
+
+
+def test_returns_and_ex_ante_ways_agree_on_edge_portfolios(spark, panel, edge_weights):
+    rets, m = panel
+    a, b = portfolio.batch_returns(edge_weights, rets), portfolio.batch_returns(edge_weights, rets, max_cells=10)
+    assert _rows(a.select("portfolio_id", "date", "r")) == _rows(b.select("portfolio_id", "date", "r")) and a.where("portfolio_id = 3 and r is null").count() == 60
+    mu = spark.createDataFrame([(f"X{i}", float(m[:, i].mean())) for i in range(4)], "asset string, mu double")
+    c = np.cov(m.T)
+    cov = spark.createDataFrame([(f"X{i}", f"X{j}", float(c[i, j])) for i in range(4) for j in range(i, 4)], "i string, j string, cov double")
+    inline, joined = portfolio.ex_ante(edge_weights, mu, cov), portfolio.ex_ante(edge_weights, mu, cov, max_unrolled=2)
+    assert _rows(inline) == _rows(joined)
+    assert {r.portfolio_id for r in inline.where("variance is null").collect()} == {2, 3}
+    best = selection.best_candidates(inline, []).first()
+    assert best.min_variance > 0 and best.min_variance_id in (1, 4, 5)
+    dated = cov.selectExpr("date'2020-01-01' AS date", "*")
+    chosen = [selection.rolling_min_variance(edge_weights, dated, n).collect() for n in (64, 2)]
+    assert chosen[0][0].portfolio_id == chosen[1][0].portfolio_id == best.min_variance_id
+
+
+def test_panel_with_gaps_is_an_error(panel, edge_weights):
+    rets, _ = panel
+    gap = rets.where("NOT (asset = 'X1' AND date = '2020-01-01')")
+    for cells in (10, 10_000):
+        with pytest.raises(ValueError, match="align"):
+            portfolio.evaluate(edge_weights, gap, max_cells=cells)
+        with pytest.raises(ValueError, match="align"):
+            portfolio.batch_returns(edge_weights, gap, max_cells=cells)
+
+
+def test_quantiles_and_ranks_keep_nulls(spark):
+    rows = [("a", float(v)) for v in range(7)] + [(None, 1.0), (None, 5.0), ("none", None), ("a", None), ("b", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    small, large = (ordering.exact_quantiles(df, ["k"], "v", [0.25, 0.5, 1.0], n) for n in (1000, 0))
+    assert _rows(small) == _rows(large) and small.count() == 12
+    assert _rows(ordering.exact_quantiles(df, [], "v", [0.1, 0.9], 1000)) == _rows(ordering.exact_quantiles(df, [], "v", [0.1, 0.9], 0))
+    ranks = ordering.percent_rank(df, "v")
+    assert ranks.count() == len(rows) and ranks.where("v is null and percent_rank is null").count() == 2 and ranks.where("v = 6").first().percent_rank == 1.0
