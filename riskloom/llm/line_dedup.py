@@ -15,7 +15,7 @@ EDITS = 2
 #: A line of n characters may differ in n // CHARS_PER_EDIT edits at most; shorter lines link to equal ones only.
 CHARS_PER_EDIT = 10
 #: Letters counted in the signature of a line, 3 bits each.
-LETTERS = "etnaiors"
+LETTERS = "etnaiorshdluc"
 #: So many candidate lines are sent to all tasks; more are fetched by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -27,14 +27,21 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def tag(line: Column) -> Column:
-    """A hash of the line whose low 24 bits count eight letters, each modulo 8.
+    """A hash of the line whose low bits count LETTERS, each modulo 8.
 
-    Tags only choose candidates: lines sharing one are told apart by their id.
+    Letters are taken out one after the other, so every count reads a shorter
+    rest; the state keeps the length before, and counts trail by a step.  Tags
+    only choose candidates: lines sharing one are told apart by their id.
     """
-    seven = F.lit(7).cast("bigint")
-    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint").bitwiseAND(seven) for c in LETTERS]
-    packed = reduce(lambda a, b: F.shiftleft(a, 3).bitwiseOR(b), counts)
-    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 24)).bitwiseOR(packed)
+    size = lambda t: F.octet_length(t).cast("bigint")
+    packed = lambda s: F.shiftleft(s["v"], 3).bitwiseOR((s["l"] - size(s["t"])).bitwiseAND(F.lit(7).cast("bigint")))
+    start = F.struct(line.alias("t"), size(line).alias("l"), F.lit(0).cast("bigint").alias("v"))
+
+    def step(s: Column, letter: Column) -> Column:
+        return F.struct(F.replace(s["t"], letter, F.lit("")).alias("t"), size(s["t"]).alias("l"), packed(s).alias("v"))
+
+    counts = F.aggregate(F.array(*[F.lit(c) for c in LETTERS]), start, step, packed)
+    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 3 * len(LETTERS))).bitwiseOR(counts)
 
 
 def letters_agree(a: Column, b: Column, edits: int) -> Column:
@@ -80,17 +87,16 @@ def probes(edits: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def edit_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two lines if it is ``edits`` at most, else NULL: a banded automaton in one integer.
+def edit_distance(left: Column, right: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters if it is ``edits`` at most, else NULL: a banded automaton in one integer.
 
-    Register e holds one bit per diagonal: which prefixes of ``a`` the prefix of
-    ``b`` read so far reaches with e edits at most.  One character moves all
+    Register e holds one bit per diagonal: which prefixes of ``left`` the prefix of
+    ``right`` read so far reaches with e edits at most.  One character moves all
     diagonals of all registers by shifts and masks.
     """
     width = 2 * edits + 1
     ones = (1 << width) - 1
-    left, right = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
+    m, n = F.size(left), F.size(right)
 
     def matches(j: Column) -> Column:
         bits = [F.when(F.get(left, j + (d - edits)) == F.get(right, j), F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)]
@@ -108,11 +114,37 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     start = sum(((1 << (e + 1)) - 1) << edits + width * e for e in range(edits + 1))
     if width * (edits + 1) > 30:
         raise ValueError("the registers of so many edits do not fit an integer")
-    masks = F.transform(F.sequence(F.lit(0), n - 1), matches)
-    end = F.aggregate(masks, F.lit(start), step)
+    masks = F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), matches)
+    end = F.array(F.aggregate(masks, F.lit(start), step))
     diagonal = m - n + edits
-    reached = [F.when(F.getbit(end, diagonal + width * e) == 1, F.lit(e)) for e in range(edits + 1)]
-    return F.when(F.abs(m - n) <= edits, F.coalesce(*reached))
+    # The array binds the end state, which is worked out once and read per register.
+    reached = F.transform(end, lambda x: F.coalesce(*[F.when(F.getbit(x, diagonal + width * e) == 1, F.lit(e)) for e in range(edits + 1)]))
+    return F.when(F.abs(m - n) <= edits, reached[0])
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings (up to 2 ** 21 - 1), found by halving steps."""
+    most = F.least(F.char_length(a), F.char_length(b))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(21))])
+
+    def step(at: Column, more: Column) -> Column:
+        same = (at + more <= most) & (F.substring(a, at + 1, more) == F.substring(b, at + 1, more))
+        return F.when(same, at + more).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def can_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings without a common prefix or suffix can be ``edits`` apart; never false when they are.
+
+    The first and the last step from one to the other are edits.  With two edits
+    everything between them matches, so the characters after the first do too.
+    """
+    if edits != 2:
+        return F.lit(True)
+    piece = lambda text, at: F.substring(text, F.lit(at), F.lit(12))
+    follow = (piece(a, 2) == piece(b, 2)) | (piece(a, 2) == piece(b, 1)) | (piece(a, 1) == piece(b, 2))
+    return (F.greatest(F.char_length(a), F.char_length(b)) <= 14) | follow
 
 
 def candidates(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -135,12 +167,20 @@ def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs = materialise(candidates(distinct, edits), "candidates")
     tags = materialise(pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct(), "tags")
     few = tags.count() <= BROADCAST_LINES
-    texts = distinct.join(F.broadcast(tags) if few else tags, "tag", "left_semi").select("tag", "id", "line")
+    texts = distinct.join(F.broadcast(tags) if few else tags, "tag", "left_semi").select("tag", "id", "line", "n")
     texts = materialise(texts, "candidate-lines")
-    left = texts.toDF("a", "id_a", "line_a")
-    right = texts.toDF("b", "id_b", "line_b")
-    both = pairs.join(left, "a").join(right, "b").where("id_a <> id_b")
-    found = both.select("id_a", "id_b", F.least(F.char_length("line_a"), F.char_length("line_b")).alias("n"), edit_distance(F.col("line_a"), F.col("line_b"), edits).alias("distance"))
+    both = pairs.join(texts.toDF("a", "id_a", "line_a", "n_a"), "a").join(texts.toDF("b", "id_b", "line_b", "n_b"), "b").where("id_a <> id_b")
+    # What is equal at both ends leaves the distance as it is.
+    cut = both.select("id_a", "id_b", F.least("n_a", "n_b").alias("n"), "line_a", "line_b", common_prefix(F.col("line_a"), F.col("line_b")).alias("p"))
+    rest = lambda c: F.substring(c, F.col("p") + 1, F.char_length(c))
+    cut = materialise(cut.select("id_a", "id_b", "n", rest("line_a").alias("a"), rest("line_b").alias("b")), "heads")
+    cut = cut.select("id_a", "id_b", "n", "a", "b", common_prefix(F.reverse("a"), F.reverse("b")).alias("q"))
+    rest = lambda c: F.substring(c, F.lit(1), F.char_length(c) - F.col("q"))
+    cut = materialise(cut.select("id_a", "id_b", "n", rest("a").alias("a"), rest("b").alias("b")), "middles")
+    # Written as arrays and with their distance, so that neither is worked out again for each use.
+    near = cut.where(can_be_near(F.col("a"), F.col("b"), edits))
+    near = materialise(near.select("id_a", "id_b", "n", F.split("a", "").alias("a"), F.split("b", "").alias("b")), "near")
+    found = materialise(near.select("id_a", "id_b", "n", edit_distance(F.col("a"), F.col("b"), edits).alias("distance")), "distances")
     found = found.where((F.col("distance") > 0) & (F.col("distance") <= F.floor(F.col("n") / CHARS_PER_EDIT)))
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "distance").distinct()
 

@@ -67,7 +67,7 @@ def test_banded_automaton_equals_edit_distance(spark, edits):
         b = edited(rng, a, rng.randint(0, edits + 2))
         if b:
             rows.append((a, b))
-    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", L.edit_distance(F.col("a"), F.col("b"), edits).alias("d")).collect()
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", L.edit_distance(F.split("a", ""), F.split("b", ""), edits).alias("d")).collect()
     assert all(r.d == (d if (d := distance(r.a, r.b)) <= edits else None) for r in got)
 
 
