@@ -64,18 +64,6 @@ def uniform_draw(*keys: Column | str | int) -> Column:
     return (word + 0.5) / 4294967296.0
 
 
-def configs(**grids: Sequence) -> Column:
-    """Array of structs, one per combination of the given literal grids.
-
-    ``df.withColumn("cfg", F.explode(configs(confidence_level=[.95, .99])))``
-    fans rows out to the parameter grid without a join.
-    """
-    combos: list[dict] = [{}]
-    for name, values in grids.items():
-        combos = [{**c, name: v} for c in combos for v in values]
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in combos])
-
-
 def literal_rows(rows: Sequence[dict]) -> Column:
     """Array of structs from a short list of literal records."""
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
@@ -97,10 +85,6 @@ def array_mean(a: Column) -> Column:
     return ratio(array_sum(a), F.size(a).cast("double"))
 
 
-def central_sum(a: Column, mean: Column, power: int) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x - mean, F.lit(float(power))))
-
-
 def array_quantile(sorted_a: Column, q: Column | float) -> Column:
     """Linear-interpolated quantile of an ascending array (numpy/pandas default)."""
     q = F.lit(q) if isinstance(q, float) else q

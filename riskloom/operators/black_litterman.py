@@ -27,10 +27,10 @@ def market_weights(baseline: DataFrame) -> DataFrame:
     return avg.withColumn("w", F.when(total > 0, F.col("w") / total).otherwise(1.0 / F.count("*").over(whole)))
 
 
-def equilibrium_returns(cov: DataFrame, market: DataFrame, delta: float = 2.5) -> DataFrame:
+def equilibrium_returns(cov: DataFrame, market: DataFrame, delta: float = 2.5, periods: float = TRADING_DAYS) -> DataFrame:
     """(asset, pi): delta * S w, annualised."""
     full = mirror(cov.select("i", "j", "cov")).join(market.withColumnRenamed("asset", "j"), "j")
-    return full.groupBy(F.col("i").alias("asset")).agg((F.sum(F.col("cov") * F.col("w")) * delta * TRADING_DAYS).alias("pi"))
+    return full.groupBy(F.col("i").alias("asset")).agg((F.sum(F.col("cov") * F.col("w")) * delta * periods).alias("pi"))
 
 
 def return_differentials(rets: DataFrame, n: int) -> DataFrame:
@@ -42,11 +42,11 @@ def return_differentials(rets: DataFrame, n: int) -> DataFrame:
     return pairs.select(F.col("a.asset").alias("asset_1"), F.col("b.asset").alias("asset_2"), diff.alias("return_diff")).orderBy(F.desc(F.abs("return_diff")), "asset_1", "asset_2").limit(n)
 
 
-def synthetic_views(rets: DataFrame, n: int, seed: int = 7) -> DataFrame:
+def synthetic_views(rets: DataFrame, n: int, seed: int = 7, periods: float = TRADING_DAYS) -> DataFrame:
     """Relative views from the largest differentials; (view_id, asset, p, q, confidence)."""
     d = return_differentials(rets, n).withColumn("view_id", F.concat_ws("-", "asset_1", "asset_2"))
     pick = F.floor(uniform_draw(seed, F.col("view_id")) * len(CONFIDENCES)).cast("int")
-    d = d.withColumn("confidence", F.get(F.array(*[F.lit(c) for c in CONFIDENCES]), pick)).withColumn("q", F.col("return_diff") * TRADING_DAYS)
+    d = d.withColumn("confidence", F.get(F.array(*[F.lit(c) for c in CONFIDENCES]), pick)).withColumn("q", F.col("return_diff") * periods)
     legs = F.array(F.struct(F.col("asset_1").alias("asset"), F.lit(1.0).alias("p")), F.struct(F.col("asset_2").alias("asset"), F.lit(-1.0).alias("p")))
     return d.select("view_id", "q", "confidence", F.inline(legs)).select("view_id", "asset", "p", "q", "confidence")
 
@@ -134,12 +134,7 @@ def diagnostics(post: DataFrame, market: DataFrame) -> DataFrame:
     return g.join(post.select("set_id", "mean_variance_change", "trace_omega", "n_views", "view_consistency"), "set_id")
 
 
-def expand_weights(sets: DataFrame, post: DataFrame) -> DataFrame:
-    """Weights of the asset set given to each of its portfolios."""
-    return sets.select("portfolio_id", "set_id").join(posterior_long(post).select("set_id", "asset", "w"), "set_id").select("portfolio_id", "asset", "w")
-
-
-def slices_against_benchmark(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+def slices_against_benchmark(series: DataFrame, keys: Sequence[str], periods: float = TRADING_DAYS) -> DataFrame:
     """Active return, tracking error and information ratio of posterior against prior and market.
 
     ``series`` has columns posterior, prior, market per key and date.
@@ -147,10 +142,10 @@ def slices_against_benchmark(series: DataFrame, keys: Sequence[str]) -> DataFram
 
     def block(a: str, b: str, name: str):
         d = F.col(a) - F.col(b)
-        te = F.stddev_samp(d) * TRADING_DAYS ** 0.5
+        te = F.stddev_samp(d) * periods ** 0.5
         return [
-            (F.avg(d) * TRADING_DAYS).alias(f"active_return_vs_{name}"), te.alias(f"tracking_error_vs_{name}"),
-            ratio(F.avg(d) * TRADING_DAYS, te).alias(f"information_ratio_vs_{name}"),
+            (F.avg(d) * periods).alias(f"active_return_vs_{name}"), te.alias(f"tracking_error_vs_{name}"),
+            ratio(F.avg(d) * periods, te).alias(f"information_ratio_vs_{name}"),
         ]
 
     return series.groupBy(*keys).agg(*block("posterior", "market", "market"), *block("posterior", "prior", "prior"))

@@ -230,29 +230,36 @@ def top_k_per_tool(df: DataFrame, metrics: dict[str, bool], k: int, tool: str =
 
 
 def composite_score(
-    df: DataFrame, components: Sequence[tuple[Column, float, bool]], missing: float, keep_constant: bool, name: str = "score"
+    df: DataFrame, components: Sequence[tuple[Column, float, bool]], missing: float | None, keep_constant: bool, name: str = "score"
 ) -> DataFrame:
     """Weighted sum of min-max normalised components (value, weight, inverted).
 
     A component without spread counts as its raw value (``keep_constant``) or as 0.
+    A missing value is ``missing`` or, if that is None, the largest value found.
     The bounds of all components come from one aggregate used as a scalar.
     """
-    work = df.withColumns({f"__c{k}": F.coalesce(c, F.lit(missing)) for k, (c, _, _) in enumerate(components)})
+    fill = (lambda c: c) if missing is None else (lambda c: F.coalesce(c, F.lit(missing)))
+    work = df.withColumns({f"__c{k}": fill(c) for k, (c, _, _) in enumerate(components)})
     bounds = work.agg(F.struct(*[F.struct(F.min(f"__c{k}").alias("lo"), F.max(f"__c{k}").alias("hi")).alias(f"b{k}") for k in range(len(components))]).alias("b")).scalar()
     work = work.withColumn("__b", bounds)
     total = F.lit(0.0)
     for k, (_, weight, inverted) in enumerate(components):
-        lo, hi, v = F.col(f"__b.b{k}.lo"), F.col(f"__b.b{k}.hi"), F.col(f"__c{k}")
+        lo, hi = F.col(f"__b.b{k}.lo"), F.col(f"__b.b{k}.hi")
+        v = F.coalesce(f"__c{k}", hi, F.lit(0.0))
         norm = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(v if keep_constant else F.lit(0.0))
         total = total + weight * ((1.0 - norm) if inverted else norm)
     return work.withColumn(name, total).select(*df.columns, name)
 
 
 def configuration_scores(metrics: DataFrame) -> DataFrame:
-    """Composite of hit-rate gap, violation-ratio gap and RMSE over violations (lower is better)."""
+    """Composite of hit-rate gap, violation-ratio gap and RMSE over violations (lower is better).
+
+    A configuration without a violation has no RMSE; a missing component counts
+    as the worst of those that have one, or as 0 where none has.
+    """
     gap = F.abs(F.col("hit_rate") - (1 - F.col("confidence_level")))
     parts = [(gap, 0.5, False), (F.abs(F.col("violation_ratio") - 1.0), 0.3, False), (F.col("rmse_violations"), 0.2, False)]
-    return composite_score(metrics, parts, missing=float("inf"), keep_constant=True)
+    return composite_score(metrics, parts, missing=None, keep_constant=True)
 
 
 def rank_portfolios(metrics: DataFrame, weights: dict[str, tuple[float, bool]], percentiles: Sequence[int] = (1, 5, 10)) -> tuple[DataFrame, DataFrame]:

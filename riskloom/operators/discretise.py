@@ -84,6 +84,22 @@ def discrete_var_cvar(law: DataFrame, keys: Sequence[str], confidence: Sequence[
     return out.withColumn("cvar", F.col("var") + tail / (1 - F.col("confidence_level"))).drop("cells")
 
 
+def scaled_var_cvar(df: DataFrame, keys: Sequence[str], bits: int, confidence: Sequence[float]) -> DataFrame:
+    """VaR and CVaR of the laws of ``normal_law`` (columns mu, sigma) without building them.
+
+    All laws share one grid in standard units, so both measures are mu + sigma * k
+    with two constants per level, read off the law of mu 0 and sigma 1.
+    """
+    from riskloom.functions.columns import literal_rows
+
+    spark = df.sparkSession
+    unit = normal_law(spark.range(1).select("id", F.lit(0.0).alias("mu"), F.lit(1.0).alias("sigma")), ["id"], bits)
+    levels = [r.asDict() for r in discrete_var_cvar(unit, ["id"], confidence).select("confidence_level", "var", "cvar").collect()]
+    at = df.select(*keys, "mu", "sigma", F.explode(literal_rows(levels)).alias("k"))
+    scaled = lambda c: F.col("mu") + F.col("sigma") * F.col(f"k.{c}")
+    return at.select(*keys, F.col("k.confidence_level").alias("confidence_level"), scaled("var").alias("var"), scaled("cvar").alias("cvar"))
+
+
 def cdf_and_tail(law: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative probability and tail expectation at every cell of a discretised law."""
     w = Window.partitionBy(*keys).orderBy("cell")

@@ -19,8 +19,8 @@ def last_rows(rets: DataFrame, window: int | None) -> DataFrame:
     return rets.withColumn("__b", back).filter(F.col("__b") <= window).drop("__b")
 
 
-def expected_returns(rets: DataFrame, window: int | None = None) -> DataFrame:
-    return last_rows(rets, window).groupBy("asset").agg((F.avg("r") * TRADING_DAYS).alias("mu"))
+def expected_returns(rets: DataFrame, window: int | None = None, periods: float = TRADING_DAYS) -> DataFrame:
+    return last_rows(rets, window).groupBy("asset").agg((F.avg("r") * periods).alias("mu"))
 
 
 def sample_covariance(rets: DataFrame, window: int | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def _rows_by_date(rets: DataFrame) -> DataFrame:
     return rets.groupBy("date").agg(F.transform(packed, lambda x: x["r"]).alias("r"))
 
 
-def _path_arrays(x: np.ndarray, alpha: float) -> dict[str, np.ndarray]:
+def _path_arrays(x: np.ndarray, alpha: float, periods: float) -> dict[str, np.ndarray]:
     """Statistics of a (portfolios x dates) block, one vector per statistic."""
     n = x.shape[1]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -82,14 +82,15 @@ def _path_arrays(x: np.ndarray, alpha: float) -> dict[str, np.ndarray]:
             "skewness": (e2 * e).mean(axis=1) / m2 ** 1.5, "kurtosis": (e2 * e2).mean(axis=1) / (m2 * m2) - 3,
             "downside_all": np.sqrt(down2 / n), "downside_negative": np.sqrt(down2 / n_neg),
             "max_drawdown": np.abs(np.minimum((growth / peak - 1).min(axis=1), 0.0)), "compounded_return": growth[:, -1] - 1,
-            "annual_growth": growth[:, -1] ** (TRADING_DAYS / n), "value_at_risk": np.abs(q),
+            "annual_growth": growth[:, -1] ** (periods / n), "value_at_risk": np.abs(q),
             "conditional_value_at_risk": np.abs(np.where(tail, x, 0.0).sum(axis=1) / tail.sum(axis=1)),
             "worst": x.min(axis=1), "best": x.max(axis=1),
         }
 
 
 def evaluate(
-    weights: DataFrame, rets: DataFrame, slice_type: str | None = None, alpha: float = 0.05, max_cells: int = MAX_INLINE_CELLS
+    weights: DataFrame, rets: DataFrame, slice_type: str | None = None, alpha: float = 0.05, max_cells: int = MAX_INLINE_CELLS,
+    periods: float = TRADING_DAYS,
 ) -> DataFrame:
     """Path statistics of every portfolio (and period): (portfolio_id, [slice,] n, ...).
 
@@ -101,7 +102,7 @@ def evaluate(
     slice_of = period_key(F.col("date"), slice_type) if slice_type else F.lit("")
     n_cells, _ = panel_shape(rets)
     if n_cells == 0 or n_cells > max_cells:
-        stats = path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha)
+        stats = path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha, periods)
         spans = rets.groupBy(slice_of.alias("slice")).agg(F.count_distinct("date").cast("int").alias("n"))  # bounded by the calendar
         spans = spans.agg(F.collect_list(F.struct("slice", "n")).alias("s")).scalar()
         every = weights.select("portfolio_id").distinct().withColumn("s", F.explode(spans)).select("portfolio_id", *(["s.slice"] if slice_type else []), F.col("s.n").alias("n"))
@@ -125,7 +126,7 @@ def evaluate(
                 part = w[lo:lo + step]
                 empty = ~part.any(axis=1)
                 for name, span in spans.items():
-                    stats = _path_arrays(part @ matrix[span].T, alpha)
+                    stats = _path_arrays(part @ matrix[span].T, alpha, periods)
                     cols = [ids.slice(lo, len(part)), pa.array(np.full(len(part), len(span), dtype=np.int32))]
                     cols += [pa.array(stats[c], mask=empty | ~np.isfinite(stats[c])) for c in STATISTICS]
                     if slice_type:
@@ -183,7 +184,7 @@ def batch_returns(weights: DataFrame, rets: DataFrame, max_cells: int = MAX_INLI
     return out.select("portfolio_id", "date", F.when(F.col("held"), weighted_sum("w", "r", n_assets)).alias("r"))
 
 
-def path_statistics(paths: DataFrame, keys: Sequence[str] = ("portfolio_id",), alpha: float = 0.05) -> DataFrame:
+def path_statistics(paths: DataFrame, keys: Sequence[str] = ("portfolio_id",), alpha: float = 0.05, periods: float = TRADING_DAYS) -> DataFrame:
     """The statistics of ``evaluate`` for paths held as arrays, without leaving the JVM."""
     k = list(keys)
     a = paths.select(*k, "rets", F.sort_array("rets").alias("s"), array_mean(F.col("rets")).alias("m"), F.size("rets").alias("n"))
@@ -213,20 +214,20 @@ def path_statistics(paths: DataFrame, keys: Sequence[str] = ("portfolio_id",), a
         (ratio(F.col("s4") / n, F.col("s2") / n * F.col("s2") / n) - 3).alias("kurtosis"),
         F.sqrt(F.col("down2") / n).alias("downside_all"), F.sqrt(ratio(F.col("down2"), F.col("n_negative").cast("double"))).alias("downside_negative"),
         "max_drawdown", (F.exp("log_growth") - 1).alias("compounded_return"),
-        F.pow(F.exp("log_growth"), F.lit(float(TRADING_DAYS)) / n).alias("annual_growth"),
+        F.pow(F.exp("log_growth"), F.lit(float(periods)) / n).alias("annual_growth"),
         F.abs("q").alias("value_at_risk"), F.abs(ratio(array_sum(tail), F.size(tail).cast("double"))).alias("conditional_value_at_risk"),
         F.get("s", F.lit(0)).alias("worst"), F.get("s", n - 1).alias("best"),
     )
 
 
-def batch_metrics(weights: DataFrame, rets: DataFrame, slice_type: str | None = None, risk_free: float = 0.0) -> DataFrame:
+def batch_metrics(weights: DataFrame, rets: DataFrame, slice_type: str | None = None, risk_free: float = 0.0, periods: float = TRADING_DAYS) -> DataFrame:
     """The standard metric table, one row per portfolio (and period), in a single pass."""
     keys = ["portfolio_id"] + (["slice"] if slice_type else [])
-    return annualised_metrics(evaluate(weights, rets, slice_type), keys, risk_free)
+    return annualised_metrics(evaluate(weights, rets, slice_type, periods=periods), keys, risk_free, periods)
 
 
-def annualised_metrics(stats: DataFrame, keys: Sequence[str], risk_free: float = 0.0) -> DataFrame:
-    year = F.lit(float(TRADING_DAYS))
+def annualised_metrics(stats: DataFrame, keys: Sequence[str], risk_free: float = 0.0, periods: float = TRADING_DAYS) -> DataFrame:
+    year = F.lit(float(periods))
     mean, vol = F.col("mean") * year, F.col("std") * F.sqrt(year)
     jb = F.col("n") / 6.0 * (F.col("skewness") ** 2 + F.col("kurtosis") ** 2 / 4.0)
     return stats.select(
@@ -237,9 +238,9 @@ def annualised_metrics(stats: DataFrame, keys: Sequence[str], risk_free: float =
     )
 
 
-def ratio_variants(stats: DataFrame, risk_free: float = 0.0001) -> DataFrame:
+def ratio_variants(stats: DataFrame, risk_free: float = 0.0001, periods: float = TRADING_DAYS) -> DataFrame:
     """Both Sharpe and Sortino conventions, tail-risk ratios and realised growth."""
-    year = float(TRADING_DAYS)
+    year = float(periods)
     mean, vol = F.col("mean") * year, F.col("std") * year ** 0.5
     down = F.col("downside_negative") * year ** 0.5
     cvar, var = F.col("conditional_value_at_risk"), F.col("value_at_risk")
@@ -256,16 +257,16 @@ def ratio_variants(stats: DataFrame, risk_free: float = 0.0001) -> DataFrame:
     )
 
 
-def slice_performance(weights: DataFrame, rets: DataFrame, slice_type: str) -> DataFrame:
+def slice_performance(weights: DataFrame, rets: DataFrame, slice_type: str, periods: float = TRADING_DAYS) -> DataFrame:
     """Per portfolio and period: observations, mean, volatility, Sharpe, extremes, compounded and annualised return."""
-    stats = evaluate(weights, rets, slice_type)
-    vol = F.col("std") * TRADING_DAYS ** 0.5
-    mean = F.col("mean") * TRADING_DAYS
+    stats = evaluate(weights, rets, slice_type, periods=periods)
+    vol = F.col("std") * periods ** 0.5
+    mean = F.col("mean") * periods
     return stats.select(
         "portfolio_id", "slice", "n", mean.alias("mean_return"), vol.alias("volatility"), ratio(mean, vol).alias("sharpe_ratio"),
         F.col("worst").alias("min_return"), F.col("best").alias("max_return"), "compounded_return", (F.col("annual_growth") - 1).alias("annualised_return"),
-        "max_drawdown", (F.col("downside_all") * TRADING_DAYS ** 0.5).alias("downside_deviation"),
-        ratio(mean, F.col("downside_all") * TRADING_DAYS ** 0.5).alias("sortino_ratio"), ratio(mean, F.col("max_drawdown")).alias("calmar_ratio"),
+        "max_drawdown", (F.col("downside_all") * periods ** 0.5).alias("downside_deviation"),
+        ratio(mean, F.col("downside_all") * periods ** 0.5).alias("sortino_ratio"), ratio(mean, F.col("max_drawdown")).alias("calmar_ratio"),
         "value_at_risk", "conditional_value_at_risk",
     )
 
@@ -372,7 +373,7 @@ def active_share(weights: DataFrame, market: DataFrame) -> DataFrame:
     return arrays.select("portfolio_id", (F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) / 2).alias("active_share"))
 
 
-def benchmark_metrics(weights: DataFrame, rets: DataFrame, market: DataFrame) -> DataFrame:
+def benchmark_metrics(weights: DataFrame, rets: DataFrame, market: DataFrame, periods: float = TRADING_DAYS) -> DataFrame:
     """Active return, tracking error and information ratio against the market portfolio."""
     u = universe_array(rets)
     m = weight_arrays(market.withColumn("portfolio_id", F.lit(0)), u).select("w").scalar()
@@ -380,7 +381,7 @@ def benchmark_metrics(weights: DataFrame, rets: DataFrame, market: DataFrame) ->
     active = weight_arrays(weights, u).withColumn("m", m).select("portfolio_id", "assets", F.zip_with("w", "m", lambda a, b: a - b).alias("w"))
     long = active.select("portfolio_id", F.explode(F.arrays_zip("assets", "w")).alias("e")).select("portfolio_id", F.col("e.assets").alias("asset"), F.col("e.w").alias("w"))
     s = evaluate(long, rets)
-    year = float(TRADING_DAYS)
+    year = float(periods)
     return s.select(
         "portfolio_id", (F.col("mean") * year).alias("active_return"), (F.col("std") * year ** 0.5).alias("tracking_error"),
         ratio(F.col("mean") * year ** 0.5, F.col("std")).alias("information_ratio"),
@@ -393,10 +394,10 @@ def equal_weights(weights: DataFrame) -> DataFrame:
     return held.select("portfolio_id", "asset", (1.0 / F.count("*").over(Window.partitionBy("portfolio_id"))).alias("w"))
 
 
-def compare_with_equal_weight(weights: DataFrame, rets: DataFrame) -> DataFrame:
+def compare_with_equal_weight(weights: DataFrame, rets: DataFrame, periods: float = TRADING_DAYS) -> DataFrame:
     """Volatility reduction and Sharpe gain of each portfolio over its equal-weight twin."""
-    base = batch_metrics(equal_weights(weights), rets).select("portfolio_id", F.col("volatility").alias("ev"), F.col("sharpe_ratio").alias("es"))
-    own = batch_metrics(weights, rets).select("portfolio_id", "volatility", "sharpe_ratio")
+    base = batch_metrics(equal_weights(weights), rets, periods=periods).select("portfolio_id", F.col("volatility").alias("ev"), F.col("sharpe_ratio").alias("es"))
+    own = batch_metrics(weights, rets, periods=periods).select("portfolio_id", "volatility", "sharpe_ratio")
     j = own.join(base, "portfolio_id")
     return j.select(
         "portfolio_id", "volatility", F.col("ev").alias("equal_weight_volatility"),

@@ -63,16 +63,6 @@ def parametric_var_cvar(rets: DataFrame, keys: Sequence[str], confidence: Sequen
     )
 
 
-def percentile_var_cvar_abs(rets: DataFrame, keys: Sequence[str], q: float = 0.05, value: str = "r") -> DataFrame:
-    """Absolute percentile VaR and the absolute mean of returns at or below -VaR."""
-    v = rets.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("q"))
-    v = v.withColumn("cut", F.when(F.abs("q") > 0, -F.abs("q")).otherwise(F.col("q")))
-    return rets.join(v, list(keys)).groupBy(*keys).agg(
-        F.abs(F.first("q")).alias("value_at_risk"),
-        F.abs(F.avg(F.when(F.col(value) <= F.col("cut"), F.col(value)))).alias("conditional_value_at_risk"),
-    )
-
-
 def order_statistic_var_cvar(losses: Column, confidence: Column) -> Column:
     """VaR at rank floor(c n) of an array of losses, CVaR as the tail mean, both floored.
 

@@ -48,10 +48,10 @@ def rolling_moments(rets: DataFrame, windows: list[int], population: bool = Fals
     return out.filter((F.col("rn") - F.col("estimation_window") - lag) % step == 0).drop("n", "rn") if step > 1 else out.drop("n", "rn")
 
 
-def annualised_mean_last(rets: DataFrame, window: int) -> DataFrame:
+def annualised_mean_last(rets: DataFrame, window: int, periods: float = TRADING_DAYS) -> DataFrame:
     """Annualised mean of the last ``window`` rows of each asset."""
     tail = rets.withColumn("back", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("date")))).filter(F.col("back") <= window)
-    return tail.groupBy("asset").agg((F.avg("r") * TRADING_DAYS).alias("mu"), F.max("date").alias("date"))
+    return tail.groupBy("asset").agg((F.avg("r") * periods).alias("mu"), F.max("date").alias("date"))
 
 
 def rolling_quantile(rets: DataFrame, window: int, q: float, value: str = "loss") -> DataFrame:

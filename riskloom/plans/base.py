@@ -12,6 +12,7 @@ from riskloom.sources import tables
 WINDOWS = [26, 52]
 CONFIDENCE = [0.95, 0.99]
 HORIZONS = [1, 10]
+WEEKS = 52  # periods per year of weekly returns
 
 
 def d(x: float) -> str:

@@ -132,14 +132,13 @@ def within_tolerance(spark, sf):
 
 _SCORED = """
     SELECT *, 5e-1 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 3e-1 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) + 2e-1 * (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS score
-    FROM (SELECT *, abs(hit_rate - (1 - confidence_level)) AS a, abs(violation_ratio - 1) AS b, rmse_violations AS c FROM model_metrics WHERE rmse_violations IS NOT NULL)"""
+    FROM (SELECT *, abs(hit_rate - (1 - confidence_level)) AS a, abs(violation_ratio - 1) AS b, coalesce(rmse_violations, max(rmse_violations) OVER (), 0e0) AS c FROM model_metrics)"""
 
 
 @query("best_configurations", "K3", f"""
     SELECT {KEYS_SQL}, score FROM (SELECT {KEYS_SQL}, round(score, 9) AS score FROM ({_SCORED})) ORDER BY score, {KEYS_SQL} LIMIT 10""", "confidence_level threshold_quantile score", 7)
 def best_configurations(spark, sf):
-    m = model_metrics(spark, sf).filter("rmse_violations IS NOT NULL")
-    s = compare.configuration_scores(m).withColumn("score", F.round("score", 9))
+    s = compare.configuration_scores(model_metrics(spark, sf)).withColumn("score", F.round("score", 9))
     return s.select(*MODEL_KEYS, "score").orderBy("score", *MODEL_KEYS).limit(10)
 
 
@@ -201,7 +200,7 @@ METRICS = ["mean_return", "volatility", "sharpe_ratio", "max_drawdown", "conditi
 
 def metric_table(spark, sf):
     w = tables.weights(spark, sf)
-    return materialise(portfolio.batch_metrics(w, simple_returns(spark, sf)).join(portfolio.structure(w), "portfolio_id"), "metrics")
+    return materialise(portfolio.batch_metrics(w, simple_returns(spark, sf), periods=base.WEEKS).join(portfolio.structure(w), "portfolio_id"), "metrics")
 
 
 @query("descriptive_statistics", "A2 A1", " UNION ALL ".join(f"""
@@ -296,7 +295,7 @@ def tool_table(spark, sf):
     Equal-weight twins of one asset set tie exactly; rounding keeps them tied.
     """
     w, r = tables.weights(spark, sf), simple_returns(spark, sf)
-    both = compare.union_models({"baseline": portfolio.batch_metrics(w, r), "equal_weight": portfolio.batch_metrics(portfolio.equal_weights(w), r)})
+    both = compare.union_models({"baseline": portfolio.batch_metrics(w, r, periods=base.WEEKS), "equal_weight": portfolio.batch_metrics(portfolio.equal_weights(w), r, periods=base.WEEKS)})
     return materialise(round_doubles(both.withColumnRenamed("model", "tool_name"), 9), "tools")
 
 
@@ -348,7 +347,7 @@ def tool_checks(spark, sf):
     FROM (SELECT portfolio_id, sum(w) AS s, min(w) AS low FROM weights GROUP BY 1)""")
 def portfolio_table_checks(spark, sf):
     w = tables.weights(spark, sf)
-    return compare.portfolio_table_checks(w, portfolio.batch_metrics(w, simple_returns(spark, sf)))
+    return compare.portfolio_table_checks(w, portfolio.batch_metrics(w, simple_returns(spark, sf), periods=base.WEEKS))
 
 
 @query("validity_gate", "P16", """
@@ -363,7 +362,7 @@ def validity_gate(spark, sf):
              concat_ws(',', CASE WHEN n_positive IS NULL THEN 'n_positive' END, CASE WHEN sortino_ratio IS NULL THEN 'sortino_ratio' END, CASE WHEN calmar_ratio IS NULL THEN 'calmar_ratio' END) AS missing_names
       FROM (SELECT *, CASE WHEN mean_return > 0 THEN mean_return END AS n_positive FROM pm))""")
 def metric_completeness(spark, sf):
-    m = portfolio.batch_metrics(tables.weights(spark, sf), simple_returns(spark, sf)).withColumn("n_positive", F.when(F.col("mean_return") > 0, F.col("mean_return")))
+    m = portfolio.batch_metrics(tables.weights(spark, sf), simple_returns(spark, sf), periods=base.WEEKS).withColumn("n_positive", F.when(F.col("mean_return") > 0, F.col("mean_return")))
     return compare.completeness_audit(m, "portfolio_id", ["n_positive", "sortino_ratio", "calmar_ratio"])
 
 
@@ -371,7 +370,7 @@ def metric_completeness(spark, sf):
 
 cte("strata_base", """
     SELECT portfolio_id, s.n_assets, e.v AS equal_weight_volatility, 1e0 / s.n_assets AS equal_weight_hhi FROM structure s JOIN (
-      SELECT portfolio_id, stddev_samp(r) * sqrt(252) AS v FROM equal_pr GROUP BY portfolio_id) e USING (portfolio_id)""")
+      SELECT portfolio_id, stddev_samp(r) * sqrt(52) AS v FROM equal_pr GROUP BY portfolio_id) e USING (portfolio_id)""")
 cte("strata", """
     SELECT portfolio_id, n_assets, count_bin, vol_bin, hhi_bin, concat_ws('_', count_bin, vol_bin, hhi_bin) AS stratum FROM (
       SELECT *, CASE WHEN n_assets <= 3 THEN 'assets_3' WHEN n_assets <= 5 THEN 'assets_5' WHEN n_assets <= 7 THEN 'assets_7' WHEN n_assets <= 10 THEN 'assets_10' ELSE 'assets_10_plus' END AS count_bin,
@@ -386,7 +385,7 @@ def strata(spark, sf):
     sets = portfolio.asset_sets(tables.weights(spark, sf), 0.0)
     d_ = portfolio.set_dictionary(sets)
     eq = d_.select(F.col("set_id").alias("portfolio_id"), F.explode("assets").alias("asset"), (1.0 / F.col("n_assets")).alias("w"))
-    vol = portfolio.batch_metrics(eq, simple_returns(spark, sf)).select(F.col("portfolio_id").alias("set_id"), F.round("volatility", 9).alias("equal_weight_volatility"))
+    vol = portfolio.batch_metrics(eq, simple_returns(spark, sf), periods=base.WEEKS).select(F.col("portfolio_id").alias("set_id"), F.round("volatility", 9).alias("equal_weight_volatility"))
     per_set = d_.select("set_id", "n_assets", F.round(1.0 / F.col("n_assets"), 9).alias("equal_weight_hhi")).join(vol, "set_id")
     p = sets.select("portfolio_id", "set_id").join(materialise(per_set, "sets"), "set_id").drop("set_id")
     return materialise(sampling.stratify(materialise(p, "portfolios")), "strata")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import factors, risk, rolling
-from riskloom.plans.base import CONFIDENCE, simple_returns
+from riskloom.plans.base import CONFIDENCE, WEEKS, simple_returns
 from riskloom.plans.registry import cte, query
 from riskloom.session import materialise
 from riskloom.sources import tables
@@ -19,9 +19,9 @@ def sample_covariance(spark, sf):
     return factors.sample_covariance(simple_returns(spark, sf), 52)
 
 
-@query("expected_returns", "FAC6", "SELECT asset, avg(r) * 252 AS mu FROM last52 GROUP BY asset", "mu")
+@query("expected_returns", "FAC6", "SELECT asset, avg(r) * 52 AS mu FROM last52 GROUP BY asset", "mu")
 def expected_returns(spark, sf):
-    return factors.expected_returns(simple_returns(spark, sf), 52)
+    return factors.expected_returns(simple_returns(spark, sf), 52, WEEKS)
 
 
 cte("pop_cov", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import panel, rolling
 from riskloom.plans import base
-from riskloom.plans.base import log_returns, prices, simple_returns
+from riskloom.plans.base import WEEKS, log_returns, prices, simple_returns
 from riskloom.plans.registry import cte, query
 from riskloom.sources import tables
 from riskloom.sources.portfolios import universe_array
@@ -132,10 +132,10 @@ def rolling_moments(spark, sf):
 
 
 @query("annualised_mean_last_window", "W3 F12 FAC6", """
-    SELECT asset, avg(r) * 252 AS mu, max(date) AS date FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS back FROM simple_returns)
+    SELECT asset, avg(r) * 52 AS mu, max(date) AS date FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS back FROM simple_returns)
     WHERE back <= 52 GROUP BY asset""", "mu")
 def annualised_mean_last_window(spark, sf):
-    return rolling.annualised_mean_last(simple_returns(spark, sf), 52)
+    return rolling.annualised_mean_last(simple_returns(spark, sf), 52, WEEKS)
 
 
 @query("rolling_loss_quantile", "W4", """

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import portfolio, risk, rolling
-from riskloom.plans.base import simple_returns
+from riskloom.plans.base import WEEKS, simple_returns
 from riskloom.plans.registry import cte, query
+from riskloom.session import materialise
 from riskloom.sources import portfolios as src
 from riskloom.sources import tables
 
 cte("pr", "SELECT portfolio_id, date, sum(w * r) AS r FROM weights JOIN simple_returns USING (asset) GROUP BY portfolio_id, date")
 
 
-def metrics_sql(source: str, keys: str) -> str:
+def metrics_sql(source: str, keys: str, periods: int = WEEKS) -> str:
     """SQL of path statistics of (keys, date, r)."""
     return f"""
-    SELECT *, sqrt(252) * std AS volatility, mean * 252 AS mean_return, mean * 252 / nullif(std * sqrt(252), 0) AS sharpe_ratio,
-           mean * 252 / nullif(downside_all * sqrt(252), 0) AS sortino_ratio, mean * 252 / nullif(max_drawdown, 0) AS calmar_ratio,
+    SELECT *, sqrt({periods}) * std AS volatility, mean * {periods} AS mean_return, mean * {periods} / nullif(std * sqrt({periods}), 0) AS sharpe_ratio,
+           mean * {periods} / nullif(downside_all * sqrt({periods}), 0) AS sortino_ratio, mean * {periods} / nullif(max_drawdown, 0) AS calmar_ratio,
            exp(-n / 12e0 * (skewness * skewness + kurtosis * kurtosis / 4)) AS jarque_bera_p_value
     FROM (
       SELECT {keys}, CAST(count(*) AS INTEGER) AS n, avg(r) AS mean, stddev_samp(r) AS std, avg(pow(r - m, 3)) / nullif(pow(avg(pow(r - m, 2)), 15e-1), 0) AS skewness,
              avg(pow(r - m, 4)) / nullif(pow(avg(pow(r - m, 2)), 2), 0) - 3 AS kurtosis, sqrt(avg(pow(least(r, 0e0), 2))) AS downside_all,
              sqrt(avg(r * r) FILTER (WHERE r < 0)) AS downside_negative, abs(least(min((c - k) / k), 0e0)) AS max_drawdown,
-             exp(sum(ln(1 + r))) - 1 AS compounded_return, pow(exp(sum(ln(1 + r))), 252e0 / count(*)) AS annual_growth,
+             exp(sum(ln(1 + r))) - 1 AS compounded_return, pow(exp(sum(ln(1 + r))), {periods}e0 / count(*)) AS annual_growth,
              abs(any_value(q)) AS value_at_risk, abs(avg(r) FILTER (WHERE r <= CASE WHEN abs(q) > 0 THEN -abs(q) ELSE q END)) AS conditional_value_at_risk,
              min(r) AS worst, max(r) AS best
       FROM (SELECT *, max(c) OVER (PARTITION BY {keys} ORDER BY date) AS k FROM (
@@ -45,7 +46,7 @@ METRIC_DOUBLES = METRIC_COLUMNS.replace(",", "").replace("portfolio_id n ", "")
 
 
 def portfolio_metrics(spark, sf):
-    return portfolio.batch_metrics(tables.weights(spark, sf), simple_returns(spark, sf))
+    return portfolio.batch_metrics(tables.weights(spark, sf), simple_returns(spark, sf), periods=WEEKS)
 
 
 @query("portfolio_batch_metrics", "E13 E2 E3 E4 E5 R5 J4", f"SELECT {METRIC_COLUMNS} FROM pm", METRIC_DOUBLES, 6)
@@ -54,7 +55,7 @@ def portfolio_batch_metrics(spark, sf):
 
 
 cte("pr_day", "SELECT portfolio_id, date, sum(w * r) AS r FROM weights JOIN simple_returns_day USING (asset) GROUP BY portfolio_id, date")
-cte("pm_day", metrics_sql("pr_day", "portfolio_id"))
+cte("pm_day", metrics_sql("pr_day", "portfolio_id", 252))
 
 
 @query("portfolio_batch_metrics_daily", "E13 BL9", f"SELECT {METRIC_COLUMNS} FROM pm_day", METRIC_DOUBLES, 6)
@@ -63,17 +64,17 @@ def portfolio_batch_metrics_daily(spark, sf):
 
 
 @query("portfolio_ratio_variants", "E2 E3 E4 E5 E7 E8 E12", """
-    SELECT portfolio_id, (mean * 252 - 1e-4) / nullif(std * sqrt(252), 0) AS sharpe_annualised, (mean - 1e-4 / 252) / nullif(std, 0) * sqrt(252) AS sharpe_excess_daily,
-           (mean * 252 - 1e-4) / nullif(downside_negative * sqrt(252), 0) AS sortino_negative_rows, (mean * 252 - 1e-4) / nullif(downside_all * sqrt(252), 0) AS sortino_all_rows,
-           downside_negative * sqrt(252) AS downside_deviation, max_drawdown, -max_drawdown AS max_drawdown_negative, calmar_ratio,
-           (mean * 252 - 1e-4) / nullif(conditional_value_at_risk, 0) AS cvar_sharpe,
-           (mean * 252 - 1e-4) / nullif(downside_negative * sqrt(252), 0) * value_at_risk / nullif(conditional_value_at_risk, 0) AS cvar_sortino,
-           mean * 252 / nullif(conditional_value_at_risk * max_drawdown, 0) AS cvar_calmar, mean * 252 / nullif(conditional_value_at_risk, 0) AS return_over_cvar,
-           mean * 252 / nullif(value_at_risk, 0) AS return_over_var, annual_growth - 1 AS realised_return, volatility AS realised_volatility, conditional_value_at_risk AS realised_cvar FROM pm""",
+    SELECT portfolio_id, (mean * 52 - 1e-4) / nullif(std * sqrt(52), 0) AS sharpe_annualised, (mean - 1e-4 / 52) / nullif(std, 0) * sqrt(52) AS sharpe_excess_daily,
+           (mean * 52 - 1e-4) / nullif(downside_negative * sqrt(52), 0) AS sortino_negative_rows, (mean * 52 - 1e-4) / nullif(downside_all * sqrt(52), 0) AS sortino_all_rows,
+           downside_negative * sqrt(52) AS downside_deviation, max_drawdown, -max_drawdown AS max_drawdown_negative, calmar_ratio,
+           (mean * 52 - 1e-4) / nullif(conditional_value_at_risk, 0) AS cvar_sharpe,
+           (mean * 52 - 1e-4) / nullif(downside_negative * sqrt(52), 0) * value_at_risk / nullif(conditional_value_at_risk, 0) AS cvar_sortino,
+           mean * 52 / nullif(conditional_value_at_risk * max_drawdown, 0) AS cvar_calmar, mean * 52 / nullif(conditional_value_at_risk, 0) AS return_over_cvar,
+           mean * 52 / nullif(value_at_risk, 0) AS return_over_var, annual_growth - 1 AS realised_return, volatility AS realised_volatility, conditional_value_at_risk AS realised_cvar FROM pm""",
        "sharpe_annualised sharpe_excess_daily sortino_negative_rows sortino_all_rows downside_deviation max_drawdown max_drawdown_negative calmar_ratio cvar_sharpe cvar_sortino "
        "cvar_calmar return_over_cvar return_over_var realised_return realised_volatility realised_cvar", 5)
 def portfolio_ratio_variants(spark, sf):
-    return portfolio.ratio_variants(portfolio.evaluate(tables.weights(spark, sf), simple_returns(spark, sf)))
+    return portfolio.ratio_variants(portfolio.evaluate(tables.weights(spark, sf), simple_returns(spark, sf), periods=WEEKS), periods=WEEKS)
 
 
 SLICE_COLS = ("mean_return volatility sharpe_ratio min_return max_return compounded_return annualised_return max_drawdown downside_deviation sortino_ratio calmar_ratio "
@@ -82,9 +83,9 @@ SLICE_COLS = ("mean_return volatility sharpe_ratio min_return max_return compoun
 
 @query("portfolio_year_slices", "T4 T5 T6 T7 T10", """
     SELECT portfolio_id, slice, n, mean_return, volatility, sharpe_ratio, worst AS min_return, best AS max_return, compounded_return, annual_growth - 1 AS annualised_return,
-           max_drawdown, downside_all * sqrt(252) AS downside_deviation, sortino_ratio, calmar_ratio, value_at_risk, conditional_value_at_risk FROM pm_year""", SLICE_COLS, 4)
+           max_drawdown, downside_all * sqrt(52) AS downside_deviation, sortino_ratio, calmar_ratio, value_at_risk, conditional_value_at_risk FROM pm_year""", SLICE_COLS, 4)
 def portfolio_year_slices(spark, sf):
-    return portfolio.slice_performance(tables.weights(spark, sf), simple_returns(spark, sf), "year")
+    return portfolio.slice_performance(tables.weights(spark, sf), simple_returns(spark, sf), "year", WEEKS)
 
 
 @query("portfolio_temporal_stability", "T9 W10", """
@@ -95,7 +96,7 @@ def portfolio_year_slices(spark, sf):
            max(compounded_return) AS best_period, CAST(coalesce((SELECT max(len) FROM runs WHERE runs.portfolio_id = pm_year.portfolio_id AND neg), 0) AS INTEGER) AS drawdown_persistence
     FROM pm_year GROUP BY portfolio_id""", "return_std sharpe_variance worst_period best_period", 6)
 def portfolio_temporal_stability(spark, sf):
-    return portfolio.temporal_stability(portfolio.slice_performance(tables.weights(spark, sf), simple_returns(spark, sf), "year"))
+    return portfolio.temporal_stability(portfolio.slice_performance(tables.weights(spark, sf), simple_returns(spark, sf), "year", WEEKS))
 
 
 @query("portfolio_structure", "E9 A19", "SELECT * FROM structure", "hhi effective_number entropy top1 top3 top5")
@@ -103,28 +104,13 @@ def portfolio_structure(spark, sf):
     return portfolio.structure(tables.weights(spark, sf))
 
 
-cte("group_weights", """
-    SELECT portfolio_id, asset, spend / sum(spend) OVER (PARTITION BY portfolio_id) AS w FROM (
-      SELECT portfolio_id % 25 AS portfolio_id, asset, sum(spend) AS spend FROM spend GROUP BY 1, 2)""")
-
-
-def group_weights(spark, sf):
-    """Spend weights of 25 customer groups."""
-    spend = (
-        tables.read(spark, sf, "lineitem").join(tables.read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy((F.col("o_custkey") % 25).alias("portfolio_id"), tables.asset_name().alias("asset")).agg(F.sum("l_extendedprice").alias("spend"))
-    )
-    from pyspark.sql import Window
-
-    return spend.select("portfolio_id", "asset", (F.col("spend") / F.sum("spend").over(Window.partitionBy("portfolio_id"))).alias("w"))
-
-
 @query("portfolio_daily_returns", "J3", """
-    WITH dr AS (SELECT asset, date, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM raw_prices_day)
-    SELECT portfolio_id, date, sum(w * r) / sum(w) AS r FROM group_weights JOIN dr USING (asset) WHERE r IS NOT NULL GROUP BY portfolio_id, date""", "r")
+    WITH dr AS (SELECT asset, date, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM raw_prices)
+    SELECT portfolio_id, date, sum(w * r) / sum(w) AS r FROM weights JOIN dr USING (asset) WHERE r IS NOT NULL GROUP BY portfolio_id, date""", "r")
 def portfolio_daily_returns(spark, sf):
-    r = rolling.returns(tables.prices(spark, sf, "day"), "simple")
-    return portfolio.portfolio_returns(group_weights(spark, sf), r)
+    # Not aligned: weights are scaled to the assets that have a return on the date.
+    r = rolling.returns(tables.prices(spark, sf), "simple")
+    return portfolio.portfolio_returns(tables.weights(spark, sf), r)
 
 
 @query("batch_portfolio_returns", "J4 R26", "SELECT date, count(*) AS n, avg(r) AS mean, min(r) AS worst, max(r) AS best, avg(-r) AS mean_loss FROM pr GROUP BY date", "mean worst best mean_loss")
@@ -152,13 +138,13 @@ cte("asset_set", "SELECT portfolio_id, string_agg(asset, '|' ORDER BY asset) AS
 
 @query("per_set_results", "J8", """
     WITH sets AS (SELECT DISTINCT set_id FROM asset_set), members AS (SELECT set_id, unnest(string_split(set_id, '|')) AS asset FROM sets),
-    vol AS (SELECT set_id, stddev_samp(r) * sqrt(252) AS equal_weight_volatility FROM (
+    vol AS (SELECT set_id, stddev_samp(r) * sqrt(52) AS equal_weight_volatility FROM (
       SELECT set_id, date, avg(r) AS r FROM members JOIN simple_returns USING (asset) GROUP BY set_id, date) GROUP BY set_id)
     SELECT portfolio_id, set_id, equal_weight_volatility FROM asset_set JOIN vol USING (set_id)""", "equal_weight_volatility")
 def per_set_results(spark, sf):
     sets = portfolio.asset_sets(tables.weights(spark, sf))
     distinct = portfolio.set_dictionary(sets).select(F.col("set_id").alias("portfolio_id"), F.explode("assets").alias("asset"), (1.0 / F.col("n_assets")).alias("w"))
-    vol = portfolio.batch_metrics(distinct, simple_returns(spark, sf)).select(F.col("portfolio_id").alias("set_id"), F.col("volatility").alias("equal_weight_volatility"))
+    vol = portfolio.batch_metrics(distinct, simple_returns(spark, sf), periods=WEEKS).select(F.col("portfolio_id").alias("set_id"), F.col("volatility").alias("equal_weight_volatility"))
     return portfolio.expand_from_sets(sets, vol)
 
 
@@ -212,7 +198,7 @@ def co_occurrence(spark, sf):
     return pairs.groupBy("i", "j").agg(F.sum("n_portfolios").alias("n"), (F.sum("n_portfolios") * 100.0 / n).alias("pct"))
 
 
-cte("mu", "SELECT asset, avg(r) * 252 AS mu FROM simple_returns GROUP BY asset")
+cte("mu", "SELECT asset, avg(r) * 52 AS mu FROM simple_returns GROUP BY asset")
 cte("cov", """
     SELECT a.asset AS i, b.asset AS j, covar_samp(a.r, b.r) AS cov, corr(a.r, b.r) AS corr FROM simple_returns a JOIN simple_returns b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2""")
 cte("cov_full", "SELECT i, j, cov, corr FROM cov UNION ALL SELECT j, i, cov, corr FROM cov WHERE i <> j")
@@ -227,7 +213,7 @@ def mu_cov(spark, sf):
     from riskloom.operators import factors
 
     r = simple_returns(spark, sf)
-    return factors.expected_returns(r), factors.sample_covariance(r)
+    return factors.expected_returns(r, periods=WEEKS), factors.sample_covariance(r)
 
 
 @query("ex_ante_metrics", "E1", "SELECT * FROM ex_ante", "expected_return variance ex_ante_volatility ex_ante_sharpe", 6)
@@ -249,15 +235,15 @@ def held_correlation(spark, sf):
     SELECT p.portfolio_id, sum(abs(coalesce(w.w, 0e0) - m.w)) / 2 AS active_share FROM (SELECT DISTINCT portfolio_id FROM weights) p CROSS JOIN market m
     LEFT JOIN weights w ON w.portfolio_id = p.portfolio_id AND w.asset = m.asset GROUP BY 1""", "active_share")
 def active_share(spark, sf):
-    return portfolio.active_share(tables.weights(spark, sf), tables.market_weights(spark, sf))
+    return portfolio.active_share(tables.weights(spark, sf), tables.market_weights(spark, sf), WEEKS)
 
 
 @query("benchmark_metrics", "E6", """
-    SELECT portfolio_id, avg(a) * 252 AS active_return, stddev_samp(a) * sqrt(252) AS tracking_error, avg(a) * sqrt(252) / nullif(stddev_samp(a), 0) AS information_ratio FROM (
+    SELECT portfolio_id, avg(a) * 52 AS active_return, stddev_samp(a) * sqrt(52) AS tracking_error, avg(a) * sqrt(52) / nullif(stddev_samp(a), 0) AS information_ratio FROM (
       SELECT portfolio_id, date, pr.r - b.r AS a FROM pr JOIN (SELECT date, sum(w * r) AS r FROM market JOIN simple_returns USING (asset) GROUP BY date) b USING (date)) GROUP BY 1""",
        "active_return tracking_error information_ratio", 6)
 def benchmark_metrics(spark, sf):
-    return portfolio.benchmark_metrics(tables.weights(spark, sf), simple_returns(spark, sf), tables.market_weights(spark, sf))
+    return portfolio.benchmark_metrics(tables.weights(spark, sf), simple_returns(spark, sf), tables.market_weights(spark, sf), WEEKS)
 
 
 cte("equal_pr", "SELECT portfolio_id, date, avg(r) AS r FROM weights JOIN simple_returns USING (asset) WHERE w > 0 GROUP BY portfolio_id, date")
@@ -265,11 +251,11 @@ cte("equal_pr", "SELECT portfolio_id, date, avg(r) AS r FROM weights JOIN simple
 
 @query("compare_with_equal_weight", "E15", """
     SELECT portfolio_id, v AS volatility, ev AS equal_weight_volatility, (ev - v) / nullif(ev, 0) AS volatility_reduction, m / nullif(v, 0) - em / nullif(ev, 0) AS sharpe_gain FROM
-      (SELECT portfolio_id, stddev_samp(r) * sqrt(252) AS v, avg(r) * 252 AS m FROM pr GROUP BY 1) JOIN
-      (SELECT portfolio_id, stddev_samp(r) * sqrt(252) AS ev, avg(r) * 252 AS em FROM equal_pr GROUP BY 1) USING (portfolio_id)""",
+      (SELECT portfolio_id, stddev_samp(r) * sqrt(52) AS v, avg(r) * 52 AS m FROM pr GROUP BY 1) JOIN
+      (SELECT portfolio_id, stddev_samp(r) * sqrt(52) AS ev, avg(r) * 52 AS em FROM equal_pr GROUP BY 1) USING (portfolio_id)""",
        "volatility equal_weight_volatility volatility_reduction sharpe_gain", 6)
 def compare_with_equal_weight(spark, sf):
-    return portfolio.compare_with_equal_weight(tables.weights(spark, sf), simple_returns(spark, sf))
+    return portfolio.compare_with_equal_weight(tables.weights(spark, sf), simple_returns(spark, sf), WEEKS)
 
 
 @query("train_test_evaluation", "E14", """
@@ -277,13 +263,13 @@ def compare_with_equal_weight(spark, sf):
        "mean_return volatility max_drawdown", 6)
 def train_test_evaluation(spark, sf):
     test = portfolio.train_test(simple_returns(spark, sf), 252).filter("split = 'test'").drop("split")
-    return portfolio.batch_metrics(tables.weights(spark, sf), test).select("portfolio_id", "n", "mean_return", "volatility", "max_drawdown")
+    return portfolio.batch_metrics(tables.weights(spark, sf), test, periods=WEEKS).select("portfolio_id", "n", "mean_return", "volatility", "max_drawdown")
 
 
-# Yearly spend of each customer group gives a series of rebalanced weights.
+# Yearly spend of each customer gives a series of rebalanced weights.
 cte("yearly_weights", """
     SELECT portfolio_id, rebalance, asset, spend / sum(spend) OVER (PARTITION BY portfolio_id, rebalance) AS w FROM (
-      SELECT o_custkey % 25 AS portfolio_id, CAST(date_trunc('year', o_orderdate) AS DATE) AS rebalance, 'A' || CAST(l_suppkey % 10 AS VARCHAR) AS asset, sum(l_extendedprice) AS spend
+      SELECT o_custkey AS portfolio_id, CAST(date_trunc('year', o_orderdate) AS DATE) AS rebalance, 'A' || CAST(l_suppkey % 10 AS VARCHAR) AS asset, sum(l_extendedprice) AS spend
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)""")
 cte("turnover", """
     SELECT portfolio_id, rebalance, sum(delta) AS turnover FROM (
@@ -295,10 +281,11 @@ def yearly_weights(spark, sf):
 
     spend = (
         tables.read(spark, sf, "lineitem").join(tables.read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy((F.col("o_custkey") % 25).alias("portfolio_id"), F.trunc(F.to_date("o_orderdate"), "year").alias("rebalance"), tables.asset_name().alias("asset"))
+        .groupBy(F.col("o_custkey").alias("portfolio_id"), F.trunc(F.to_date("o_orderdate"), "year").alias("rebalance"), tables.asset_name().alias("asset"))
         .agg(F.sum("l_extendedprice").alias("spend"))
     )
-    return spend.select("portfolio_id", "rebalance", "asset", (F.col("spend") / F.sum("spend").over(Window.partitionBy("portfolio_id", "rebalance"))).alias("w"))
+    share = F.col("spend") / F.sum("spend").over(Window.partitionBy("portfolio_id", "rebalance"))  # at most one row per asset
+    return materialise(spend.select("portfolio_id", "rebalance", "asset", share.alias("w")), "yearly-weights")  # read twice; the trades are joined once
 
 
 @query("rebalance_turnover", "W12", "SELECT * FROM turnover", "turnover")
@@ -314,7 +301,7 @@ cte("net_returns", f"""
 
 
 def net_returns(spark, sf):
-    """Returns of yearly rebalanced group portfolios, less cost on the first date of each year."""
+    """Returns of yearly rebalanced portfolios, less cost on the first date of each year."""
     w = yearly_weights(spark, sf)
     r = simple_returns(spark, sf).withColumn("rebalance", F.trunc("date", "year"))
     path = w.join(r, ["asset", "rebalance"]).groupBy("portfolio_id", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
@@ -329,20 +316,20 @@ def cost_adjusted_returns(spark, sf):
 
 
 @query("slice_performance_with_turnover", "T11", """
-    SELECT portfolio_id, CAST(year(date) AS VARCHAR) AS slice, count(*) AS n, exp(sum(ln(1 + net))) - 1 AS net_return, stddev_samp(net) * sqrt(252) AS volatility,
-           avg(net) * sqrt(252) / nullif(stddev_samp(net), 0) AS sharpe_ratio, sum(cost) * 1e4 / 10 AS turnover FROM net_returns GROUP BY 1, 2""", "net_return volatility sharpe_ratio turnover", 6)
+    SELECT portfolio_id, CAST(year(date) AS VARCHAR) AS slice, count(*) AS n, exp(sum(ln(1 + net))) - 1 AS net_return, stddev_samp(net) * sqrt(52) AS volatility,
+           avg(net) * sqrt(52) / nullif(stddev_samp(net), 0) AS sharpe_ratio, sum(cost) * 1e4 / 10 AS turnover FROM net_returns GROUP BY 1, 2""", "net_return volatility sharpe_ratio turnover", 6)
 def slice_performance_with_turnover(spark, sf):
     n = net_returns(spark, sf)
     return n.groupBy("portfolio_id", F.year("date").cast("string").alias("slice")).agg(
-        F.count("*").alias("n"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), (F.stddev_samp("net") * F.sqrt(F.lit(252.0))).alias("volatility"),
-        F.try_divide(F.avg("net") * F.sqrt(F.lit(252.0)), F.stddev_samp("net")).alias("sharpe_ratio"), (F.sum("cost") * 1e4 / 10).alias("turnover"),
+        F.count("*").alias("n"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), (F.stddev_samp("net") * F.sqrt(F.lit(52.0))).alias("volatility"),
+        F.try_divide(F.avg("net") * F.sqrt(F.lit(52.0)), F.stddev_samp("net")).alias("sharpe_ratio"), (F.sum("cost") * 1e4 / 10).alias("turnover"),
     )
 
 
 @query("portfolio_volatility_no_correlation", "R13", """
     WITH v AS (SELECT asset, date, stddev_samp(r) OVER f AS sigma FROM simple_returns WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER f = 52)
-    SELECT portfolio_id, date, sqrt(sum(w * w * sigma * sigma)) AS volatility FROM group_weights JOIN v USING (asset) GROUP BY 1, 2
-    HAVING count(sigma) = any_value((SELECT count(*) FROM group_weights g WHERE g.portfolio_id = group_weights.portfolio_id AND g.w > 0))""", "volatility")
+    SELECT portfolio_id, date, sqrt(sum(w * w * sigma * sigma)) AS volatility FROM weights JOIN v USING (asset) GROUP BY 1, 2
+    HAVING count(sigma) = any_value((SELECT count(*) FROM weights g WHERE g.portfolio_id = weights.portfolio_id AND g.w > 0))""", "volatility")
 def portfolio_volatility_no_correlation(spark, sf):
     vols = rolling.rolling_moments(simple_returns(spark, sf), [52]).select("asset", "date", "sigma")
-    return risk.portfolio_volatility_no_correlation(group_weights(spark, sf), vols)
+    return risk.portfolio_volatility_no_correlation(tables.weights(spark, sf), vols)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.constants import TRADING_DAYS
 from riskloom.operators import black_litterman as bl
 from riskloom.operators import factors, portfolio, risk, rolling, scenarios, selection
-from riskloom.plans.base import d, simple_returns
+from riskloom.plans.base import WEEKS, d, simple_returns
 from riskloom.plans.portfolio_queries import metrics_sql, mu_cov
 from riskloom.plans.registry import cte, query
 from riskloom.plans.scenario_queries import u_sql
-from riskloom.session import materialise
+from riskloom.session import materialise, new_path
 from riskloom.sources import tables
-from riskloom.sources.views import applicable_views, explode_views
+from riskloom.sources.views import applicable_views, load_investor_views
 
 
 def scored(spark, sf):
@@ -161,7 +160,7 @@ def qubo_inputs(spark, sf):
     """Annualised means, signed 5 % tail means and correlations of the universe."""
     r = simple_returns(spark, sf)
     cvar = risk.historical_var_cvar(r, ["asset"], [0.95]).select("asset", (-F.col("cvar")).alias("cvar"))
-    return factors.expected_returns(r), cvar, factors.sample_covariance(r)
+    return factors.expected_returns(r, periods=WEEKS), cvar, factors.sample_covariance(r)
 
 
 def qubo(spark, sf):
@@ -218,7 +217,7 @@ def _sweep_sql() -> str:
     for rw, kw in _SWEEP:
         coef = f"CASE WHEN i = j THEN -{d(rw)} * zm + {d(kw)} * zc ELSE 1e-1 * corr END + 18e0 - CASE WHEN i = j THEN 2 * 10e0 + 2 * 8e0 * 65e-1 ELSE 0e0 END"
         parts.append(f"""
-        SELECT {d(rw)} AS return_weight, {d(kw)} AS risk_weight, b.portfolio_id, avg(x.r) * 252 AS mean_return, stddev_samp(x.r) * sqrt(252) AS volatility, count(*) AS n FROM (
+        SELECT {d(rw)} AS return_weight, {d(kw)} AS risk_weight, b.portfolio_id, avg(x.r) * 52 AS mean_return, stddev_samp(x.r) * sqrt(52) AS volatility, count(*) AS n FROM (
           SELECT portfolio_id, set_id FROM asset_set JOIN (
             SELECT set_id, sum({coef}) AS energy FROM (SELECT DISTINCT set_id FROM asset_set) JOIN zq ON contains(set_id, i) AND contains(set_id, j)
             WHERE len(string_split(set_id, '|')) BETWEEN 4 AND 9 GROUP BY set_id) USING (set_id) ORDER BY energy, portfolio_id LIMIT 1) b
@@ -246,7 +245,7 @@ def weight_config_sweep(spark, sf):
     w = out.withColumn("w", 1.0 / F.count("*").over(_by("return_weight", "risk_weight")))
     daily = w.join(r, "asset").groupBy("return_weight", "risk_weight", "portfolio_id", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
     return daily.groupBy("return_weight", "risk_weight", "portfolio_id").agg(
-        (F.avg("r") * TRADING_DAYS).alias("mean_return"), (F.stddev_samp("r") * TRADING_DAYS ** 0.5).alias("volatility"), F.count("*").alias("n"))
+        (F.avg("r") * WEEKS).alias("mean_return"), (F.stddev_samp("r") * WEEKS ** 0.5).alias("volatility"), F.count("*").alias("n"))
 
 
 def _by(*c):
@@ -271,24 +270,23 @@ cte("grid_weights", """
 @query("discretised_candidate_scores", "O12", """
     SELECT portfolio_id, variance, expected_return, 5e-1 * variance - expected_return AS objective FROM (
       SELECT a.portfolio_id, sum(a.w * b.w * cov) AS variance FROM grid_weights a JOIN grid_weights b ON a.portfolio_id = b.portfolio_id JOIN cov_full ON i = a.asset AND j = b.asset GROUP BY 1)
-    JOIN (SELECT portfolio_id, sum(w * mu) AS expected_return FROM grid_weights JOIN mu USING (asset) GROUP BY 1) USING (portfolio_id) ORDER BY objective, portfolio_id LIMIT 10""",
+    JOIN (SELECT portfolio_id, sum(w * mu) AS expected_return FROM grid_weights JOIN mu USING (asset) GROUP BY 1) USING (portfolio_id)""",
        "variance expected_return objective", 6)
 def discretised_candidate_scores(spark, sf):
     mu, cov = mu_cov(spark, sf)
     e = portfolio.ex_ante(selection.discretised_weights(tables.weights(spark, sf), 0.0625, 0.4), mu, cov)
-    e = e.select("portfolio_id", "variance", "expected_return", (0.5 * F.col("variance") - F.col("expected_return")).alias("objective"))
-    return selection.best_by(e, "objective", 10)
+    return e.select("portfolio_id", "variance", "expected_return", (0.5 * F.col("variance") - F.col("expected_return")).alias("objective"))
 
 
 # --- views and posteriors ---------------------------------------------------------------
 
 cte("bl_market", "SELECT asset, avg(w) / sum(avg(w)) OVER () AS w FROM weights WHERE w > 0 GROUP BY asset")
-cte("equilibrium", "SELECT i AS asset, sum(cov * w) * 25e-1 * 252 AS pi FROM cov_full JOIN bl_market ON asset = j GROUP BY i")
+cte("equilibrium", "SELECT i AS asset, sum(cov * w) * 25e-1 * 52 AS pi FROM cov_full JOIN bl_market ON asset = j GROUP BY i")
 cte("differentials", """
     SELECT a.asset AS asset_1, b.asset AS asset_2, a.m - b.m AS return_diff FROM (SELECT asset, avg(r) AS m FROM simple_returns GROUP BY asset) a
     JOIN (SELECT asset, avg(r) AS m FROM simple_returns GROUP BY asset) b ON a.asset < b.asset ORDER BY abs(a.m - b.m) DESC, 1, 2 LIMIT 5""")
 cte("bl_views", f"""
-    SELECT asset_1 || '-' || asset_2 AS view_id, unnest([asset_1, asset_2]) AS asset, unnest([1e0, -1e0]) AS p, return_diff * 252 AS q,
+    SELECT asset_1 || '-' || asset_2 AS view_id, unnest([asset_1, asset_2]) AS asset, unnest([1e0, -1e0]) AS p, return_diff * 52 AS q,
            [5e-1, 75e-2, 9e-1][CAST(floor({u_sql("'7'", "asset_1 || '-' || asset_2")} * 3) AS INTEGER) + 1] AS confidence FROM differentials""")
 
 
@@ -297,7 +295,7 @@ def bl_inputs(spark, sf):
     cov = materialise(factors.sample_covariance(r), "covariance")
     w = tables.weights(spark, sf)
     market = bl.market_weights(w)
-    return r, cov, w, market, bl.equilibrium_returns(cov, market), bl.synthetic_views(r, 5)
+    return r, cov, w, market, bl.equilibrium_returns(cov, market, periods=WEEKS), bl.synthetic_views(r, 5, periods=WEEKS)
 
 
 @query("market_weights", "BL1", "SELECT * FROM bl_market", "w")
@@ -317,7 +315,7 @@ def return_differentials(spark, sf):
 
 @query("synthetic_views", "BL3 K6", "SELECT * FROM bl_views", "p q confidence")
 def synthetic_views(spark, sf):
-    return bl.synthetic_views(simple_returns(spark, sf), 5)
+    return bl.synthetic_views(simple_returns(spark, sf), 5, periods=WEEKS)
 
 
 @query("view_uncertainty", "BL4", """
@@ -333,7 +331,7 @@ def view_uncertainty(spark, sf):
     WHERE NOT EXISTS (SELECT 1 FROM bl_views x WHERE x.view_id = v.view_id AND NOT contains(s.set_id, x.asset))""", "p")
 def applicable_views_query(spark, sf):
     members = distinct_sets(spark, sf).select("set_id", F.explode("assets").alias("asset"))
-    return applicable_views(bl.synthetic_views(simple_returns(spark, sf), 5), members).select("set_id", "view_id", "asset", "p")
+    return applicable_views(bl.synthetic_views(simple_returns(spark, sf), 5, periods=WEEKS), members).select("set_id", "view_id", "asset", "p")
 
 
 def posterior(spark, sf):
@@ -363,7 +361,7 @@ cte("view_gain", """
 def posterior_with_one_view(spark, sf):
     """One view has a closed form: the update is S p (q - p'prior) / (2 p'S p)."""
     r, cov, w, _, prior, _ = bl_inputs(spark, sf)
-    post = bl.posterior(portfolio.set_dictionary(portfolio.asset_sets(w)), cov, prior, bl.synthetic_views(r, 1))
+    post = bl.posterior(portfolio.set_dictionary(portfolio.asset_sets(w)), cov, prior, bl.synthetic_views(r, 1, periods=WEEKS))
     z = F.explode(F.arrays_zip("assets", "prior", "posterior", "posterior_variance")).alias("z")
     return post.select("set_id", z).select(
         "set_id", F.col("z.assets").alias("asset"), F.col("z.prior").alias("prior"), F.col("z.posterior").alias("posterior"), F.col("z.posterior_variance").alias("variance"))
@@ -379,34 +377,38 @@ def posterior_diagnostics(spark, sf):
 def posterior_portfolio_metrics(spark, sf):
     """Per-set weights evaluated once per distinct set, results given to every portfolio."""
     r, _, sets, _, post = posterior(spark, sf)
-    per_set = portfolio.batch_metrics(bl.posterior_long(post).select(F.col("set_id").alias("portfolio_id"), "asset", "w"), r).withColumnRenamed("portfolio_id", "set_id")
+    per_set = portfolio.batch_metrics(bl.posterior_long(post).select(F.col("set_id").alias("portfolio_id"), "asset", "w"), r, periods=WEEKS).withColumnRenamed("portfolio_id", "set_id")
     return portfolio.expand_from_sets(sets, per_set)
 
 
 @query("benchmark_year_slices", "T8", """
-    SELECT portfolio_id, CAST(year(date) AS VARCHAR) AS slice, avg(p - m) * 252 AS active_return_vs_market, stddev_samp(p - m) * sqrt(252) AS tracking_error_vs_market,
-           avg(p - m) * 252 / nullif(stddev_samp(p - m) * sqrt(252), 0) AS information_ratio_vs_market, avg(p - e) * 252 AS active_return_vs_prior,
-           stddev_samp(p - e) * sqrt(252) AS tracking_error_vs_prior, avg(p - e) * 252 / nullif(stddev_samp(p - e) * sqrt(252), 0) AS information_ratio_vs_prior FROM (
-      SELECT portfolio_id, date, g.r AS p, m.r AS m, e.r AS e FROM (SELECT portfolio_id, date, sum(w * r) AS r FROM group_weights JOIN simple_returns USING (asset) GROUP BY 1, 2) g
+    SELECT portfolio_id, CAST(year(date) AS VARCHAR) AS slice, avg(p - m) * 52 AS active_return_vs_market, stddev_samp(p - m) * sqrt(52) AS tracking_error_vs_market,
+           avg(p - m) * 52 / nullif(stddev_samp(p - m) * sqrt(52), 0) AS information_ratio_vs_market, avg(p - e) * 52 AS active_return_vs_prior,
+           stddev_samp(p - e) * sqrt(52) AS tracking_error_vs_prior, avg(p - e) * 52 / nullif(stddev_samp(p - e) * sqrt(52), 0) AS information_ratio_vs_prior FROM (
+      SELECT portfolio_id, date, g.r AS p, m.r AS m, e.r AS e FROM (SELECT portfolio_id, date, sum(w * r) AS r FROM weights JOIN simple_returns USING (asset) GROUP BY 1, 2) g
       JOIN (SELECT date, sum(w * r) AS r FROM market JOIN simple_returns USING (asset) GROUP BY date) m USING (date) JOIN (SELECT date, avg(r) AS r FROM simple_returns GROUP BY date) e USING (date))
     GROUP BY 1, 2""", "active_return_vs_market tracking_error_vs_market information_ratio_vs_market active_return_vs_prior tracking_error_vs_prior information_ratio_vs_prior", 6)
 def benchmark_year_slices(spark, sf):
-    # Customer groups against the market portfolio and an equal-weight prior.
-    from riskloom.plans.portfolio_queries import group_weights
-
+    # Every portfolio against the market portfolio and an equal-weight prior.
     r = simple_returns(spark, sf)
-    own = portfolio.portfolio_returns(group_weights(spark, sf), r, renormalise=False).withColumnRenamed("r", "posterior")
+    own = portfolio.portfolio_returns(tables.weights(spark, sf), r, renormalise=False).withColumnRenamed("r", "posterior")
     market = tables.market_weights(spark, sf).join(r, "asset").groupBy("date").agg(F.sum(F.col("w") * F.col("r")).alias("market"))
     prior = r.groupBy("date").agg(F.avg("r").alias("prior"))
     s = own.join(market, "date").join(prior, "date").withColumn("slice", F.year("date").cast("string"))
-    return bl.slices_against_benchmark(s, ["portfolio_id", "slice"])
+    return bl.slices_against_benchmark(s, ["portfolio_id", "slice"], WEEKS)
 
 
 @query("investor_views", "IO6 D12", """
-    SELECT * FROM (VALUES ('abs_0', 'A1', 1e0, 8e-2, 75e-2), ('rel_0', 'A2', 1e0, 3e-2, 5e-1), ('rel_0', 'A5', -1e0, 3e-2, 5e-1)) AS v(view_id, asset, p, q, confidence)
-    WHERE asset IN (SELECT asset FROM raw_prices)""", "p q confidence")
+    WITH m AS (SELECT asset, mu, row_number() OVER (ORDER BY asset) - 1 AS n FROM mu)
+    SELECT 'abs_' || n AS view_id, asset, 1e0 AS p, mu AS q, 75e-2 AS confidence FROM m
+    UNION ALL SELECT 'rel_0', asset, CASE WHEN mu = (SELECT max(mu) FROM m) THEN 1e0 ELSE -1e0 END, (SELECT max(mu) - min(mu) FROM m), 5e-1 FROM m
+    WHERE mu IN ((SELECT max(mu) FROM m), (SELECT min(mu) FROM m))""", "p q confidence")
 def investor_views(spark, sf):
-    raw = spark.sql("""SELECT array(named_struct('asset', 'A1', 'return', 0.08D, 'confidence', 0.75D)) AS absolute_views,
-        array(named_struct('assets', array('A2', 'A5'), 'return_diff', 0.03D, 'confidence', 0.5D, 'comment', '')) AS relative_views""")
-    assets = tables.prices(spark, sf).select("asset").distinct()
-    return explode_views(raw).join(assets, "asset", "left_semi")
+    """Views written as a JSON file from the annualised means, then read by the loader."""
+    mu, _ = mu_cov(spark, sf)
+    first, last = F.max_by("asset", "mu"), F.min_by("asset", "mu")
+    absolute = F.array_sort(F.collect_list(F.struct("asset", F.col("mu").alias("return"), F.lit(0.75).alias("confidence"))))  # one row per asset
+    relative = F.array(F.struct(F.array(first, last).alias("assets"), (F.max("mu") - F.min("mu")).alias("return_diff"), F.lit(0.5).alias("confidence"), F.lit("best over worst").alias("comment")))
+    path = new_path(spark, "views")
+    mu.agg(absolute.alias("absolute_views"), relative.alias("relative_views")).coalesce(1).write.json(path)
+    return load_investor_views(spark, path)

@@ -91,10 +91,10 @@ def schema_profile(spark, sf):
 
 
 @query("calendar_intersection", "S2", """
-    SELECT date FROM raw_prices_day WHERE asset = 'A0' INTERSECT SELECT date FROM raw_prices_day WHERE asset = 'A1'""")
+    SELECT date FROM raw_prices_day GROUP BY date HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM raw_prices_day)""")
 def calendar_intersection(spark, sf):
     p = tables.prices(spark, sf, "day")
-    return panel.asset_universe(p, ["A0"]).select("date").intersect(panel.asset_universe(p, ["A1"]).select("date"))
+    return panel.complete_dates(p, "price").select("date").distinct()
 
 
 @query("missing_assets", "S3", """

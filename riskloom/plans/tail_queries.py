@@ -238,7 +238,7 @@ def discretised_cdf_and_tail(spark, sf):
 
 
 @query("portfolio_discretised_var_cvar", "R24 R27", f"""
-    WITH law AS (SELECT portfolio_id, cell, -expected_return / 252 + ex_ante_volatility * (z0 + 125e-3) AS x, p FROM ex_ante CROSS JOIN law_cells),
+    WITH law AS (SELECT portfolio_id, cell, -expected_return / 52 + ex_ante_volatility * (z0 + 125e-3) AS x, p FROM ex_ante CROSS JOIN law_cells),
     c AS (SELECT *, sum(p) OVER (PARTITION BY portfolio_id ORDER BY cell) AS cdf FROM law),
     v AS ({' UNION ALL '.join(f"SELECT portfolio_id, {d(q)} AS confidence_level, min(x) FILTER (WHERE cdf >= {d(q)} - 1e-12) AS var FROM c GROUP BY 1" for q in CONFIDENCE)})
     SELECT portfolio_id, confidence_level, var, var + sum(p * greatest(0e0, x - var)) / (1 - confidence_level) AS cvar FROM v JOIN law USING (portfolio_id) GROUP BY 1, 2, 3""",
@@ -246,5 +246,5 @@ def discretised_cdf_and_tail(spark, sf):
 def portfolio_discretised_var_cvar(spark, sf):
     mu, cov = mu_cov(spark, sf)
     e = portfolio.ex_ante(tables.weights(spark, sf), mu, cov)
-    laws = e.select("portfolio_id", (-F.col("expected_return") / 252).alias("mu"), F.col("ex_ante_volatility").alias("sigma"))
-    return discretise.discrete_var_cvar(discretise.normal_law(laws, ["portfolio_id"], BITS), ["portfolio_id"], CONFIDENCE)
+    laws = e.select("portfolio_id", (-F.col("expected_return") / 52).alias("mu"), F.col("ex_ante_volatility").alias("sigma"))
+    return discretise.scaled_var_cvar(laws, ["portfolio_id"], BITS, CONFIDENCE)
