@@ -28,6 +28,11 @@ GRAM = 80
 #: Bytes of one symbol of the transforms: LENGTH / STRIDE refinement rounds settle a window.
 STRIDE = 40
 
+#: Windows of one run, at most; a longer run goes on as the next.  A run's count is packed in 15 bits, a further
+#: bit says that its gram occurs again inside it, so that its windows may repeat each other.
+RUN_WINDOWS = 4096
+COUNT, AGAIN = 0x7FFF, 0x8000
+
 #: Text bytes hashed at a time.
 SLICE_BYTES = 1 << 20
 #: Context bytes merged at a time, and in one shard of a merge.
@@ -47,9 +52,9 @@ def prefix_sums(data: np.ndarray, base: int = _BASE) -> tuple[np.ndarray, np.nda
 
 
 def window_runs(data: np.ndarray, offset: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive windows with one naming gram: (text, start, count, key, context hash).
+    """Runs of consecutive windows with equal naming grams: (text, start, count, key, context hash).
 
-    ``data`` are texts end to end.  The context of a run is all bytes of its windows.
+    ``data`` are texts end to end.  The context of a run is all bytes of its windows; ``count`` may have the bit AGAIN.
     """
     size, grams = len(data), length - gram + 1
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
@@ -71,12 +76,18 @@ def window_runs(data: np.ndarray, offset: np.ndarray, length: int = LENGTH, gram
     start = np.flatnonzero(fits)
     if not len(start):
         return empty
-    new = np.concatenate([[True], (start[1:] != start[:-1] + 1) | (at[start[1:]] != at[start[:-1]]) | (text[start[1:]] != text[start[:-1]])])
+    # Equal grams have one name, so a periodic passage is one run and not one per period.
+    named = name[at[start]]
+    new = np.concatenate([[True], (start[1:] != start[:-1] + 1) | (named[1:] != named[:-1]) | (text[start[1:]] != text[start[:-1]])])
     first = np.flatnonzero(new)
+    since = np.arange(len(start)) - np.repeat(first, np.diff(np.concatenate([first, [len(start)]])))
+    first = np.flatnonzero(since % RUN_WINDOWS == 0)
+    moved = np.concatenate([[0], np.cumsum(at[start[1:]] != at[start[:-1]])])  # the gram was met at another place
     count = np.diff(np.concatenate([first, [len(start)]]))
+    again = moved[first + count - 1] != moved[first]
     start = start[first]
     context = mixed((prefix[start + count - 1 + length] - prefix[start]) * down[start]) ^ count.astype(np.uint64)
-    return text[start], start - offset[text[start]], count, name[at[start]], context
+    return text[start], start - offset[text[start]], count | np.where(again, AGAIN, 0), name[at[start]], context
 
 
 def repeated_starts(data: np.ndarray, size: np.ndarray, count: np.ndarray, length: int = LENGTH, stride: int = STRIDE, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
@@ -204,7 +215,7 @@ def pieces(data: np.ndarray, offset: np.ndarray, length: int, gram: int) -> Iter
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """Runs whose key occurs again: (key, rid, spot, full, fetch).
+    """Runs whose key occurs again, in another run or their own: (key, rid, spot, full, fetch).
 
     ``full``: another run has the very same context, so all its windows repeat.
     ``fetch``: the run's bytes must be compared with others of its key: those
@@ -217,7 +228,7 @@ def classify(found: DataFrame) -> DataFrame:
             """Rows between the neighbours ``before`` and ``after`` ((key, context) or None)."""
             new_key = np.concatenate([[before is None or before[0] != key[0]], key[1:] != key[:-1], [after is None or after[0] != key[-1]]])
             same = np.concatenate([[before is not None and before == (key[0], context[0])], (key[1:] == key[:-1]) & (context[1:] == context[:-1]), [after is not None and after == (key[-1], context[-1])]])
-            keep = ~(new_key[:-1] & new_key[1:])
+            keep = ~(new_key[:-1] & new_key[1:]) | (spot >> 16 & AGAIN != 0)
             full = same[:-1] | same[1:]
             fetch = ~same[:-1]
             return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rid, spot, full, fetch)], ["key", "rid", "spot", "full", "fetch"])
@@ -246,7 +257,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for rid, text, keys, spots in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = [text[s >> 32:(s >> 32) + (s >> 16 & 0xFFFF) - 1 + length] for s in spots]
+                parts = [text[s >> 32:(s >> 32) + (s >> 16 & COUNT) - 1 + length] for s in spots]
                 for i in range(0, len(parts), 4096):
                     j = min(i + 4096, len(parts))
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], pa.int64()), pa.array([rid] * (j - i), pa.int64()), pa.array(spots[i:j], pa.int64()), pa.array(parts[i:j], pa.binary())], ["key", "rid", "spot", "bytes"])
@@ -275,13 +286,13 @@ def merge_keys(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
     def merged(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         key, rid, spot = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         alone = np.concatenate([[True], key[1:] != key[:-1]]) & np.concatenate([key[1:] != key[:-1], [True]])
-        keep = np.flatnonzero(~alone)
+        keep = np.flatnonzero(~alone | (spot >> 16 & AGAIN != 0))
         if not len(keep):
             return intervals(*(np.zeros(0, np.int64),) * 4)
         key, rid, spot = key[keep], rid[keep], spot[keep]
         parts = [rows[i][3] for i in keep]
         size = np.array([len(p) for p in parts], np.int64)
-        count = spot >> 16 & 0xFFFF
+        count = spot >> 16 & COUNT
         flag = repeated_starts(np.frombuffer(b"".join(parts), np.uint8), size, count, length)
         which = np.repeat(np.arange(len(rid)), count)
         first = np.cumsum(count) - count
@@ -296,7 +307,7 @@ def merge_keys(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def windows(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         for _, rid, spot, part in rows:
-            data, count = np.frombuffer(part, np.uint8), spot >> 16 & 0xFFFF
+            data, count = np.frombuffer(part, np.uint8), spot >> 16 & COUNT
             i = np.arange(count)
             hashes = []
             for base in (_BASE, _SECOND):
@@ -343,7 +354,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     judged = materialise(classify(runs(docs, length)), "runs")
     spot, mark = F.col("spot"), F.col("spot").bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("mark")
     start = F.shiftright(spot, 32)
-    stop = start + F.shiftright(spot, 16).bitwiseAND(F.lit(0xFFFF).cast("bigint")) - 1 + length
+    stop = start + F.shiftright(spot, 16).bitwiseAND(F.lit(COUNT).cast("bigint")) - 1 + length
     full = judged.where("full").select("rid", mark, start.alias("from_byte"), stop.alias("to_byte"))
     fetched = contexts(docs, judged.where("fetch").select("key", "rid", "spot"), length)
     found = materialise(merge_keys(fetched, length), "intervals")
