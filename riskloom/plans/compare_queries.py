@@ -405,7 +405,25 @@ def stratified_sample(spark, sf):
     return sampling.stratified_sample(strata(spark, sf), 200).select("portfolio_id", "stratum", "how")
 
 
-@query("study_samples", "SM3 J12")
+def _sample_sql(name: str, source: str, n: int, seed: int) -> None:
+    """Declare ``name``: a proportional draw of ``n`` rows of ``source`` by stratum, topped up to ``n``."""
+    cte(f"{name}_u", f"SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(portfolio_id AS VARCHAR))), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0 AS u FROM {source}")
+    cte(f"{name}_m", f"SELECT * FROM {name}_u QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY u, portfolio_id) <= floor(count(*) OVER (PARTITION BY stratum) * {n} / (SELECT count(*) FROM {name}_u))")
+    cte(f"{name}_t", f"SELECT * FROM {name}_u WHERE portfolio_id NOT IN (SELECT portfolio_id FROM {name}_m) ORDER BY u, portfolio_id LIMIT ({n} - (SELECT count(*) FROM {name}_m))")
+    cte(name, f"SELECT portfolio_id, stratum FROM {name}_m UNION ALL SELECT portfolio_id, stratum FROM {name}_t")
+
+
+_sample_sql("study_main", "strata", 100, 42)
+cte("study_rest", "SELECT * FROM strata WHERE portfolio_id NOT IN (SELECT portfolio_id FROM study_main)")
+_sample_sql("study_robust", "study_rest", 50, 43)
+cte("study_left", "SELECT * FROM study_rest WHERE portfolio_id NOT IN (SELECT portfolio_id FROM study_robust)")
+_sample_sql("study_convergence", "study_left", 50, 44)
+
+
+@query("study_samples", "SM3 J12", """
+    WITH v AS (SELECT portfolio_id, stratum, round(b.equal_weight_volatility, 9) AS vol FROM strata JOIN strata_base b USING (portfolio_id)),
+    edge AS (SELECT * FROM (SELECT portfolio_id, stratum FROM v ORDER BY vol DESC, portfolio_id LIMIT 10) UNION SELECT * FROM (SELECT portfolio_id, stratum FROM v ORDER BY vol, portfolio_id LIMIT 10))
+    SELECT *, 'main' AS role FROM study_main UNION ALL SELECT *, 'robustness' FROM study_robust UNION ALL SELECT *, 'convergence' FROM study_convergence UNION ALL SELECT *, 'extreme' FROM edge""")
 def study_samples(spark, sf):
     return sampling.study_samples(strata(spark, sf), 100, 50, 50, 10)
 

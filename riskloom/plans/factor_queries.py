@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import factors, risk, rolling
-from riskloom.plans.base import CONFIDENCE, WEEKS, simple_returns
+from riskloom.plans.base import CONFIDENCE, WEEKS, normal_values, simple_returns
 from riskloom.plans.registry import cte, query
 from riskloom.session import materialise
 from riskloom.sources import tables
@@ -119,15 +119,19 @@ def factor_stability(spark, sf):
     return factors.factor_stability(rolling_factors(spark, sf))
 
 
-@query("factor_slices", "T12")
-def factor_slices(spark, sf):
+def slices_of(f):
     from riskloom.functions.periods import with_periods
 
-    f = rolling_factors(spark, sf).filter("factor_id = 3").withColumn("estimation_window", F.lit(52)).withColumn("top_k", F.lit(3))
+    f = f.filter("factor_id = 3").withColumn("estimation_window", F.lit(52)).withColumn("top_k", F.lit(3))
     return with_periods(f).groupBy("slice_type", "slice", "estimation_window", "top_k").agg(
         F.avg("cumulative_explained_variance").alias("mean_cumulative_explained_variance"), F.count("*").alias("n_windows"))
 
 
+@query("factor_slices", "T12")
+def factor_slices(spark, sf):
+    return slices_of(rolling_factors(spark, sf))
+
+
 @query("compare_factor_sets", "FAC13")
 def compare_factor_sets(spark, sf):
     # Sample covariance against its shrunk version, both over all dates.
@@ -137,6 +141,59 @@ def compare_factor_sets(spark, sf):
     return factors.compare_factor_sets(factors.eigen_factors(a, 3), factors.eigen_factors(b, 3))
 
 
+# --- cases with a closed form ------------------------------------------------------------
+# Uncorrelated assets are their own factors, in the order of their variances, so SQL can say what the factor jobs return.
+
+cte("variance_rank", "SELECT date, i AS asset, cov, CAST(row_number() OVER (PARTITION BY date ORDER BY cov DESC, i) AS INTEGER) AS rk FROM rolling_cov WHERE i = j")
+cte("population_variance", """
+    SELECT date, asset, var_pop(r) OVER f AS v FROM simple_returns WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER f = 52""")
+
+
+def uncorrelated(spark, sf):
+    return materialise(rolling_cov(spark, sf).withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(0.0)), "uncorrelated")
+
+
+@query("factor_variance_split", "FAC10 FAC11", f"""
+    SELECT date, asset, confidence_level, v AS total_variance, -z * sqrt(v) AS var_factor, es * sqrt(v) AS cvar_factor
+    FROM population_variance CROSS JOIN {normal_values()} WHERE horizon = 1 AND date IN (SELECT date FROM rolling_cov)""", "confidence_level total_variance var_factor cvar_factor")
+def factor_variance_split(spark, sf):
+    """Explained and idiosyncratic variance of three factors add up to the whole, and so do the measures made from them."""
+    total = rolling.rolling_moments(simple_returns(spark, sf), [52], population=True).select("date", "asset", (F.col("sigma") ** 2).alias("variance"))
+    e = factors.exposures(materialise(rolling_factors(spark, sf), "factors"))
+    explained = e.groupBy("date", "asset").agg(F.sum(F.col("exposure") ** 2 * F.col("eigenvalue")).alias("explained"))
+    out = factors.factor_risk(e, total, risk.normal_grid(CONFIDENCE, [1])).join(explained, ["date", "asset"])
+    return out.select("date", "asset", "confidence_level", (F.col("explained") + F.col("idiosyncratic_variance")).alias("total_variance"), "var_factor", "cvar_factor")
+
+
+@query("uncorrelated_shock_loss", "FAC12", "SELECT date, i AS asset, -2 * sqrt(cov) AS shock_loss FROM rolling_cov WHERE i = j", "shock_loss")
+def uncorrelated_shock_loss(spark, sf):
+    return factors.factor_shock_loss(factors.exposures(factors.eigen_factors(uncorrelated(spark, sf), 1000)), 2.0)
+
+
+@query("uncorrelated_factor_stability", "W13", """
+    SELECT date, avg(CASE WHEN asset = prev THEN 1e0 ELSE 0e0 END) AS factor_stability FROM (
+      SELECT *, lag(asset) OVER (PARTITION BY rk ORDER BY date) AS prev FROM variance_rank WHERE rk <= 3) WHERE prev IS NOT NULL GROUP BY date""", "factor_stability")
+def uncorrelated_factor_stability(spark, sf):
+    return factors.factor_stability(factors.eigen_factors(uncorrelated(spark, sf), 3))
+
+
+@query("uncorrelated_factor_slices", "T12", """
+    WITH c AS (SELECT date, sum(cov) FILTER (WHERE rk <= 3) / sum(cov) AS share FROM variance_rank GROUP BY date),
+    s AS (SELECT 'year' AS slice_type, CAST(year(date) AS VARCHAR) AS slice, share FROM c UNION ALL SELECT 'quarter', year(date) || 'Q' || quarter(date), share FROM c UNION ALL SELECT 'month', strftime(date, '%Y-%m'), share FROM c)
+    SELECT slice_type, slice, 52 AS estimation_window, 3 AS top_k, avg(share) AS mean_cumulative_explained_variance, count(*) AS n_windows FROM s GROUP BY 1, 2""", "mean_cumulative_explained_variance")
+def uncorrelated_factor_slices(spark, sf):
+    return slices_of(factors.eigen_factors(uncorrelated(spark, sf), 3))
+
+
+@query("compare_scaled_factor_sets", "FAC13", """
+    SELECT date, 0e0 AS principal_angle, 0e0 AS explained_variance_gap, 1e0 AS exposure_correlation, sqrt(sum(cov * cov)) AS frobenius_distance FROM variance_rank WHERE rk <= 3 GROUP BY date""",
+       "principal_angle explained_variance_gap exposure_correlation frobenius_distance", 6)
+def compare_scaled_factor_sets(spark, sf):
+    """Twice the covariance has the same factors; only the matrices built from them are apart."""
+    c = uncorrelated(spark, sf)
+    return factors.compare_factor_sets(factors.eigen_factors(c, 3), factors.eigen_factors(c.withColumn("cov", 2 * F.col("cov")), 3))
+
+
 cte("rc", """
     SELECT portfolio_id, asset, w, sw / v AS marginal, w * sw / v AS contribution, v AS portfolio_volatility FROM (
       SELECT *, sqrt(sum(w * sw) OVER (PARTITION BY portfolio_id)) AS v FROM (

@@ -87,6 +87,16 @@ def equal_risk_weights(spark, sf):
     return selection.equal_risk_weights(distinct_sets(spark, sf), cov)
 
 
+@query("equal_risk_gap", "O5", "SELECT set_id, CAST(len(string_split(set_id, '|')) AS BIGINT) AS n_assets, 1e0 AS weight_sum, 0e0 AS largest_gap FROM (SELECT DISTINCT set_id FROM asset_set)", "weight_sum largest_gap", 6)
+def equal_risk_gap(spark, sf):
+    """The solved weights sum to 1 and every asset of a set carries the same share of its risk."""
+    _, cov = mu_cov(spark, sf)
+    solved = selection.equal_risk_weights(distinct_sets(spark, sf), cov).select("set_id", F.explode(F.arrays_zip("assets", "weights")).alias("e"))
+    w = materialise(solved.select(F.col("set_id").alias("portfolio_id"), F.col("e.assets").alias("asset"), F.col("e.weights").alias("w")), "equal-risk")
+    g = factors.risk_contributions(w, cov).groupBy(F.col("portfolio_id").alias("set_id"))
+    return g.agg(F.count("*").alias("n_assets"), F.sum("w").alias("weight_sum"), (F.max("contribution") * F.count("*") / F.max("portfolio_volatility") - 1).alias("largest_gap"))
+
+
 @query("rebalance_calendar", "O7", """
     SELECT 'month_end' AS kind, max(date) AS date FROM (SELECT DISTINCT date FROM simple_returns) GROUP BY date_trunc('month', date)
     UNION ALL SELECT 'every_26', date FROM (SELECT date, row_number() OVER (ORDER BY date) AS rn FROM (SELECT DISTINCT date FROM simple_returns)) WHERE rn >= 52 AND (rn - 52) % 26 = 0""")
@@ -367,6 +377,24 @@ def posterior_with_one_view(spark, sf):
         "set_id", F.col("z.assets").alias("asset"), F.col("z.prior").alias("prior"), F.col("z.posterior").alias("posterior"), F.col("z.posterior_variance").alias("variance"))
 
 
+@query("posterior_fixed_point", "BL7", "SELECT DISTINCT set_id, asset, 0e0 AS gap FROM (SELECT set_id, unnest(string_split(set_id, '|')) AS asset FROM asset_set)", "gap")
+def posterior_fixed_point(spark, sf):
+    """With any number of views the posterior is prior + tau S P' (q - P posterior) / omega; the gap is what remains."""
+    from riskloom.operators.factors import mirror
+
+    tau = 0.025
+    _, cov, w, _, prior, views = bl_inputs(spark, sf)
+    post = posterior(spark, sf)[4].select("set_id", F.explode(F.arrays_zip("assets", "prior", "posterior")).alias("z"))
+    post = materialise(post.select("set_id", F.col("z.assets").alias("asset"), F.col("z.prior").alias("prior"), F.col("z.posterior").alias("posterior")), "posterior-long")
+    legs = applicable_views(views, post.select("set_id", "asset"))
+    missed = legs.join(post, ["set_id", "asset"]).groupBy("set_id", "view_id").agg((F.first("q") - F.sum(F.col("p") * F.col("posterior"))).alias("miss"))
+    scaled = missed.join(bl.view_uncertainty(views, cov, tau).select("view_id", "omega"), "view_id").select("set_id", "view_id", (F.col("miss") / F.col("omega")).alias("r"))
+    push = legs.select("set_id", "view_id", F.col("asset").alias("j"), "p").join(scaled, ["set_id", "view_id"]).groupBy("set_id", "j").agg(F.sum(F.col("p") * F.col("r")).alias("push"))
+    moved = push.join(mirror(cov.select("i", "j", "cov")), "j").groupBy("set_id", F.col("i").alias("asset")).agg((tau * F.sum(F.col("cov") * F.col("push"))).alias("move"))
+    out = post.join(moved, ["set_id", "asset"], "left")
+    return out.select("set_id", "asset", (F.col("posterior") - F.col("prior") - F.coalesce("move", F.lit(0.0))).alias("gap"))
+
+
 @query("posterior_diagnostics", "BL8")
 def posterior_diagnostics(spark, sf):
     _, _, _, market, post = posterior(spark, sf)
