@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.text import bounded_batches, word_blocks
 from riskloom.session import materialise
@@ -178,18 +179,17 @@ def item_shards(benchmark: DataFrame, window: int = WINDOW) -> Iterator[list[tup
 FOUND = {"__dc_words": pa.int64(), "__dc_from": pa.list_(pa.int32()), "__dc_to": pa.list_(pa.int32()), "__dc_items": pa.list_(pa.string()), "__dc_longest": pa.int32()}
 
 
-def _schema(docs: DataFrame, more: str = "") -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *([more] if more else [])])
+_INTS, _STRINGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+_ADDED = [T.StructField(n, t) for n, t in zip(FOUND, [T.LongType(), _INTS, _INTS, _STRINGS, T.IntegerType()])]
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
     """``docs`` with the columns of FOUND: hit word spans, items met and the longest match of each whole text.
 
     One pass over the texts per automaton, without a shuffle; a benchmark up to
     SHARD_WORDS words needs one.  A later pass adds to what earlier ones found.
-    ``finish`` turns the batches of the last pass into rows of ``schema``.
+    ``finish`` turns the batches of the last pass into rows with the columns of ``docs``.
     """
-    added = "__dc_words bigint, __dc_from array<int>, __dc_to array<int>, __dc_items array<string>, __dc_longest int"
     spark = docs.sparkSession
     bounded_batches(spark)
     shards = list(item_shards(benchmark, window))
@@ -219,7 +219,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, fi
 
         if at:
             out = materialise(out, "matches")
-        out = out.mapInArrow(run, schema if last else _schema(docs, added))
+        out = out.mapInArrow(run, docs.schema if last else T.StructType(docs.schema.fields + _ADDED))
     return out
 
 
@@ -283,4 +283,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 cols["n_chars"] = pa.array([len(changed[i]) if i in changed else v for i, v in enumerate(col["n_chars"].to_pylist())], col["n_chars"].type)
         return pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).take(pa.array(keep, pa.int32()))
 
-    return with_matches(docs, benchmark, window, apply, _schema(docs))
+    return with_matches(docs, benchmark, window, apply)

@@ -171,10 +171,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     NULL and empty texts are scored from their zero statistics; repeated rows
     are scored one by one; other columns play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    m = learn(docs, labels)
+    # Plain values: a broadcast class would have to be importable on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast((m.bias, m.linear, m.factors, m.mean, m.scale))
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
+        machine = Machine(*shared.value)
         for batch in it:
             score = [machine.score(*extract(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.decontaminate import NORMAL
 from riskloom.llm.labels import labelled_sample, remainder
@@ -286,11 +287,12 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
 def scored(docs: DataFrame, model: Model, only_clean: bool = False, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``__tox`` (score) and ``__hits``; or, with ``only_clean``, just the documents under ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast class would have to be importable on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.benign, model.coefficients))
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        beta = np.array(shared.value.coefficients)
+        scorer = Scorer(Model(*shared.value))
+        beta = np.array(scorer.model.coefficients)
         for batch in it:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             rows = np.array([scorer.features(t) for t in texts], float).reshape(-1, 4)
@@ -300,8 +302,8 @@ def scored(docs: DataFrame, model: Model, only_clean: bool = False, threshold: f
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(rows[:, 1:].sum(axis=1).astype(np.int64))], [*batch.schema.names, "__tox", "__hits"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema if only_clean else f"{schema}, __tox double, __hits bigint")
+    more = [T.StructField("__tox", T.DoubleType()), T.StructField("__hits", T.LongType())]
+    return docs.mapInArrow(run, docs.schema if only_clean else T.StructType(docs.schema.fields + more))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
