@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 from tools.check import TABLES, norm
 
 SF = "/root/testdata/sf0.01"
-SAMPLE = ["varcov_backtest", "evt_var_cvar", "portfolio_batch_metrics", "ledoit_wolf_covariance", "iid_scenarios", "candidate_energies", "sample_distances", "pareto_front", "price_files"]
+SAMPLE = ["varcov_backtest", "evt_var_cvar", "portfolio_batch_metrics", "ledoit_wolf_covariance", "iid_scenarios", "candidate_energies", "sample_distances", "pareto_front", "price_files",
+          "portfolio_daily_returns", "equal_risk_gap", "posterior_fixed_point", "factor_variance_split", "study_samples", "investor_views", "best_configurations", "percentile_ranks"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
