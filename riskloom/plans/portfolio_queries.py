@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import portfolio, risk, rolling
-from riskloom.plans.base import WEEKS, simple_returns
+from riskloom.operators import backtest, portfolio, risk, rolling
+from riskloom.plans.base import ACCURACY_DOUBLES, CONFIDENCE, KEYS, WEEKS, accuracy_sql, normal_values, simple_returns
 from riskloom.plans.registry import cte, query
 from riskloom.session import materialise
 from riskloom.sources import portfolios as src
@@ -326,6 +326,22 @@ def slice_performance_with_turnover(spark, sf):
     )
 
 
+cte("pr_flagged", f"""
+    SELECT *, -r AS loss, -r > var AS violation FROM (
+      SELECT portfolio_id, date, r, 52 AS estimation_window, confidence_level, horizon, CASE WHEN sigma > 0 THEN greatest(0e0, -(mu + z * sigma)) * sqrt(horizon) END AS var FROM (
+        SELECT portfolio_id, date, r, avg(r) OVER f AS mu, stddev_samp(r) OVER f AS sigma FROM pr WINDOW f AS (PARTITION BY portfolio_id ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)
+        QUALIFY count(*) OVER f = 52) CROSS JOIN {normal_values()} WHERE horizon = 1) WHERE var > 0""")
+_PORTFOLIO_KEYS = KEYS.replace("asset", "portfolio_id")
+
+
+@query("portfolio_varcov_backtest", "R2 B1 B3 B8", f"SELECT * EXCLUDE (p, green, yellow) FROM ({accuracy_sql('pr_flagged', _PORTFOLIO_KEYS)})", ACCURACY_DOUBLES)
+def portfolio_varcov_backtest(spark, sf):
+    """Rolling parametric VaR of every portfolio and how often it was breached; series jobs take any key under the name asset."""
+    paths = portfolio.batch_returns(tables.weights(spark, sf), simple_returns(spark, sf)).where("r IS NOT NULL")
+    series = risk.parametric_var_series(paths.withColumnRenamed("portfolio_id", "asset"), [52], CONFIDENCE, [1])
+    return backtest.accuracy(backtest.with_violations(series)).withColumnRenamed("asset", "portfolio_id")
+
+
 @query("portfolio_volatility_no_correlation", "R13", """
     WITH v AS (SELECT asset, date, stddev_samp(r) OVER f AS sigma FROM simple_returns WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER f = 52)
     SELECT portfolio_id, date, sqrt(sum(w * w * sigma * sigma)) AS volatility FROM weights JOIN v USING (asset) GROUP BY 1, 2

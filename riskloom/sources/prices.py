@@ -48,11 +48,14 @@ def available_symbols(spark: SparkSession, path: str, symbol_pattern: str = SYMB
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), symbol_pattern, 1).alias("asset")).distinct()
 
 
-def wide_to_long(wide: DataFrame, date_col: str = "Date", value: str = "price") -> DataFrame:
-    """Wide panel (one column per asset) to (asset, date, value), sorted keys, first of repeated dates."""
-    assets = [c for c in wide.columns if c != date_col]
+def wide_to_long(wide: DataFrame, date_col: str = "Date", value: str = "price", order: Sequence[str] = ()) -> DataFrame:
+    """Wide panel (one column per asset) to (asset, date, value), the first of repeated dates.
+
+    First means least in the columns ``order``, then in the order of rows.
+    """
+    assets = [c for c in wide.columns if c != date_col and c not in order]
     numbered = wide.withColumn("__pos", F.monotonically_increasing_id())
-    first = F.row_number().over(Window.partitionBy(date_col).orderBy("__pos"))
+    first = F.row_number().over(Window.partitionBy(date_col).orderBy(*order, "__pos"))
     unique = numbered.withColumn("__rn", first).filter("__rn = 1").select(
         F.col(date_col).cast("date").alias("date"), *[F.col(f"`{a}`").cast("double").alias(a) for a in assets]
     )
@@ -62,4 +65,6 @@ def wide_to_long(wide: DataFrame, date_col: str = "Date", value: str = "price")
 def load_panel_prices(spark: SparkSession, path: str, fmt: str = "parquet", date_col: str = "Date") -> DataFrame:
     """Read a wide price panel from parquet or csv."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return wide_to_long(reader.format(fmt).load(path), date_col)
+    # By file and block, since how files are packed into tasks says nothing about the order of rows.
+    placed = reader.format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    return wide_to_long(placed, date_col, order=("__file", "__block"))
