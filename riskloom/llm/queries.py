@@ -105,15 +105,27 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition(table(spark, sf, "documents"))
 
 
-_GRAM4 = "".join(f""",
-n{w} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {w - 1}], ' ')) AS c
-        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {w - 2})) AS i FROM d)) WHERE c > 1),
-c{w} AS (SELECT doc_id, count(*) AS words, sum(length(w[p])) AS chars FROM (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, {w})) AS k FROM n{w})) JOIN d USING (doc_id) GROUP BY doc_id)""" for w in repetition.GRAM_LIMITS)
+def _grams_sql() -> str:
+    """Repeated n-grams by length, from one row per word with the words that follow it."""
+    longest = max(repetition.GRAM_LIMITS)
+    follow = ", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, longest))
+    parts = [f""",
+x AS (SELECT doc_id, p, length(word) AS size, word AS w0, {follow} FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)
+      WINDOW o AS (PARTITION BY doc_id ORDER BY p))"""]
+    for n in sorted(repetition.GRAM_LIMITS):
+        gram = " || ' ' || ".join(f"w{k}" for k in range(n))
+        parts.append(f""",
+c{n} AS (SELECT doc_id, count(*) AS words, sum(size) AS chars FROM x JOIN (
+        SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, {n})) AS k FROM (
+          SELECT doc_id, p AS i, count(*) OVER (PARTITION BY doc_id, {gram}) AS c FROM x WHERE w{n - 1} IS NOT NULL) WHERE c > 1)) USING (doc_id, p) GROUP BY doc_id)""")
+    return "".join(parts)
+
+
 ORACLES["op4_repetition_coverage"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, line, count(*) - 1 AS more, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
-dl AS (SELECT doc_id, CAST(sum(more) AS BIGINT) AS n_dup_lines, CAST(sum(more * chars) AS BIGINT) AS dup_line_chars FROM l GROUP BY doc_id){_GRAM4},
+dl AS (SELECT doc_id, CAST(sum(more) AS BIGINT) AS n_dup_lines, CAST(sum(more * chars) AS BIGINT) AS dup_line_chars FROM l GROUP BY doc_id){_grams_sql()},
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
         CAST(coalesce(c8.words, 0) AS BIGINT) AS n_repeat_words, {", ".join(f"CAST(coalesce(c{w}.chars, 0) AS BIGINT) AS gram{w}_chars" for w in repetition.GRAM_LIMITS)},

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from riskloom.llm.decontaminate import NORMAL
 from riskloom.llm.labels import labelled_sample, remainder
-from riskloom.llm.text import bounded_batches, word_blocks
+from riskloom.llm.text import BLOCK_BYTES, bounded_batches, word_blocks
 from riskloom.session import materialise
 
 #: Labelled documents learnt from, at most.
@@ -176,7 +176,13 @@ class Scorer:
                 hits = any(self.lookup(w) for w in set(words))
         if not hits:
             return n, 0.0, 0.0, 0.0
-        return n, *self.in_context(raw)
+        flat, at, total = raw.translate(NORMAL), 0, np.zeros(3)
+        while at < len(raw):  # blocks between words keep the positions of a huge text few; context ends with its block
+            end = flat.find(b" ", at + BLOCK_BYTES)
+            end = len(raw) if end < 0 else end
+            total += self.in_context(raw[at:end])
+            at = end
+        return n, *total.tolist()
 
     def in_context(self, raw: bytes) -> tuple[float, float, float]:
         plain = misspelt = quoted = 0.0

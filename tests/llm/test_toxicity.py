@@ -38,6 +38,14 @@ def test_quotation_is_not_abuse():
     assert s.features("nothing at all")[1:] == (0, 0, 0)
 
 
+def test_every_block_of_a_long_text_counts(monkeypatch):
+    s = X.Scorer(X.Model(["pathetic", "moron"], []))
+    text = "some é words and a moron " * 400
+    whole = s.features(text)
+    monkeypatch.setattr(X, "BLOCK_BYTES", 30)
+    assert s.features(text) == whole == (2400, 400, 0, 0)
+
+
 @pytest.fixture(scope="module")
 def made(spark):
     """Half of the toxic documents are learnt from; some held-out ones misspell their term."""
