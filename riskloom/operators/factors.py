@@ -240,3 +240,13 @@ def risk_parity_scores(rc: DataFrame) -> DataFrame:
         F.avg("marginal").alias("mean_marginal"),
     )
     return g.withColumn("coefficient_of_variation", F.when(F.col("mean_contribution") > 0, F.col("std") / F.col("mean_contribution")))
+
+
+def compare_risk_gaps(own: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Mean distance from equal risk contributions of each portfolio and of its baseline, and by how much it is smaller."""
+    a = risk_parity_scores(own).select("portfolio_id", "equal_risk_gap", "deviation_score")
+    b = risk_parity_scores(baseline).select("portfolio_id", F.col("equal_risk_gap").alias("equal_weight_gap"), F.col("deviation_score").alias("baseline_score"))
+    return a.join(b, "portfolio_id").select(
+        "portfolio_id", "equal_risk_gap", "equal_weight_gap", (F.col("equal_weight_gap") - F.col("equal_risk_gap")).alias("gap_reduction"),
+        (F.col("baseline_score") - F.col("deviation_score")).alias("deviation_reduction"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import factors, risk, rolling
+from riskloom.operators import factors, portfolio, risk, rolling
 from riskloom.plans.base import CONFIDENCE, WEEKS, normal_values, simple_returns
 from riskloom.plans.registry import cte, query
 from riskloom.session import materialise
@@ -217,3 +217,23 @@ cte("rp_scores", """
        "mean_contribution variance std max_risk_contribution min_risk_contribution equal_risk_gap deviation_score mean_marginal coefficient_of_variation", 7)
 def risk_parity_scores(spark, sf):
     return factors.risk_parity_scores(factors.risk_contributions(tables.weights(spark, sf), factors.sample_covariance(simple_returns(spark, sf))))
+
+
+cte("twin_weights", "SELECT portfolio_id, asset, 1e0 / count(*) OVER (PARTITION BY portfolio_id) AS w FROM weights WHERE w > 0")
+cte("twin_rc", """
+    SELECT portfolio_id, asset, w * sw / v AS contribution, v AS portfolio_volatility FROM (
+      SELECT *, sqrt(sum(w * sw) OVER (PARTITION BY portfolio_id)) AS v FROM (
+        SELECT a.portfolio_id, a.asset, any_value(a.w) AS w, sum(cov * b.w) AS sw FROM twin_weights a JOIN twin_weights b ON a.portfolio_id = b.portfolio_id
+        JOIN cov_full ON i = a.asset AND j = b.asset GROUP BY 1, 2))""")
+
+
+@query("risk_contribution_gap", "E15 FAC15", """
+    SELECT portfolio_id, r.equal_risk_gap, t.gap AS equal_weight_gap, t.gap - r.equal_risk_gap AS gap_reduction, t.deviation - r.deviation_score AS deviation_reduction FROM rp_scores r JOIN (
+      SELECT portfolio_id, avg(abs(contribution - t)) AS gap, sqrt(avg(pow(contribution - t, 2))) / any_value(t) AS deviation
+      FROM (SELECT *, portfolio_volatility / count(*) OVER (PARTITION BY portfolio_id) AS t FROM twin_rc) GROUP BY portfolio_id) t USING (portfolio_id)""",
+       "equal_risk_gap equal_weight_gap gap_reduction deviation_reduction", 7)
+def risk_contribution_gap(spark, sf):
+    """How much closer to equal risk each portfolio is than its equal-weight twin."""
+    w = tables.weights(spark, sf)
+    cov = materialise(factors.sample_covariance(simple_returns(spark, sf)), "covariance")
+    return factors.compare_risk_gaps(factors.risk_contributions(w, cov), factors.risk_contributions(portfolio.equal_weights(w), cov))
