@@ -170,14 +170,43 @@ def rolling_min_variance(weights: DataFrame, rolling_cov: DataFrame, max_unrolle
     return scored.groupBy("date").agg(best).select("date", "k.portfolio_id", "k.variance")
 
 
+def rebalance_path(choices: DataFrame, weights: DataFrame, min_change: float = 0.0) -> DataFrame:
+    """What is held from each rebalance on: (date, wanted, portfolio_id, turnover, traded).
+
+    Turnover is the absolute weight change from what is held to what is wanted;
+    below ``min_change`` nothing is traded and the old portfolio stays.  That
+    hangs on the step before, so the choices, one row per rebalance date, are
+    folded in order within one row.
+    """
+    u = weights.agg(F.array_sort(F.collect_set("asset")).alias("u")).scalar()
+    wanted = weight_arrays(weights.join(choices.select("portfolio_id").distinct(), "portfolio_id", "left_semi"), u).select("portfolio_id", "w")
+    steps = choices.join(wanted, "portfolio_id").agg(F.array_sort(F.collect_list(F.struct("date", "portfolio_id", "w"))).alias("steps"))
+    empty = F.array().cast("array<struct<date: date, wanted: bigint, portfolio_id: bigint, turnover: double, traded: boolean>>")
+    start = F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("w"), empty.alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        gap = F.aggregate(F.zip_with(state["w"], x["w"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d)
+        trade = F.coalesce(gap >= min_change, F.lit(True))
+        held = F.when(trade, x["portfolio_id"]).otherwise(state["id"])
+        row = F.struct(x["date"].alias("date"), x["portfolio_id"].cast("bigint").alias("wanted"), held.cast("bigint").alias("portfolio_id"), gap.alias("turnover"), trade.alias("traded"))
+        return F.struct(held.cast("bigint").alias("id"), F.when(trade, x["w"]).otherwise(state["w"]).alias("w"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    return steps.select(F.inline(F.aggregate("steps", start, step, lambda s: s["out"])))
+
+
+def rebalance_periods(path: DataFrame, weights: DataFrame, rets: DataFrame) -> DataFrame:
+    """``path`` with the number of returns, compounded return and volatility from each rebalance to the next."""
+    daily = hold_until_next(path, weights, rets)
+    per = daily.groupBy(F.col("rebalance").alias("date")).agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("r"))) - 1).alias("period_return"), F.stddev_samp("r").alias("period_std"))
+    return path.join(per, "date", "left")
+
+
 def hold_until_next(choices: DataFrame, weights: DataFrame, rets: DataFrame) -> DataFrame:
-    """Daily returns of the chosen portfolio between one rebalance and the next, with turnover.
+    """Returns of the chosen portfolio from one rebalance to the next.
 
     ``choices`` has one row per rebalance date.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("date")
-    spans = choices.select(F.col("date").alias("rebalance"), "portfolio_id", F.lead("date").over(w).alias("next"))
-    held = spans.join(weights, "portfolio_id").select("rebalance", "next", "portfolio_id", "asset", "w")
+    held = choices.select(F.col("date").alias("rebalance"), "portfolio_id").join(weights, "portfolio_id").select("rebalance", "portfolio_id", "asset", "w")
     # Each trading date belongs to the last rebalance before it.
     cal = choices.agg(F.array_sort(F.collect_list("date")).alias("c")).scalar()
     r = rets.withColumn("c", cal).withColumn("rebalance", F.get(F.reverse(F.filter("c", lambda x: x < F.col("date"))), F.lit(0)))

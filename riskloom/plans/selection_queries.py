@@ -155,6 +155,30 @@ def rolling_rebalance_backtest(spark, sf):
     return selection.hold_until_next(*rebalance_choice(spark, sf))
 
 
+cte("rebalance_pairs", """
+    WITH p AS (SELECT DISTINCT portfolio_id FROM rebalance_choice), a AS (SELECT DISTINCT asset FROM weights),
+    g AS (SELECT p.portfolio_id, a.asset, coalesce(w.w, 0e0) AS w FROM p CROSS JOIN a LEFT JOIN weights w ON w.portfolio_id = p.portfolio_id AND w.asset = a.asset)
+    SELECT x.portfolio_id AS held, y.portfolio_id AS wanted, sum(abs(x.w - y.w)) AS gap FROM g x JOIN g y USING (asset) GROUP BY 1, 2""")
+cte("rebalance_steps", "SELECT date, portfolio_id, row_number() OVER (ORDER BY date) AS rn FROM rebalance_choice")
+cte("rebalance_path", """
+    SELECT rn, date, portfolio_id AS wanted, portfolio_id, CAST(NULL AS DOUBLE) AS turnover, true AS traded FROM rebalance_steps WHERE rn = 1
+    UNION ALL SELECT s.rn, s.date, s.portfolio_id, CASE WHEN g.gap >= 6e-1 THEN s.portfolio_id ELSE p.portfolio_id END, g.gap, g.gap >= 6e-1
+    FROM rebalance_path p JOIN rebalance_steps s ON s.rn = p.rn + 1 JOIN rebalance_pairs g ON g.held = p.portfolio_id AND g.wanted = s.portfolio_id""")
+
+
+@query("rebalance_loop", "O6 W12", """
+    WITH s AS (SELECT *, lead(date) OVER (ORDER BY date) AS next FROM rebalance_path),
+    r AS (SELECT s.date, x.date AS day, sum(w.w * x.r) AS r FROM s JOIN weights w ON w.portfolio_id = s.portfolio_id
+      JOIN simple_returns x ON x.asset = w.asset AND x.date > s.date AND (s.next IS NULL OR x.date <= s.next) GROUP BY 1, 2)
+    SELECT s.date, wanted, portfolio_id, turnover, traded, n, period_return, period_std FROM s LEFT JOIN (
+      SELECT date, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS period_return, stddev_samp(r) AS period_std FROM r GROUP BY date) USING (date)""", "turnover period_return period_std")
+def rebalance_loop(spark, sf):
+    """Rebalances that change too little are skipped; turnover, return and volatility of each period."""
+    choices, w, r = rebalance_choice(spark, sf)
+    path = materialise(selection.rebalance_path(choices, w, 0.6), "path")
+    return selection.rebalance_periods(path, w, r)
+
+
 P = {"return_weight": 0.5, "risk_weight": 1.0, "diversification_weight": 0.1, "budget_penalty": 10.0, "cardinality_penalty": 8.0, "min_assets": 4, "max_assets": 9}
 cte("tail_mean", "SELECT asset, avg(r) FILTER (WHERE r <= q) AS cvar FROM simple_returns JOIN (SELECT asset, quantile_cont(r, 5e-2) AS q FROM simple_returns GROUP BY asset) USING (asset) GROUP BY asset")
 cte("qubo", """
