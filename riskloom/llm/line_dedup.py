@@ -148,12 +148,13 @@ def can_be_near(a: Column, b: Column, edits: int) -> Column:
 
 
 def candidates(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): tags of lines that share a segment and whose letters agree."""
+    """(a, b): tags of lines that share a segment and whose letters agree, and (tag, tag) where several lines have one tag."""
     long = distinct.where(F.col("n") >= CHARS_PER_EDIT)
     index = long.select(F.col("tag").alias("a"), F.explode(segments(edits)).alias("key"))
     probe = long.select(F.col("tag").alias("b"), F.explode(probes(edits)).alias("key"))
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & letters_agree(F.col("a"), F.col("b"), edits))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = long.groupBy("tag").count().where("count > 1").select(F.col("tag").alias("a"), F.col("tag").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(shared)
 
 
 def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -162,14 +163,15 @@ def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     ``distinct`` has one row per line: id, line, n (characters), tag.  Two lines
     of n and m characters are in reach at min(n, m) // CHARS_PER_EDIT edits or
     fewer, and never beyond ``edits``.  With one segment more than edits, at
-    least one segment is untouched, so no pair is missed.
+    least one segment is untouched, so no pair is missed.  Lines with the same
+    tag are compared whether or not they share a segment.
     """
     pairs = materialise(candidates(distinct, edits), "candidates")
     tags = materialise(pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct(), "tags")
     few = tags.count() <= BROADCAST_LINES
     texts = distinct.join(F.broadcast(tags) if few else tags, "tag", "left_semi").select("tag", "id", "line", "n")
     texts = materialise(texts, "candidate-lines")
-    both = pairs.join(texts.toDF("a", "id_a", "line_a", "n_a"), "a").join(texts.toDF("b", "id_b", "line_b", "n_b"), "b").where("id_a <> id_b")
+    both = pairs.join(texts.toDF("a", "id_a", "line_a", "n_a"), "a").join(texts.toDF("b", "id_b", "line_b", "n_b"), "b").where("id_a <> id_b AND (a <> b OR id_a < id_b)")
     # What is equal at both ends leaves the distance as it is.
     cut = both.select("id_a", "id_b", F.least("n_a", "n_b").alias("n"), "line_a", "line_b", common_prefix(F.col("line_a"), F.col("line_b")).alias("p"))
     rest = lambda c: F.substring(c, F.col("p") + 1, F.char_length(c))

@@ -82,6 +82,19 @@ def test_classes_equal_brute_force(spark, monkeypatch, most):
     assert found(L.line_classes(docs)) == plain_classes(rows)
 
 
+def test_near_lines_with_the_same_tag_are_linked(spark):
+    """Different lines whose tags are equal by hash: two edits apart, and one pair out of reach."""
+    lines = ["Part number 2-R is kept in the north hall.", "Part number y-V is kept in the north hall."]
+    rows = [(1, lines[0]), (2, lines[1]), (3, lines[0] + "\n" + "Part number 2-R is kept in the north ward.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tags = {r.line: r.tag for r in L.distinct_lines(docs).collect()}
+    assert tags[lines[0]] == tags[lines[1]] and len(tags) == 3
+    assert found(L.line_classes(docs)) == plain_classes(rows)
+    distinct = L.distinct_lines(docs).withColumn("tag", F.lit(0).cast("bigint"))  # every line under one tag
+    names = {r.id: r.line for r in distinct.collect()}
+    assert [(names[r.a], names[r.b], r.distance) for r in L.line_links(distinct).collect()] in ([(*lines, 2)], [(*lines[::-1], 2)])
+
+
 def test_native_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = L.line_classes(docs)._jdf.queryExecution().executedPlan().toString()
