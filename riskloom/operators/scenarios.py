@@ -72,7 +72,7 @@ def _normal_draw(seed: int, k: Column) -> Column:
 
 def _with_moments(sims: DataFrame) -> DataFrame:
     s = sims.withColumn("mu", array_mean(F.col("w")))
-    ss = F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - F.col("mu")) * (x - F.col("mu")))
+    ss = F.transform(F.array(array_mean(F.col("w"))), lambda mu: F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu)))[0]
     return s.withColumn("sigma", F.sqrt(ss / (F.size("w") - 1)))
 
 

@@ -26,8 +26,8 @@ def garch_forecasts(rets: DataFrame, window: int, step: int, grid: Sequence[dict
     the current row out (``lag=1``), so the forecast is for the row's own date.
     """
     w = window_arrays(rets, window, step, lag)
-    w = w.withColumn("mu", array_mean(F.col("w")))
-    w = w.withColumn("e2", F.transform("w", lambda r: (r - F.col("mu")) * (r - F.col("mu")))).drop("w")
+    # The array binds the mean, which would be worked out again for every value otherwise.
+    w = w.withColumn("e2", F.transform(F.array(array_mean(F.col("w"))), lambda mu: F.transform("w", lambda r: (r - mu) * (r - mu)))[0]).drop("w")
     w = w.withColumn("target", array_mean(F.col("e2")))
     g = fan_out(w, literal_rows(list(grid or garch_grid())))
     g = g.withColumn("omega", F.col("target") * (1 - F.col("alpha") - F.col("beta")))
@@ -59,7 +59,8 @@ def garch_diagnostics(params: DataFrame) -> DataFrame:
 def student_dof(rets: DataFrame, window: int, step: int, dofs: Sequence[float] = (2.1, 3, 4, 5, 6, 8, 10, 15, 20, 30, 50)) -> DataFrame:
     """Degrees of freedom by likelihood over a bounded grid, with matched location and scale."""
     w = window_arrays(rets, window, step).withColumn("mu", array_mean(F.col("w")))
-    var = F.aggregate("w", F.lit(0.0), lambda s, r: s + (r - F.col("mu")) * (r - F.col("mu"))) / (F.size("w") - 1)
+    squares = F.transform(F.array(array_mean(F.col("w"))), lambda mu: F.aggregate("w", F.lit(0.0), lambda s, r: s + (r - mu) * (r - mu)))[0]
+    var = squares / (F.size("w") - 1)
     w = w.withColumn("sigma", F.sqrt(var)).filter("sigma > 0")
     rows = [
         {"dof": float(v), "shrink": math.sqrt((v - 2) / v), "norm": math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi)} for v in dofs
