@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, line_dedup, mixing, packing, quality, repetition, simhash, suffix_dedup, toxicity, url_filter
+from riskloom.llm import decontaminate, lexical_search, line_dedup, mixing, packing, quality, repetition, simhash, suffix_dedup, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,26 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_transform_merge_dedup")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op13_shared_sum_search")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TERMS13 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op13_shared_sum_search"] = f"""
+WITH d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w FROM (SELECT doc_id, {_TERMS13} AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS13}) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), total),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {lexical_search.TOP}"""
+
+
+@query("op11_block_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
