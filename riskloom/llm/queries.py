@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, lexical_search, line_dedup, mixing, packing, quality, repetition, simhash, suffix_dedup, toxicity, url_filter, whitening
+from riskloom.llm import decontaminate, jaccard_join, lexical_search, line_dedup, mixing, packing, quality, repetition, simhash, suffix_dedup, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 @query("op11_block_whitening")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query("op12_partition_jaccard_join")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents"))
