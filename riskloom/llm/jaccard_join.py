@@ -39,8 +39,8 @@ BAND_GROWTH = 1.4
 CROWD = 16
 #: Most crowded segments that a set may leave out.
 MAX_SLACK = 8
-#: Rows of one-deletion neighbourhoods that a comparison saved is worth.
-PAIR_COST = 1.0
+#: Rows of one-deletion neighbourhoods that a comparison saved is worth: a row is shuffled, a comparison is a few bytes in a task.
+PAIR_COST = 0.05
 #: Tokens of one block of a group; blocks of a group meet two at a time.
 BLOCK_TOKENS = 1 << 17
 #: So many doc_ids are sent to all tasks, 8 MB of them.
@@ -110,6 +110,10 @@ class Bands:
     def segments(self, band: int) -> int:
         return self.differ(2 * (self.start(band + 1) - 1)) + 1
 
+    def shown(self, size: int) -> int:
+        """How many segments, the first ones, a set has to show: one more than it may differ in from its largest partner."""
+        return self.differ(size + size * self.denominator // self.numerator) + 1
+
     def joined(self, size: int) -> list[int]:
         """The bands in which a set of ``size`` tokens is indexed."""
         home = self.of(size)
@@ -122,11 +126,11 @@ def split(t: np.ndarray, band: int, segments: int) -> np.ndarray:
     return ((mix(t + np.uint64(band)) >> np.uint64(16)) % np.uint64(segments)).astype(np.int64)
 
 
-def signatures(t: np.ndarray, band: int, segments: int) -> np.ndarray:
-    """One signature per segment: equal segments have equal ones."""
+def signatures(t: np.ndarray, band: int, segments: int, shown: int) -> np.ndarray:
+    """One signature for each of the first ``shown`` segments: equal segments have equal ones."""
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, split(t, band, segments), mix(t))
-    return mix(sums + np.arange(segments, dtype=np.uint64) * _A + np.full(1, band, np.uint64) * _B)
+    return mix(sums[:shown] + np.arange(shown, dtype=np.uint64) * _A + np.full(1, band, np.uint64) * _B)
 
 
 def deletions(t: np.ndarray, band: int, segments: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +187,7 @@ def index(docs: DataFrame, bands: Bands, salt: int) -> DataFrame:
                     entries = []
                     for band in bands.joined(len(t)):
                         m = bands.segments(band)
-                        entries.append({"band": band, "sigs": signatures(t, band, m).view(np.int64), "sketch": sketch(t, 2 * m).tobytes()})
+                        entries.append({"band": band, "sigs": signatures(t, band, m, bands.shown(len(t))).view(np.int64), "sketch": sketch(t, 2 * m).tobytes()})
                 rows.append((doc, len(t), node, check, entries))
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64()] * 4 + [pa.list_(_BAND_ARROW)]
@@ -193,7 +197,14 @@ def index(docs: DataFrame, bands: Bands, salt: int) -> DataFrame:
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, node, own, ...) whose key is held by two different nodes, one of them with a whole segment."""
+    """``rows`` (key, node, own, ...) whose key is held by two different nodes, one of them with a whole segment.
+
+    Most keys stand alone.  They go by counts of 48 bits of the key, which are
+    small and add up before the shuffle; what is left is then decided exactly.
+    """
+    part = F.shiftright("key", 16).alias("part")
+    several = rows.groupBy(part).agg(F.count("*").alias("rows")).where("rows > 1").select("part")
+    rows = materialise(rows.withColumn("part", part).join(several, "part", "left_semi").drop("part"), "several")
     held = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("own").alias("own"))
     return rows.join(held.where("low < high and own").select("key"), "key", "left_semi").distinct()
 
@@ -253,9 +264,10 @@ def neighbourhoods(docs: DataFrame, bands: Bands, salt: int, chosen: dict[int, l
 def candidates(docs: DataFrame, found: DataFrame, bands: Bands, salt: int) -> DataFrame:
     """(key, node, band, own, c): where sets meet; every two linked sets stand under one key at least."""
     each = found.where("bands is not null").select("node", "n", F.explode("bands").alias("b")).select("node", "n", "b.*")
-    rows = each.select("node", "band", F.posexplode("sigs").alias("segment", "key")).select("key", "node", "band", "segment", F.lit(True).alias("own"))
-    met = materialise(meeting(rows), "meeting")
-    met = materialise(met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key"), "met")
+    rows = each.select("node", F.posexplode("sigs").alias("segment", "key"), "band").select("key", "node", F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("segment")).alias("at"))
+    met = materialise(meeting(rows.withColumn("own", F.lit(True))), "meeting")
+    met = met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key")
+    met = materialise(met.select("key", "node", F.shiftright("at", 32).cast("int").alias("band"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("segment"), "own", "c"), "met")
     crowded, slack, chosen = allocate(met, each.select("node", "band", "n"), bands)
     if not slack:
         return met.drop("segment")
@@ -277,7 +289,10 @@ def near_pairs(live: DataFrame, found: DataFrame, bands: Bands) -> DataFrame:
     x = live.where(F.col("c") <= CROWD).select("key", "node", "band", "own")
     y = x.toDF("key", "other", "b2", "own2")
     pairs = x.join(y, "key").where("node < other and (own or own2)").select(F.col("node").alias("a"), F.col("other").alias("b"), "band").distinct()
-    sk = found.where("bands is not null").select("node", "n", F.explode("bands").alias("x")).select("node", "n", F.col("x.band").alias("band"), F.col("x.sketch").alias("s")).dropDuplicates(["node", "band"])
+    pairs = materialise(pairs, "pairs")
+    sk = found.where("bands is not null").select("node", "n", F.explode("bands").alias("x")).select("node", "n", F.col("x.band").alias("band"), F.col("x.sketch").alias("s"))
+    sk = sk.join(pairs.select("a").unionAll(pairs.select("b")).distinct().toDF("node"), "node", "left_semi")
+    sk = materialise(sk.dropDuplicates(["node", "band"]), "sketches")
     both = pairs.join(sk.toDF("a", "na", "band", "sa"), ["a", "band"]).join(sk.toDF("b", "nb", "band", "sb"), ["b", "band"])
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
