@@ -130,7 +130,8 @@ def signatures(t: np.ndarray, band: int, segments: int, shown: int) -> np.ndarra
     """One signature for each of the first ``shown`` segments: equal segments have equal ones."""
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, split(t, band, segments), mix(t))
-    return mix(sums[:shown] + np.arange(shown, dtype=np.uint64) * _A + np.full(1, band, np.uint64) * _B)
+    sums = sums[:shown]
+    return mix(sums + np.arange(len(sums), dtype=np.uint64) * _A + np.full(1, band, np.uint64) * _B)
 
 
 def deletions(t: np.ndarray, band: int, segments: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
