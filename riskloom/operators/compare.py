@@ -230,12 +230,13 @@ def top_k_per_tool(df: DataFrame, metrics: dict[str, bool], k: int, tool: str =
 
 
 def composite_score(
-    df: DataFrame, components: Sequence[tuple[Column, float, bool]], missing: float | None, keep_constant: bool, name: str = "score"
+    df: DataFrame, components: Sequence[tuple[Column, float, bool]], missing: float | None, keep_constant: bool, name: str = "score", high_is_good: bool = False
 ) -> DataFrame:
     """Weighted sum of min-max normalised components (value, weight, inverted).
 
     A component without spread counts as its raw value (``keep_constant``) or as 0.
-    A missing value is ``missing`` or, if that is None, the largest value found.
+    A missing value is ``missing`` or, if that is None, the worst value found: the
+    one that moves the score away from what is good.
     The bounds of all components come from one aggregate used as a scalar.
     """
     fill = (lambda c: c) if missing is None else (lambda c: F.coalesce(c, F.lit(missing)))
@@ -245,7 +246,7 @@ def composite_score(
     total = F.lit(0.0)
     for k, (_, weight, inverted) in enumerate(components):
         lo, hi = F.col(f"__b.b{k}.lo"), F.col(f"__b.b{k}.hi")
-        v = F.coalesce(f"__c{k}", hi, F.lit(0.0))
+        v = F.coalesce(f"__c{k}", lo if high_is_good != inverted else hi, F.lit(0.0))
         norm = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(v if keep_constant else F.lit(0.0))
         total = total + weight * ((1.0 - norm) if inverted else norm)
     return work.withColumn(name, total).select(*df.columns, name)
@@ -263,8 +264,12 @@ def configuration_scores(metrics: DataFrame) -> DataFrame:
 
 
 def rank_portfolios(metrics: DataFrame, weights: dict[str, tuple[float, bool]], percentiles: Sequence[int] = (1, 5, 10)) -> tuple[DataFrame, DataFrame]:
-    """Composite-ranked portfolios and the score found at the given percentile positions."""
-    scored = composite_score(metrics, [(F.col(m), w, not up) for m, (w, up) in weights.items()], missing=0.0, keep_constant=False)
+    """Composite-ranked portfolios and the score found at the given percentile positions.
+
+    A missing component counts as the worst found: the largest where small is
+    good, the smallest where large is.
+    """
+    scored = composite_score(metrics, [(F.col(m), w, not up) for m, (w, up) in weights.items()], missing=None, keep_constant=False, high_is_good=True)
     ranked = materialise(global_row_number(scored, [F.desc("score"), F.col("portfolio_id")]), "ranked")
     n = ranked.agg(F.count("*").alias("n")).scalar()
     at = ranked.select("rank", "score").withColumn("n", n).withColumn("percentile", F.explode(F.array(*[F.lit(p) for p in percentiles])))
@@ -273,14 +278,18 @@ def rank_portfolios(metrics: DataFrame, weights: dict[str, tuple[float, bool]],
 
 
 def model_ranking(metrics: DataFrame, scope: Sequence[str] = ("confidence_level", "horizon")) -> DataFrame:
-    """Composite score per model and scope; components are normalised and ranked afterwards."""
+    """Composite score per model and scope; components are normalised and ranked afterwards.
+
+    A missing component (no violation, so no RMSE) counts as the worst found, or as 0 where none has one.
+    """
     parts = {
         "hit_rate_gap": (F.avg(F.abs(F.col("hit_rate") - (1 - F.col("confidence_level")))), 0.4), "violation_ratio_gap": (F.avg(F.abs(F.col("violation_ratio") - 1.0)), 0.25),
         "rmse": (F.avg("rmse_violations"), 0.25), "kupiec_rejection": (F.avg(F.col("kupiec_reject").cast("double")), 0.1)}
     g = metrics.groupBy("model", *scope).agg(*[c.alias(f"component_{n}") for n, (c, _) in parts.items()])
-    score = sum((F.coalesce(F.col(f"component_{n}"), F.lit(0.0)) * w for n, (_, w) in parts.items()), F.lit(0.0))
-    g = g.withColumn("composite_score", score)
     whole = Window.partitionBy(F.lit(0))  # one row per model and scope
+    g = g.withColumns({f"__{n}": F.coalesce(F.col(f"component_{n}"), F.max(f"component_{n}").over(whole), F.lit(0.0)) for n in parts})
+    score = sum((F.col(f"__{n}") * w for n, (_, w) in parts.items()), F.lit(0.0))
+    g = g.withColumn("composite_score", score).drop(*[f"__{n}" for n in parts])
     for c in [f"component_{n}" for n in parts] + ["composite_score"]:
         lo, hi = F.min(c).over(whole), F.max(c).over(whole)
         g = g.withColumn(c, F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.col(c)))

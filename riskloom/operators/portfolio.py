@@ -21,7 +21,7 @@ from riskloom.functions.columns import (
 )
 from riskloom.functions.constants import TRADING_DAYS
 from riskloom.functions.periods import period_key
-from riskloom.session import MAX_INLINE_CELLS, spread
+from riskloom.session import MAX_INLINE_CELLS, materialise, spread
 from riskloom.sources.portfolios import universe_array, weight_arrays
 
 SALTS = 64
@@ -56,6 +56,26 @@ def weighted_sum(w: str, r: str, n: int) -> Column:
     return total
 
 
+def packed_days(rets: DataFrame) -> tuple[DataFrame, int, list]:
+    """(date, r) written once, with the day's returns in asset order; its cells and its assets.  Gaps are an error.
+
+    One job reads the returns; shape, universe and panel all come from the table it leaves.
+    """
+    packed = F.array_sort(F.collect_list(F.struct("asset", "r")))
+    days = rets.groupBy("date").agg(packed.alias("p")).select("date", F.col("p.asset").alias("assets"), F.col("p.r").alias("r"))
+    days = materialise(days, "days")
+    shape = days.agg(
+        F.count("*").alias("dates"), F.sum(F.size("r")).alias("cells"), F.min("assets").alias("least"), F.max("assets").alias("most"),
+        F.max(F.exists("r", lambda x: x.isNull())).alias("missing"),
+    ).first()
+    if not shape["dates"]:
+        return days, 0, []
+    assets = shape["least"]
+    if shape["missing"] or assets != shape["most"] or len(set(assets)) < len(assets):
+        raise ValueError(f"the panel has {shape['cells']} returns on {shape['dates']} dates, not one for each of up to {len(shape['most'])} assets; align it first (panel.complete_dates)")
+    return days, shape["cells"], assets
+
+
 def _rows_by_date(rets: DataFrame) -> DataFrame:
     """(date, r): the day's returns in asset order."""
     packed = F.array_sort(F.collect_list(F.struct("asset", "r")))
@@ -100,7 +120,7 @@ def evaluate(
     """
     keys = ["portfolio_id"] + (["slice"] if slice_type else [])
     slice_of = period_key(F.col("date"), slice_type) if slice_type else F.lit("")
-    n_cells, _ = panel_shape(rets)
+    packed, n_cells, universe = packed_days(rets)
     if n_cells == 0 or n_cells > max_cells:
         stats = path_statistics(_return_paths_by_join(weights, rets, slice_type), keys, alpha, periods)
         spans = rets.groupBy(slice_of.alias("slice")).agg(F.count_distinct("date").cast("int").alias("n"))  # bounded by the calendar
@@ -108,8 +128,7 @@ def evaluate(
         every = weights.select("portfolio_id").distinct().withColumn("s", F.explode(spans)).select("portfolio_id", *(["s.slice"] if slice_type else []), F.col("s.n").alias("n"))
         return every.join(stats.drop("n"), keys, "left").select(*keys, "n", *STATISTICS)
     # One row per date with its returns in asset order: eight bytes per cell, at most max_cells of them.
-    days = _rows_by_date(rets).select("date", slice_of.alias("slice"), "r").toArrow().sort_by("date")
-    universe = [r["asset"] for r in rets.select("asset").distinct().orderBy("asset").collect()]
+    days = packed.select("date", slice_of.alias("slice"), "r").toArrow().sort_by("date")
     panel = days.column("r").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(universe))
     labels = np.array(days.column("slice").to_pylist(), dtype=object)
     blocks = {str(s): np.flatnonzero(labels == s) for s in sorted(set(labels))}
@@ -202,7 +221,7 @@ def path_statistics(paths: DataFrame, keys: Sequence[str] = ("portfolio_id",), a
         power_sum(2).alias("s2"), power_sum(3).alias("s3"), power_sum(4).alias("s4"),
         F.aggregate("rets", F.lit(0.0), lambda s, x: s + F.when(x < 0, x * x).otherwise(0.0)).alias("down2"),
         F.size(neg).alias("n_negative"),
-        F.aggregate("rets", F.lit(0.0), lambda s, x: s + F.log1p(x)).alias("log_growth"),
+        F.aggregate("rets", F.lit(1.0), lambda s, x: s * (1 + x)).alias("growth"),
         max_drawdown(F.col("rets")).alias("max_drawdown"), array_quantile(F.col("s"), alpha).alias("q"),
     )
     n = F.col("n")
@@ -213,8 +232,8 @@ def path_statistics(paths: DataFrame, keys: Sequence[str] = ("portfolio_id",), a
         ratio(F.col("s3") / n, F.pow(F.col("s2") / n, F.lit(1.5))).alias("skewness"),
         (ratio(F.col("s4") / n, F.col("s2") / n * F.col("s2") / n) - 3).alias("kurtosis"),
         F.sqrt(F.col("down2") / n).alias("downside_all"), F.sqrt(ratio(F.col("down2"), F.col("n_negative").cast("double"))).alias("downside_negative"),
-        "max_drawdown", (F.exp("log_growth") - 1).alias("compounded_return"),
-        F.pow(F.exp("log_growth"), F.lit(float(periods)) / n).alias("annual_growth"),
+        "max_drawdown", (F.col("growth") - 1).alias("compounded_return"),
+        F.nullif(F.pow("growth", F.lit(float(periods)) / n), F.lit(float("nan"))).alias("annual_growth"),  # NULL for a negative growth
         F.abs("q").alias("value_at_risk"), F.abs(ratio(array_sum(tail), F.size(tail).cast("double"))).alias("conditional_value_at_risk"),
         F.get("s", F.lit(0)).alias("worst"), F.get("s", n - 1).alias("best"),
     )

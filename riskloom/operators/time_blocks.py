@@ -21,6 +21,12 @@ from riskloom.session import spread
 BLOCK = 512
 
 
+def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; masked values are NULL."""
+    mask = np.ma.getmaskarray(values) if isinstance(values, np.ma.MaskedArray) else None
+    return pa.array(np.asarray(values), mask=mask).cast(kind)
+
+
 def each_block(rets: DataFrame, window: int, compute: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, block: int = BLOCK, key: str = "asset") -> DataFrame:
     """(key, date, ...) for every row with a whole window behind it, the row itself included.
 
@@ -50,7 +56,7 @@ def each_block(rets: DataFrame, window: int, compute: Callable[[np.ndarray], dic
         out = compute(view)
         which = out.pop("end", np.arange(len(ends)))
         place = pa.array(ends[which] - int(at[0]))
-        cols = [table[key].take(place), table["date"].take(place), *(pa.array(out[f.name], f.type) for f in fields[2:])]
+        cols = [table[key].take(place), table["date"].take(place), *(_column(out[f.name], f.type) for f in fields[2:])]
         return pa.table(cols, schema=pa.schema(fields))
 
     return spread(parts, key, "block").groupBy(key, "block").applyInArrow(run, kind)

@@ -87,8 +87,7 @@ def student_var_cvar(fits: DataFrame, confidence: Sequence[float], dofs: Sequenc
     return out.withColumn("var_low", F.col("var") * (1 - band)).withColumn("var_high", F.col("var") * (1 + band)).drop("cdof", "q", "es")
 
 
-def forecast_bias(forecasts: DataFrame, realised: DataFrame) -> DataFrame:
-    """Mean error and RMSE of forecast volatility against the conditional volatility."""
-    j = forecasts.select("asset", "date", F.col("sigma").alias("forecast")).join(realised.select("asset", "date", F.col("sigma").alias("actual")), ["asset", "date"])
-    d = F.col("forecast") - F.col("actual")
-    return j.groupBy("asset").agg(F.avg(d).alias("mean_error"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count("*").alias("n"))
+def forecast_bias(fits: DataFrame, forecast: str = "sigma", actual: str = "sigma_last") -> DataFrame:
+    """Mean error and RMSE of forecast volatility against the conditional volatility, both columns of the fit."""
+    d = F.col(forecast) - F.col(actual)
+    return fits.where(d.isNotNull()).groupBy("asset").agg(F.avg(d).alias("mean_error"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count("*").alias("n"))

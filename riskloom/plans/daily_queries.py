@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import evt, fidelity, risk, rolling, scenarios, volatility
+from riskloom.functions.columns import literal_rows
+from riskloom.operators import evt, fidelity, risk, rolling, scenarios, sliding_fits, volatility
 from riskloom.plans.base import CONFIDENCE, DAILY_WINDOWS, HORIZONS, log_returns
 from riskloom.plans.registry import query
+from riskloom.plans.tail_queries import PARAM_DOUBLES, pot_ctes, student_fit_sql, student_risk_sql
 
 QUANTILES, MIN_EXCEEDANCES = [0.95], 50
 N_SIMS, SEED, BLOCK, DOF, LONGEST = 20_000, 7, 5, 5.0, 10
@@ -30,18 +32,28 @@ def daily(spark, sf) -> DataFrame:
     return log_returns(spark, sf, "day")
 
 
-@query("pot_parameters_daily", "R15 R16 R17 R20", digits=7)
+for _w in DAILY_WINDOWS:
+    pot_ctes(f"potd{_w}", "log_returns_day", _w, 1, MIN_EXCEEDANCES, QUANTILES)
+_POT = " UNION ALL ".join(f"SELECT * FROM potd{w}_params" for w in DAILY_WINDOWS)
+_EVT = " UNION ALL ".join(f"SELECT * FROM potd{w}_series" for w in DAILY_WINDOWS)
+
+
+def tails(spark, sf) -> DataFrame:
+    return reduce(DataFrame.unionByName, [sliding_fits.pot_parameters(daily(spark, sf), w, QUANTILES, MIN_EXCEEDANCES) for w in DAILY_WINDOWS])
+
+
+@query("pot_parameters_daily", "R15 R16 R17 R20", _POT, PARAM_DOUBLES, 7)
 def pot_parameters_daily(spark, sf):
-    return each_window(lambda r, w: evt.pot_parameters(r, w, QUANTILES, MIN_EXCEEDANCES), daily(spark, sf))
+    return tails(spark, sf)
 
 
-@query("evt_var_cvar_daily", "R18 R19 R20", digits=6)
+@query("evt_var_cvar_daily", "R18 R19 R20", _EVT, PARAM_DOUBLES + " confidence_level var cvar", 6)
 def evt_var_cvar_daily(spark, sf):
-    return each_window(lambda r, w: evt.evt_series(r, w, QUANTILES, MIN_EXCEEDANCES, CONFIDENCE, HORIZONS), daily(spark, sf))
+    return evt.evt_var_cvar(tails(spark, sf), literal_rows([{"confidence_level": float(c), "horizon": h} for c in CONFIDENCE for h in HORIZONS]))
 
 
 def garch(spark, sf) -> DataFrame:
-    return each_window(lambda r, w: volatility.garch_forecasts(r, w, 1), daily(spark, sf))
+    return each_window(lambda r, w: sliding_fits.garch_forecasts(r, w), daily(spark, sf))
 
 
 @query("garch_volatility_daily", "R11 R8 R9", digits=6)
@@ -60,22 +72,25 @@ def garch_diagnostics_daily(spark, sf):
 @query("garch_forecast_bias_daily", "A12", digits=6)
 def garch_forecast_bias_daily(spark, sf):
     def bias(r, w):
-        g = volatility.garch_forecasts(r, w, 1)
-        return volatility.forecast_bias(g, g.select("asset", "date", F.col("sigma_last").alias("sigma")))
+        return volatility.forecast_bias(sliding_fits.garch_forecasts(r, w))
 
     return each_window(bias, daily(spark, sf))
 
 
 def student(spark, sf) -> DataFrame:
-    return each_window(lambda r, w: volatility.student_dof(r, w, 1), daily(spark, sf))
+    return each_window(lambda r, w: sliding_fits.student_dof(r, w), daily(spark, sf))
+
+
+_FITS = " UNION ALL ".join(f"SELECT *, CAST({w} AS INTEGER) AS estimation_window FROM ({student_fit_sql('log_returns_day', w, 1)})" for w in DAILY_WINDOWS)
+_FIT_DOUBLES = "r dof mu scale log_likelihood"
 
 
-@query("student_dof_daily", "R23", digits=6)
+@query("student_dof_daily", "R23", _FITS, _FIT_DOUBLES, 6)
 def student_dof_daily(spark, sf):
     return student(spark, sf)
 
 
-@query("student_var_cvar_daily", "R22", digits=6)
+@query("student_var_cvar_daily", "R22", student_risk_sql(f"({_FITS})"), _FIT_DOUBLES + " confidence_level var cvar var_low var_high", 6)
 def student_var_cvar_daily(spark, sf):
     return volatility.student_var_cvar(student(spark, sf), CONFIDENCE)
 

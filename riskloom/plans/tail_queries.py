@@ -15,38 +15,43 @@ from riskloom.sources import tables
 
 WINDOW, STEP, MIN_EXC, QS = 104, 4, 8, [0.95, 0.90]
 
-cte("pot_members", f"""
-    SELECT e.asset, e.date, e.r, -m.r AS loss FROM ranked_returns e JOIN ranked_returns m ON m.asset = e.asset AND m.rn > e.rn - {WINDOW} AND m.rn <= e.rn
-    WHERE e.rn >= {WINDOW} AND (e.rn - {WINDOW}) % {STEP} = 0""")
-_tried = [(q, [q, *evt.FALLBACK_QUANTILES]) for q in QS]
-_levels = sorted({x for _, qs in _tried for x in qs})
-cte("pot_quantiles", " UNION ALL ".join(f"SELECT asset, date, any_value(r) AS r, {d(q)} AS lvl, quantile_cont(loss, {d(q)}) AS u FROM pot_members GROUP BY asset, date" for q in _levels))
-cte("pot_counts", """
-    SELECT q.asset, q.date, q.r, q.lvl, q.u, count(*) FILTER (WHERE m.loss > q.u) AS nu FROM pot_quantiles q JOIN pot_members m ON m.asset = q.asset AND m.date = q.date GROUP BY 1, 2, 3, 4, 5""")
-cte("pot_threshold", " UNION ALL ".join(f"""
-    SELECT asset, date, any_value(r) AS r, {d(q)} AS threshold_quantile,
-           coalesce(arg_min(u, pos) FILTER (WHERE nu >= {MIN_EXC}), arg_max(u, pos)) AS threshold, coalesce(arg_min(nu, pos) FILTER (WHERE nu >= {MIN_EXC}), arg_max(nu, pos)) AS nu
-    FROM pot_counts JOIN (VALUES {', '.join(f'({k}, {d(x)})' for k, x in enumerate(qs))}) AS t(pos, lvl) USING (lvl) GROUP BY asset, date""" for q, qs in _tried))
-cte("pot_moments", """
-    SELECT asset, date, r, threshold_quantile, threshold, nu, avg(x) AS m0, avg(x * (nu - rk) / (nu - 1e0)) AS m1, var_pop(x) AS xv FROM (
-      SELECT t.*, m.loss - t.threshold AS x, row_number() OVER (PARTITION BY t.asset, t.date, t.threshold_quantile ORDER BY m.loss) AS rk
-      FROM pot_threshold t JOIN pot_members m ON m.asset = t.asset AND m.date = t.date AND m.loss > t.threshold) GROUP BY 1, 2, 3, 4, 5, 6""")
-
-
-def _fit_sql(xi: str, beta: str) -> str:
-    return f"""
-    SELECT asset, date, r, {WINDOW} AS n, {WINDOW} AS estimation_window, threshold_quantile, threshold, CAST(nu AS INTEGER) AS num_exceedances,
-           greatest(-5e-1, least(5e-1, {xi})) AS xi, greatest(1e-3, {beta}) AS beta FROM pot_moments"""
-
-
-cte("pot_params", _fit_sql("2 - m0 / (m0 - 2 * m1)", "2 * m0 * m1 / (m0 - 2 * m1)"))
-cte("pot_params_reference", _fit_sql("(3 * m1 - m0) / (m0 - m1)", "m0 * m1 / (m0 - m1)"))
-cte("evt_series", """
-    SELECT * EXCLUDE (v1), v1 * sqrt(horizon) AS var,
-           (v1 + CASE WHEN abs(xi) < 1e-8 THEN beta ELSE (beta + xi * (v1 - threshold)) / (1 - xi) END) * sqrt(horizon) AS cvar
-    FROM (SELECT *, CASE WHEN v > threshold THEN v END AS v1 FROM (
-      SELECT p.*, confidence_level, horizon, greatest(threshold * 1001e-3, CASE WHEN abs(xi) < 1e-8 THEN threshold - beta * ln((1 - confidence_level) / (num_exceedances / n))
-             ELSE threshold + beta / xi * (pow((1 - confidence_level) / (num_exceedances / n), -xi) - 1) END) AS v FROM pot_params p CROSS JOIN hist_levels)) """.replace("FROM (SELECT *, CASE", "FROM (SELECT * EXCLUDE (v), CASE"))
+def pot_ctes(name: str, rets: str, window: int, step: int, least: int, quantiles: list[float]) -> None:
+    """Sub-queries NAME_members ... NAME_params and NAME_series: peaks over threshold of every ``step``-th window end."""
+    cte(f"{name}_ranked", f"SELECT asset, date, r, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM {rets}")
+    cte(f"{name}_members", f"""
+        SELECT e.asset, e.date, e.r, -m.r AS loss FROM {name}_ranked e JOIN {name}_ranked m ON m.asset = e.asset AND m.rn > e.rn - {window} AND m.rn <= e.rn
+        WHERE e.rn >= {window} AND (e.rn - {window}) % {step} = 0""")
+    tried = [(q, [q, *evt.FALLBACK_QUANTILES]) for q in quantiles]
+    levels = sorted({x for _, qs in tried for x in qs})
+    cte(f"{name}_quantiles", f"SELECT asset, date, any_value(r) AS r, unnest([{', '.join(d(q) for q in levels)}]) AS lvl, unnest(quantile_cont(loss, [{', '.join(d(q) for q in levels)}])) AS u FROM {name}_members GROUP BY asset, date")
+    cte(f"{name}_counts", f"""
+        SELECT q.asset, q.date, q.r, q.lvl, q.u, count(*) FILTER (WHERE m.loss > q.u) AS nu FROM {name}_quantiles q JOIN {name}_members m ON m.asset = q.asset AND m.date = q.date GROUP BY 1, 2, 3, 4, 5""")
+    cte(f"{name}_threshold", " UNION ALL ".join(f"""
+        SELECT asset, date, any_value(r) AS r, {d(q)} AS threshold_quantile,
+               coalesce(arg_min(u, pos) FILTER (WHERE nu >= {least}), arg_max(u, pos)) AS threshold, coalesce(arg_min(nu, pos) FILTER (WHERE nu >= {least}), arg_max(nu, pos)) AS nu
+        FROM {name}_counts JOIN (VALUES {', '.join(f'({k}, {d(x)})' for k, x in enumerate(qs))}) AS t(pos, lvl) USING (lvl) GROUP BY asset, date""" for q, qs in tried))
+    cte(f"{name}_moments", f"""
+        SELECT asset, date, r, threshold_quantile, threshold, nu, avg(x) AS m0, avg(x * (nu - rk) / (nu - 1e0)) AS m1, var_pop(x) AS xv FROM (
+          SELECT t.*, m.loss - t.threshold AS x, row_number() OVER (PARTITION BY t.asset, t.date, t.threshold_quantile ORDER BY m.loss) AS rk
+          FROM {name}_threshold t JOIN {name}_members m ON m.asset = t.asset AND m.date = t.date AND m.loss > t.threshold) GROUP BY 1, 2, 3, 4, 5, 6""")
+
+    def fit(xi: str, beta: str) -> str:
+        return f"""
+        SELECT asset, date, r, {window} AS n, {window} AS estimation_window, threshold_quantile, threshold, CAST(nu AS INTEGER) AS num_exceedances,
+               greatest(-5e-1, least(5e-1, {xi})) AS xi, greatest(1e-3, {beta}) AS beta FROM {name}_moments"""
+
+    cte(f"{name}_params", fit("2 - m0 / (m0 - 2 * m1)", "2 * m0 * m1 / (m0 - 2 * m1)"))
+    cte(f"{name}_params_reference", fit("(3 * m1 - m0) / (m0 - m1)", "m0 * m1 / (m0 - m1)"))
+    cte(f"{name}_series", f"""
+        SELECT * EXCLUDE (v1), v1 * sqrt(horizon) AS var,
+               (v1 + CASE WHEN abs(xi) < 1e-8 THEN beta ELSE (beta + xi * (v1 - threshold)) / (1 - xi) END) * sqrt(horizon) AS cvar
+        FROM (SELECT * EXCLUDE (v), CASE WHEN v > threshold THEN v END AS v1 FROM (
+          SELECT p.*, confidence_level, horizon, greatest(threshold * 1001e-3, CASE WHEN abs(xi) < 1e-8 THEN threshold - beta * ln((1 - confidence_level) / (num_exceedances / n))
+                 ELSE threshold + beta / xi * (pow((1 - confidence_level) / (num_exceedances / n), -xi) - 1) END) AS v FROM {name}_params p CROSS JOIN hist_levels))""")
+
+
+pot_ctes("pot", "log_returns", WINDOW, STEP, MIN_EXC, QS)
+cte("evt_series", "SELECT * FROM pot_series")
 PARAM_DOUBLES = "r threshold_quantile threshold xi beta"
 
 
@@ -128,19 +133,27 @@ def garch_diagnostics(spark, sf):
 @query("garch_forecast_bias", "A12", """
     SELECT asset, avg(sigma - sigma_last) AS mean_error, sqrt(avg(pow(sigma - sigma_last, 2))) AS rmse, count(*) AS n FROM garch_fit GROUP BY asset""", "mean_error rmse", 6)
 def garch_forecast_bias(spark, sf):
-    g = garch(spark, sf)
-    return volatility.forecast_bias(g, g.select("asset", "date", F.col("sigma_last").alias("sigma")))
+    return volatility.forecast_bias(garch(spark, sf))
 
 
 _DOFS = (2.1, 3, 4, 5, 6, 8, 10, 15, 20, 30, 50)
 _DOF_ROWS = ", ".join(f"({d(v)}, {d(math.sqrt((v - 2) / v))}, {d(math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi))})" for v in _DOFS)
-cte("student_fit", f"""
+
+
+def student_fit_sql(rets: str, window: int, step: int) -> str:
+    """The best point of the grid for every ``step``-th window end."""
+    return f"""
     SELECT asset, date, r, dof, mu, scale, ll AS log_likelihood FROM (
       SELECT asset, date, r, dof, mu, sd * shrink AS scale, sum(-(dof + 1) / 2 * ln(1 + pow((x - mu) / (sd * shrink), 2) / dof)) + count(*) * (any_value(norm) - ln(sd * shrink)) AS ll FROM (
         SELECT *, avg(x) OVER w AS mu, stddev_samp(x) OVER w AS sd FROM (
-          SELECT e.asset, e.date, e.r, m.r AS x FROM ranked_returns e JOIN ranked_returns m ON m.asset = e.asset AND m.rn > e.rn - 104 AND m.rn <= e.rn WHERE e.rn >= 104 AND (e.rn - 104) % 13 = 0)
+          SELECT e.asset, e.date, e.r, m.r AS x FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM {rets}) e
+          JOIN (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM {rets}) m ON m.asset = e.asset AND m.rn > e.rn - {window} AND m.rn <= e.rn
+          WHERE e.rn >= {window} AND (e.rn - {window}) % {step} = 0)
         WINDOW w AS (PARTITION BY asset, date)) CROSS JOIN (VALUES {_DOF_ROWS}) AS v(dof, shrink, norm) GROUP BY asset, date, r, dof, mu, sd, shrink)
-    QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY ll DESC, dof) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY ll DESC, dof) = 1"""
+
+
+cte("student_fit", student_fit_sql("log_returns", 104, 13))
 _T_ROWS = ", ".join(f"({d(v)}, {d(c)}, {d(K.t_quantile(c, v))}, {d(K.es_factor_t(c, v))})" for v in map(float, _DOFS) for c in CONFIDENCE)
 
 
@@ -149,10 +162,13 @@ def student_dof(spark, sf):
     return volatility.student_dof(log_returns(spark, sf), 104, 13)
 
 
-@query("student_var_cvar", "R22", f"""
+def student_risk_sql(fits: str) -> str:
+    return f"""
     SELECT *, var * 95e-2 AS var_low, var * 105e-2 AS var_high FROM (
-      SELECT f.*, t.confidence_level, -mu + q * scale AS var, -mu + es * scale AS cvar FROM student_fit f JOIN (VALUES {_T_ROWS}) AS t(dof, confidence_level, q, es) ON t.dof = f.dof)""",
-       "r dof mu scale log_likelihood confidence_level var cvar var_low var_high", 6)
+      SELECT f.*, t.confidence_level, -mu + q * scale AS var, -mu + es * scale AS cvar FROM {fits} f JOIN (VALUES {_T_ROWS}) AS t(dof, confidence_level, q, es) ON t.dof = f.dof)"""
+
+
+@query("student_var_cvar", "R22", student_risk_sql("student_fit"), "r dof mu scale log_likelihood confidence_level var cvar var_low var_high", 6)
 def student_var_cvar(spark, sf):
     return volatility.student_var_cvar(volatility.student_dof(log_returns(spark, sf), 104, 13), CONFIDENCE)
 

@@ -301,3 +301,36 @@ def test_quantiles_and_ranks_keep_nulls(spark):
     assert _rows(ordering.exact_quantiles(df, [], "v", [0.1, 0.9], 1000)) == _rows(ordering.exact_quantiles(df, [], "v", [0.1, 0.9], 0))
     ranks = ordering.percent_rank(df, "v")
     assert ranks.count() == len(rows) and ranks.where("v is null and percent_rank is null").count() == 2 and ranks.where("v = 6").first().percent_rank == 1.0
+
+
+def test_losses_beyond_all_compound_alike_on_both_sides_of_the_switch(spark):
+    """A short position that loses more than everything: products, not sums of logarithms."""
+    import datetime as dt
+
+    from riskloom.operators import portfolio
+
+    day = lambda i: dt.date(2022, 1, 3) + dt.timedelta(days=i)
+    rets = spark.createDataFrame([("A", day(i), v) for i, v in enumerate([0.1, 0.2, -0.1])] + [("B", day(i), v) for i, v in enumerate([0.05, 1.9, 0.3])], "asset string, date date, r double")
+    weights = spark.createDataFrame([(1, "A", 2.0), (1, "B", -1.0), (2, "A", 1.0)], "portfolio_id bigint, asset string, w double")
+    near, far = ({r.portfolio_id: r for r in portfolio.evaluate(weights, rets, max_cells=m).collect()} for m in (1000, 0))
+    growth = 1.0
+    for a, b in zip([0.1, 0.2, -0.1], [0.05, 1.9, 0.3]):
+        growth *= 1 + 2 * a - b
+    for p in (1, 2):
+        for c in ("compounded_return", "annual_growth", "max_drawdown", "mean"):
+            x, y = near[p][c], far[p][c]
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-12), (p, c, x, y)
+    assert growth < 0 and abs(far[1].compounded_return - (growth - 1)) < 1e-12
+
+
+def test_a_missing_component_is_the_worst(spark):
+    from riskloom.operators import compare
+
+    rows = [("full", 0.95, 1, 0.05, 1.0, 0.3, False), ("bare", 0.95, 1, 0.05, 1.0, None, False), ("bad", 0.95, 1, 0.05, 1.0, 0.9, False)]
+    metrics = spark.createDataFrame(rows, "model string, confidence_level double, horizon int, hit_rate double, violation_ratio double, rmse_violations double, kupiec_reject boolean")
+    ranks = {r.model: r["rank"] for r in compare.model_ranking(metrics).collect()}
+    assert ranks["full"] == 1 and ranks["bare"] > 1
+    table = spark.createDataFrame([(1, 2.0, 0.1), (2, None, 0.1), (3, 1.0, None), (4, 1.0, 0.3)], "portfolio_id bigint, gain double, risk double")
+    ranked, _ = compare.rank_portfolios(table, {"gain": (0.5, True), "risk": (0.5, False)})
+    score = {r.portfolio_id: r.score for r in ranked.collect()}
+    assert score == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0}
