@@ -38,8 +38,8 @@ def simple_returns(spark: SparkSession, sf: str, grain: str = "week") -> DataFra
     return rolling.returns(prices(spark, sf, grain), "simple")
 
 
-def varcov_series(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.parametric_var_series(log_returns(spark, sf), WINDOWS, CONFIDENCE, HORIZONS)
+def varcov_series(spark: SparkSession, sf: str, rets: DataFrame | None = None) -> DataFrame:
+    return risk.parametric_var_series(log_returns(spark, sf) if rets is None else rets, WINDOWS, CONFIDENCE, HORIZONS)
 
 
 def varcov_flagged(spark: SparkSession, sf: str) -> DataFrame:

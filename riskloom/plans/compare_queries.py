@@ -34,8 +34,9 @@ cte("model_metrics", f"""
 
 
 def model_series(spark, sf):
+    rets = materialise(base.log_returns(spark, sf), "returns")  # one scan of the trades for all models
     series = compare.union_models({
-        "varcov": base.varcov_series(spark, sf), "historical": historical_series(spark, sf), "ewma": ewma_series(spark, sf), "evt": evt_series(spark, sf)})
+        "varcov": base.varcov_series(spark, sf, rets), "historical": historical_series(spark, sf, rets), "ewma": ewma_series(spark, sf, rets), "evt": evt_series(spark, sf, rets)})
     series = series.withColumn("threshold_quantile", F.coalesce("threshold_quantile", F.lit(0.0)))
     return series.select(*[c.strip() for c in SERIES.split(",")])
 

@@ -75,8 +75,8 @@ cte("ewma_series", f"""
     FROM ewma_forecast CROSS JOIN {normal_values()}""")
 
 
-def ewma_series(spark, sf):
-    return risk.ewma_var_cvar(log_returns(spark, sf), 52, CONFIDENCE, HORIZONS)
+def ewma_series(spark, sf, rets=None):
+    return risk.ewma_var_cvar(log_returns(spark, sf) if rets is None else rets, 52, CONFIDENCE, HORIZONS)
 
 
 @query("ewma_var_cvar", "R10", "SELECT * FROM ewma_series", "r sigma confidence_level var cvar")
@@ -94,8 +94,8 @@ cte("hist_series", """
     GROUP BY q.asset, q.date, q.r, q.confidence_level, h.horizon""")
 
 
-def historical_series(spark, sf):
-    return risk.historical_var_series(log_returns(spark, sf), 52, CONFIDENCE, HORIZONS)
+def historical_series(spark, sf, rets=None):
+    return risk.historical_var_series(log_returns(spark, sf) if rets is None else rets, 52, CONFIDENCE, HORIZONS)
 
 
 @query("historical_var_series", "R3 R7", "SELECT * FROM hist_series", "r confidence_level var cvar")

@@ -74,8 +74,8 @@ def pot_latest_parameters(spark, sf):
     return pot_parameters(spark, sf, latest_only=True)
 
 
-def evt_series(spark, sf):
-    return evt.evt_series(log_returns(spark, sf), WINDOW, QS, MIN_EXC, CONFIDENCE, HORIZONS, STEP)
+def evt_series(spark, sf, rets=None):
+    return evt.evt_series(log_returns(spark, sf) if rets is None else rets, WINDOW, QS, MIN_EXC, CONFIDENCE, HORIZONS, STEP)
 
 
 @query("evt_var_cvar", "R18 R19 R20", "SELECT * FROM evt_series", PARAM_DOUBLES + " confidence_level var cvar", 6)
