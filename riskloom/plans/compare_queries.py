@@ -149,7 +149,7 @@ _COMP = ["hit_rate_gap", "violation_ratio_gap", "rmse", "kupiec_rejection"]
 @query("model_ranking", "K5", f"""
     WITH g AS (SELECT model, confidence_level, horizon, avg(abs(hit_rate - (1 - confidence_level))) AS component_hit_rate_gap, avg(abs(violation_ratio - 1)) AS component_violation_ratio_gap,
         avg(rmse_violations) AS component_rmse, avg(CASE WHEN kupiec_reject THEN 1e0 ELSE 0e0 END) AS component_kupiec_rejection FROM model_metrics GROUP BY 1, 2, 3),
-    s AS (SELECT *, 4e-1 * coalesce(component_hit_rate_gap, 0) + 25e-2 * coalesce(component_violation_ratio_gap, 0) + 25e-2 * coalesce(component_rmse, 0) + 1e-1 * coalesce(component_kupiec_rejection, 0) AS composite_score FROM g),
+    s AS (SELECT *, {' + '.join(f"{w} * coalesce(component_{c}, max(component_{c}) OVER (), 0)" for c, w in zip(('hit_rate_gap', 'violation_ratio_gap', 'rmse', 'kupiec_rejection'), ('4e-1', '25e-2', '25e-2', '1e-1')))} AS composite_score FROM g),
     n AS (SELECT model, confidence_level, horizon, {', '.join(f'(component_{c} - min(component_{c}) OVER ()) / (max(component_{c}) OVER () - min(component_{c}) OVER ()) AS component_{c}' for c in _COMP)},
         (composite_score - min(composite_score) OVER ()) / (max(composite_score) OVER () - min(composite_score) OVER ()) AS composite_score FROM s)
     SELECT *, CAST(row_number() OVER (ORDER BY composite_score, model, confidence_level, horizon) AS INTEGER) AS rank FROM n""",
