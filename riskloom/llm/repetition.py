@@ -28,7 +28,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-# Odd multipliers of the two rolling hashes, modulo 2 ** 64.
+# Odd multipliers of the hashes, modulo 2 ** 64.
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
 
@@ -53,6 +53,22 @@ def span_hash(prefix: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.n
     return mixed((prefix[end] - prefix[start]) * down[start])
 
 
+def place_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes [start, end) of ascending spans that do not overlap.
+
+    A sum of one scrambled value per (byte, place in the span).  A polynomial
+    modulo 2 ** 64 would not do: whatever its odd base, a Thue-Morse string of two
+    letters and its complement, 1 024 letters long, come out alike.
+    """
+    size = end - start
+    prefix = np.zeros(int(size.sum()) + 1, np.uint64)
+    before = np.cumsum(size) - size
+    place = np.arange(len(prefix) - 1) - np.repeat(before, size)
+    value = data[place + np.repeat(start, size)].astype(np.uint64)
+    np.cumsum(mixed((place.astype(np.uint64) << np.uint64(8) | value) + np.uint64(_BYTE_BASE)), out=prefix[1:])
+    return mixed(prefix[before + size] - prefix[before] + size.astype(np.uint64) * np.uint64(_WORD_BASE))
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """True where a key occurs twice or more."""
     ordered = np.sort(keys)
@@ -89,12 +105,9 @@ def measure(data: np.ndarray, offset: np.ndarray) -> dict[str, np.ndarray]:
     def total(which: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(which, weight, n).astype(np.int64)
 
-    up, down = powers(_BYTE_BASE, size)
-    prefix = np.zeros(size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=prefix[1:])
     out = {"n_words": total(doc), "word_chars": total(doc, chars), "n_symbols": total(doc_of_byte[_SYMBOL[data]])}
 
-    word = span_hash(prefix, down, start, end)
+    word = place_hash(data, start, end)
     word_up, word_down = powers(_WORD_BASE, len(word))
     word_prefix = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * word_up[:len(word)], out=word_prefix[1:])
@@ -124,7 +137,7 @@ def measure(data: np.ndarray, offset: np.ndarray) -> dict[str, np.ndarray]:
     inside = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[inside], line_end[inside]
     line_doc = doc_of_byte[line_start]
-    key = span_hash(prefix, down, line_start, line_end) ^ own[line_doc]
+    key = place_hash(data, line_start, line_end) ^ own[line_doc]
     kept = np.zeros(len(key), bool)
     kept[np.unique(key, return_index=True)[1]] = True
     out["n_dup_lines"] = total(line_doc[~kept])

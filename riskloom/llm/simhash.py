@@ -319,17 +319,34 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, codes: list[tuple[int,
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each component, columns unchanged.
+    """One document of each component of ``docs``, columns unchanged; the rows themselves are judged, not their ids.
 
-    Rows without doc_id stay, since nothing names them; of rows that repeat a
-    doc_id one stays.
+    A component keeps a row of its smallest doc_id and, among rows that share
+    that id, of the smallest fingerprint and text; of equal rows one stays,
+    which of them is all the same.  So a text without a copy stays whatever its
+    id, NULL or repeated.  NULL and empty texts are copies of each other; a
+    component without any id keeps one row too.
     """
-    found = materialise(near_duplicates(docs, threshold), "near")
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS  # ids alone; else the texts are shuffled to them
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # written, so a row keeps its number
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers, ids, texts in batches(it, "row", "doc_id", "text"):
+            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            order = np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array(fp), pa.array(order)], ["row", "doc_id", "fp", "text_hash"])
+
+    rows = numbered.select(F.col("__row").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marked = materialise(rows.mapInArrow(run, "row bigint, doc_id bigint, fp bigint, text_hash bigint"), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "text_hash", "row"))
+    nodes = materialise(marked.groupBy("fp").agg(first.alias("first")), "nodes")  # combined before the shuffle
+    roots = materialise(components(links(nodes, threshold)).select(F.col("node").alias("fp"), "root"), "roots")
+    alone = nodes.join(roots, "fp", "left_anti").select(F.col("first.row").alias("__row"))
+    joined = nodes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stay = alone.unionByName(joined.select(F.col("first.row").alias("__row")))
+    gone = marked.select(F.col("row").alias("__row")).join(stay, "__row", "left_anti")
+    gone = materialise(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS  # numbers alone; else the texts are shuffled to them
+    left = numbered.join(F.broadcast(gone) if few else gone, "__row", "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,18 +14,16 @@ from pyspark.sql import types as T
 
 from riskloom.llm.decontaminate import NORMAL
 from riskloom.llm.labels import labelled_sample, remainder
-from riskloom.llm.text import BLOCK_BYTES, bounded_batches, word_blocks
+from riskloom.llm.text import bounded_batches, word_blocks
 from riskloom.session import materialise
 
 #: Labelled documents learnt from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: Lexicon terms, at most (the most significant ones).
-MAX_TERMS = 5000
 #: A term must be this unlikely (natural log) to stand so often in toxic documents by chance.
 EVIDENCE = 14.0
 FOLDS = 5
 
-#: Words each side of a term that are looked at for signs of quotation.
+#: Words each side of a term in which a cue verb and a straight mark make it quoted.
 CONTEXT = 8
 #: Marks and verbs that introduce somebody else's words.
 OPENERS = ["“", "„", "«"]
@@ -123,21 +121,65 @@ class Misspellings:
 
 @dataclass
 class Model:
-    """What scoring needs; its size is bounded by MAX_TERMS and the sample."""
+    """What scoring needs; all of it comes from the bounded sample of labelled rows, which bounds its size."""
 
     terms: list[str] = field(default_factory=list)
     benign: list[str] = field(default_factory=list)
     coefficients: tuple[float, ...] = PRIOR
 
 
-def inside_quotation(before: str, after: str) -> bool:
-    """Whether marks around a word say that it is quoted: an open mark before it and one that closes after, or a ``>`` line."""
-    if before.rpartition("\n")[2].lstrip().startswith(">"):
-        return True
-    if before.count('"') % 2 and '"' in after:
-        return True
-    opened = max(before.rfind(c) for c in OPENERS)
-    return opened >= 0 and opened >= max(before.rfind(c) for c in CLOSERS if c not in OPENERS) and any(c in after for c in CLOSERS)
+_MARK = re.compile("|".join(map(re.escape, ["\n", '"', *dict.fromkeys(OPENERS + CLOSERS)])).encode())
+
+
+def quotations(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Byte ranges inside quotation marks, ascending, from one pass over the whole text.
+
+    Typographic marks may span lines; straight ones pair up within a
+    line, opened after a space or bracket and closed after anything else.  A
+    line that begins with ``>`` is quoted whole.  Marks that stay open quote nothing.
+    """
+    openers, closers = {c.encode() for c in OPENERS}, {c.encode() for c in CLOSERS}
+    found: list[tuple[int, int]] = []
+    opened = straight = -1
+    line = 0
+    for m in _MARK.finditer(raw):
+        mark, at = m[0], m.start()
+        if mark == b"\n":
+            if raw[line:at].lstrip(b" \t").startswith(b">"):
+                found.append((line, at))
+            line, straight = at + 1, -1
+        elif mark == b'"':
+            after_word = at > line and raw[at - 1:at] not in b" \t([{"
+            if straight < 0 and not after_word:
+                straight = at
+            elif straight >= 0 and after_word:
+                found.append((straight, at))
+                straight = -1
+        elif opened >= 0 and mark in closers:
+            found.append((opened, at))
+            opened = -1
+        elif mark in openers:
+            opened = at
+    if raw[line:].lstrip(b" \t").startswith(b">"):
+        found.append((line, len(raw)))
+    return iter(sorted(found))
+
+
+def words_near(flat: bytes, start: int, end: int, most: int) -> tuple[int, int]:
+    """Where the ``most`` words before a word begin and those after it end, wherever they stand."""
+    low, reach = start, 256
+    while low and len(flat[low:start].split()) <= most:
+        low = max(0, start - reach)
+        reach *= 2
+    parts = list(re.finditer(rb"[^ ]+", flat[low:start]))
+    low = low + parts[-most].start() if len(parts) >= most else 0
+    high, reach = end, 256
+    while high < len(flat) and len(flat[end:high].split()) <= most:
+        high = min(len(flat), end + reach)
+        reach *= 2
+    parts = list(re.finditer(rb"[^ ]+", flat[end:high]))
+    high = end + parts[most - 1].end() if len(parts) >= most else len(flat)
+    return low, high
 
 
 class Scorer:
@@ -176,27 +218,28 @@ class Scorer:
                 hits = any(self.lookup(w) for w in set(words))
         if not hits:
             return n, 0.0, 0.0, 0.0
-        flat, at, total = raw.translate(NORMAL), 0, np.zeros(3)
-        while at < len(raw):  # blocks between words keep the positions of a huge text few; context ends with its block
-            end = flat.find(b" ", at + BLOCK_BYTES)
-            end = len(raw) if end < 0 else end
-            total += self.in_context(raw[at:end])
-            at = end
-        return n, *total.tolist()
+        return n, *self.in_context(raw)
 
     def in_context(self, raw: bytes) -> tuple[float, float, float]:
+        """(plain, misspelt, quoted) hits; quotations count over the whole text, cue verbs within CONTEXT words."""
         plain = misspelt = quoted = 0.0
-        spots = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", raw.translate(NORMAL))]
         flat = raw.translate(NORMAL)
-        for i, (s, e) in enumerate(spots):
-            found = self.lookup(flat[s:e])
+        spans = quotations(raw)
+        inside: list[int] = []  # ends of the quotations begun so far that may still hold the word
+        span = next(spans, None)
+        for m in re.finditer(rb"[^ ]+", flat):
+            found = self.lookup(m[0])
             if not found:
                 continue
-            lo, hi = max(0, i - CONTEXT), min(len(spots) - 1, i + CONTEXT)
-            before = raw[spots[lo - 1][1] if lo else 0:s].decode("utf-8", "ignore")
-            after = raw[e:spots[hi + 1][0] if hi + 1 < len(spots) else len(raw)].decode("utf-8", "ignore")
-            said = any(flat[spots[j][0]:spots[j][1]].decode("utf-8", "replace") in self.cues for j in range(lo, i))
-            if inside_quotation(before, after) or (said and '"' in before + after):
+            s, e = m.span()
+            while span and span[0] <= s:
+                inside.append(span[1])
+                span = next(spans, None)
+            inside = [x for x in inside if x >= e]
+            if not inside:
+                low, high = words_near(flat, s, e, CONTEXT)
+                said = any(w.decode("utf-8", "replace") in self.cues for w in flat[low:s].split())
+            if inside or (said and b'"' in raw[low:high]):
                 quoted += 1
             elif found[0]:
                 misspelt += 1
@@ -268,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     n = k + c
     surprise = k * F.log(k / (n * base)) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0)
     strong = words.where((k >= 4) & (k / n > base) & (k >= 9 * c)).withColumn("evidence", surprise).where(F.col("evidence") >= EVIDENCE)
-    terms = sorted(r["word"] for r in strong.orderBy(F.desc("evidence"), "word").limit(MAX_TERMS).select("word").collect())
+    terms = sorted(r["word"] for r in strong.select("word").collect())
 
     def near(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = Misspellings(terms)

@@ -38,4 +38,4 @@ def test_run_and_registration(spark):
     assert entry.queries()["pipeline"] is C.run and C.ORACLE_SQL is None
     assert C.run(spark, SF).count() > 0
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -58,3 +58,13 @@ def test_no_hash_is_shared_by_different_words():
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])])
     start = np.arange(0, len(data), 2)
     assert len(set(R.span_hash(prefix, down, start, start + 2).tolist())) == len(words)
+
+
+def test_lines_and_words_of_a_thue_morse_string_differ(spark):
+    """Polynomial hashes modulo 2 ** 64 take such a string and its complement for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rows = [(1, a + "\n" + b), (2, a + "\n" + a), (3, " ".join([a, b] * 5)), (4, " ".join(["x", a] * 8))]
+    got = {r.doc_id: r for r in R.repetition(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2)] == [0, 1]
+    assert [got[i].n_repeat_words for i in (1, 2, 3, 4)] == [0, 0, 10, 16]

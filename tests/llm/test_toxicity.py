@@ -38,12 +38,23 @@ def test_quotation_is_not_abuse():
     assert s.features("nothing at all")[1:] == (0, 0, 0)
 
 
-def test_every_block_of_a_long_text_counts(monkeypatch):
+def test_a_long_text_counts_alike_wherever_its_terms_stand():
     s = X.Scorer(X.Model(["pathetic", "moron"], []))
-    text = "some é words and a moron " * 400
-    whole = s.features(text)
-    monkeypatch.setattr(X, "BLOCK_BYTES", 30)
-    assert s.features(text) == whole == (2400, 400, 0, 0)
+    assert s.features("some é words and a moron " * 400) == (2400, 400, 0, 0)
+    for pad in (0, 1, 150_000, 200_000, 262_142, 262_143, 262_144, 500_000):  # about and beyond 1 MB
+        assert s.features("foo " * pad + 'He said "you moron are here" and went. ' + "bar " * 9)[1:] == (0, 0, 1), pad
+        assert s.features("foo " * pad + "you moron are here. " + "bar " * 9)[1:] == (1, 0, 0), pad
+
+
+def test_long_quotations_on_both_sides():
+    s = X.Scorer(X.Model(["moron"], []))
+    far = "word " * 30
+    for a, b in ['""', "“”", "„“", "«»"]:
+        assert s.features(f"He wrote {a}{far}moron {far}end{b} today")[1:] == (0, 0, 1), a
+        assert s.features(f"He wrote {a}{far}end{b} today. You moron. {far} {a}short text{b}")[1:] == (1, 0, 0), a
+        assert s.features(f"An open {a} mark and a moron {far}")[1:] == (1, 0, 0), a
+    assert s.features(f'a 5" pipe and a moron with a 3" pipe, {far}')[1:] == (1, 0, 0)
+    assert s.features(f'"{far}\nmoron {far}"')[1:] == (1, 0, 0)
 
 
 @pytest.fixture(scope="module")
