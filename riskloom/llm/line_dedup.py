@@ -16,10 +16,27 @@ EDITS = 2
 CHARS_PER_EDIT = 10
 #: Letters counted in the signature of a line, 3 bits each.
 LETTERS = "etnaiorshdluc"
+#: The other bits of a signature: the parity of the words by hash.
+WORD_BITS = 64 - 3 * len(LETTERS)
 #: So many candidate lines are sent to all tasks; more are fetched by a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written compressed to the shared folder, and where."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(df: DataFrame, *paths: str) -> None:
+    """Delete tables that a later, written one replaces."""
+    spark = df.sparkSession
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, id): the lines that have a word; ``id`` is a digest of the whole line."""
     each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -27,8 +44,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def tag(line: Column) -> Column:
-    """A hash of the line whose low bits count LETTERS, each modulo 8.
+    """What the line is made of in 64 bits: the low bits count LETTERS, each modulo 8, the high ones are the parity of its words.
 
+    Every piece between spaces flips one of the WORD_BITS high bits.
     Letters are taken out one after the other, so every count reads a shorter
     rest; the state keeps the length before, and counts trail by a step.  Tags
     only choose candidates: lines sharing one are told apart by their id.
@@ -41,17 +59,23 @@ def tag(line: Column) -> Column:
         return F.struct(F.replace(s["t"], letter, F.lit("")).alias("t"), size(s["t"]).alias("l"), packed(s).alias("v"))
 
     counts = F.aggregate(F.array(*[F.lit(c) for c in LETTERS]), start, step, packed)
-    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 3 * len(LETTERS))).bitwiseOR(counts)
+    one = F.lit(1).cast("bigint")
+    flip = lambda acc, word: acc.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(word), F.lit(WORD_BITS)).cast("int")))
+    words = F.aggregate(F.split(line, " "), F.lit(0).cast("bigint"), flip)
+    return F.shiftleft(words, 3 * len(LETTERS)).bitwiseOR(counts)
 
 
 def letters_agree(a: Column, b: Column, edits: int) -> Column:
-    """An edit moves two letter counts by one at most, so the counts of a pair in reach differ by 2 * edits in all."""
+    """An edit moves two letter counts by one at most, so the counts of a pair in reach differ by 2 * edits in all.
+
+    And it turns one word into one or two, or two into one: three words in all.
+    """
     total = None
     for i in range(len(LETTERS)):
         d = F.abs(F.shiftright(a, 3 * i).bitwiseAND(F.lit(7).cast("bigint")) - F.shiftright(b, 3 * i).bitwiseAND(F.lit(7).cast("bigint")))
         d = F.least(d, 8 - d)
         total = d if total is None else total + d
-    return total <= 2 * edits
+    return (total <= 2 * edits) & (F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 3 * len(LETTERS))) <= 3 * edits)
 
 
 def _length(n: Column, i: int, edits: int) -> Column:
@@ -166,23 +190,27 @@ def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     least one segment is untouched, so no pair is missed.  Lines with the same
     tag are compared whether or not they share a segment.
     """
-    pairs = materialise(candidates(distinct, edits), "candidates")
-    tags = materialise(pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct(), "tags")
+    pairs, at = stored(candidates(distinct, edits), "candidates")
+    tags, at_tags = stored(pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct(), "tags")
     few = tags.count() <= BROADCAST_LINES
     texts = distinct.join(F.broadcast(tags) if few else tags, "tag", "left_semi").select("tag", "id", "line", "n")
-    texts = materialise(texts, "candidate-lines")
+    texts, at_texts = stored(texts, "candidate-lines")
     both = pairs.join(texts.toDF("a", "id_a", "line_a", "n_a"), "a").join(texts.toDF("b", "id_b", "line_b", "n_b"), "b").where("id_a <> id_b AND (a <> b OR id_a < id_b)")
     # What is equal at both ends leaves the distance as it is.
     cut = both.select("id_a", "id_b", F.least("n_a", "n_b").alias("n"), "line_a", "line_b", common_prefix(F.col("line_a"), F.col("line_b")).alias("p"))
     rest = lambda c: F.substring(c, F.col("p") + 1, F.char_length(c))
-    cut = materialise(cut.select("id_a", "id_b", "n", rest("line_a").alias("a"), rest("line_b").alias("b")), "heads")
+    cut, at_heads = stored(cut.select("id_a", "id_b", "n", rest("line_a").alias("a"), rest("line_b").alias("b")), "heads")
+    discard(cut, at, at_tags, at_texts)
     cut = cut.select("id_a", "id_b", "n", "a", "b", common_prefix(F.reverse("a"), F.reverse("b")).alias("q"))
     rest = lambda c: F.substring(c, F.lit(1), F.char_length(c) - F.col("q"))
-    cut = materialise(cut.select("id_a", "id_b", "n", rest("a").alias("a"), rest("b").alias("b")), "middles")
+    cut, at_middles = stored(cut.select("id_a", "id_b", "n", rest("a").alias("a"), rest("b").alias("b")), "middles")
+    discard(cut, at_heads)
     # Written as arrays and with their distance, so that neither is worked out again for each use.
     near = cut.where(can_be_near(F.col("a"), F.col("b"), edits))
-    near = materialise(near.select("id_a", "id_b", "n", F.split("a", "").alias("a"), F.split("b", "").alias("b")), "near")
-    found = materialise(near.select("id_a", "id_b", "n", edit_distance(F.col("a"), F.col("b"), edits).alias("distance")), "distances")
+    near, at_near = stored(near.select("id_a", "id_b", "n", F.split("a", "").alias("a"), F.split("b", "").alias("b")), "near")
+    discard(near, at_middles)
+    found, _ = stored(near.select("id_a", "id_b", "n", edit_distance(F.col("a"), F.col("b"), edits).alias("distance")), "distances")
+    discard(found, at_near)
     found = found.where((F.col("distance") > 0) & (F.col("distance") <= F.floor(F.col("n") / CHARS_PER_EDIT)))
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "distance").distinct()
 
@@ -191,9 +219,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     """(id, line, n, tag, copies, first): one row per different line; ``first`` is its first (doc_id, line_no)."""
     each = lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line"))
     rows = each.select("id", "line", F.char_length("line").alias("n"), tag(F.col("line")).alias("tag"), "copies", "first")
-    path = new_path(docs.sparkSession, "lines")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return stored(rows, "lines")[0]
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:

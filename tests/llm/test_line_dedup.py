@@ -84,7 +84,7 @@ def test_classes_equal_brute_force(spark, monkeypatch, most):
 
 def test_near_lines_with_the_same_tag_are_linked(spark):
     """Different lines whose tags are equal by hash: two edits apart, and one pair out of reach."""
-    lines = ["Part number 2-R is kept in the north hall.", "Part number y-V is kept in the north hall."]
+    lines = ["Part number 2-R is kept in the north hall.", "Part number 5-G is kept in the north hall."]
     rows = [(1, lines[0]), (2, lines[1]), (3, lines[0] + "\n" + "Part number 2-R is kept in the north ward.")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     tags = {r.line: r.tag for r in L.distinct_lines(docs).collect()}
