@@ -16,6 +16,8 @@ EDITS = 2
 CHARS_PER_EDIT = 10
 #: Letters counted in the signature of a line, 3 bits each.
 LETTERS = "etnaiorshdluc"
+#: Bits of a count in the signature.
+COUNTER = 3
 #: So many candidate lines are sent to all tasks; more are fetched by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -42,7 +44,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def tag(line: Column) -> Column:
-    """A hash of the line whose low bits count LETTERS, each modulo 8.
+    """A hash of the line whose low bits count LETTERS, each modulo 8, and above them its characters modulo 8.
 
     Letters are taken out one after the other, so every count reads a shorter
     rest; the state keeps the length before, and counts trail by a step.  Tags
@@ -50,23 +52,36 @@ def tag(line: Column) -> Column:
     """
     size = lambda t: F.octet_length(t).cast("bigint")
     packed = lambda s: F.shiftleft(s["v"], 3).bitwiseOR((s["l"] - size(s["t"])).bitwiseAND(F.lit(7).cast("bigint")))
-    start = F.struct(line.alias("t"), size(line).alias("l"), F.lit(0).cast("bigint").alias("v"))
+    # The first count packed is what the start adds to the size: the characters.
+    start = F.struct(line.alias("t"), (size(line) + F.char_length(line)).alias("l"), F.lit(0).cast("bigint").alias("v"))
 
     def step(s: Column, letter: Column) -> Column:
         return F.struct(F.replace(s["t"], letter, F.lit("")).alias("t"), size(s["t"]).alias("l"), packed(s).alias("v"))
 
     counts = F.aggregate(F.array(*[F.lit(c) for c in LETTERS]), start, step, packed)
-    return F.xxhash64(line).bitwiseAND(F.lit(-1 << 3 * len(LETTERS))).bitwiseOR(counts)
+    return F.xxhash64(line).bitwiseAND(F.lit(-1 << COUNTER * (len(LETTERS) + 1))).bitwiseOR(counts)
 
 
 def letters_agree(a: Column, b: Column, edits: int) -> Column:
-    """An edit moves two letter counts by one at most, so the counts of a pair in reach differ by 2 * edits in all."""
-    total = None
-    for i in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 3 * i).bitwiseAND(F.lit(7).cast("bigint")) - F.shiftright(b, 3 * i).bitwiseAND(F.lit(7).cast("bigint")))
-        d = F.least(d, 8 - d)
-        total = d if total is None else total + d
-    return total <= 2 * edits
+    """Whether the counts in two tags leave ``edits`` (3 at most) possible; never false for a pair in reach.
+
+    An edit adds one letter at most and takes one away at most, so neither the
+    gains nor the losses, summed over the letters, exceed the edits.  If one
+    line is longer by some characters, as many edits are pure insertions there
+    and take nothing away.
+    """
+    if 2 * edits >= 1 << COUNTER:
+        raise ValueError("the counters of a tag do not tell gains from losses at so many edits")
+
+    def change(i: int) -> Column:
+        at = lambda c: F.shiftright(c, COUNTER * i).bitwiseAND(F.lit(7).cast("bigint"))
+        return (at(a) - at(b) + 4).bitwiseAND(F.lit(7).cast("bigint")) - 4
+
+    changes = [change(i) for i in range(len(LETTERS))]
+    gains = reduce(lambda x, y: x + y, [F.greatest(d, F.lit(0)) for d in changes])
+    losses = reduce(lambda x, y: x + y, [F.greatest(-d, F.lit(0)) for d in changes])
+    longer = change(len(LETTERS))
+    return (gains <= edits - F.greatest(-longer, F.lit(0))) & (losses <= edits - F.greatest(longer, F.lit(0)))
 
 
 def _length(n: Column, i: int, edits: int) -> Column:

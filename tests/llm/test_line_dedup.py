@@ -95,6 +95,29 @@ def test_near_lines_with_the_same_tag_are_linked(spark):
     assert [(names[r.a], names[r.b], r.distance) for r in L.line_links(distinct).collect()] in ([(*lines, 2)], [(*lines[::-1], 2)])
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_signatures_never_exclude_a_pair_in_reach(spark, edits):
+    rng = random.Random(8)
+    rows = []
+    while len(rows) < 3000:
+        a = "".join(rng.choice(L.LETTERS + "éñ 7") for _ in range(rng.choice([10, 15, 16, 17, 40])))
+        s = list(a)
+        for _ in range(edits):
+            i = rng.randrange(len(s))
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", "", *L.LETTERS])
+        rows.append((a, "".join(s)))
+    rows += [(a[::-1], b) for a, b in rows]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", L.letters_agree(L.tag(F.col("a")), L.tag(F.col("b")), edits).alias("ok")).collect()
+    assert all(r.ok for r in got if distance(r.a, r.b) <= edits)
+    assert not signatures_agree(spark, "etna" * 5, "shdl" * 5, edits) and not signatures_agree(spark, "etna" * 5, "etna" * 5 + "7" * (edits + 1), edits)
+
+
+def signatures_agree(spark, a, b, edits):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    return df.select(L.letters_agree(L.tag(F.col("a")), L.tag(F.col("b")), edits).alias("ok")).first().ok
+
+
 def test_native_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = L.line_classes(docs)._jdf.queryExecution().executedPlan().toString()
