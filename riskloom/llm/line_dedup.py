@@ -84,7 +84,7 @@ def letters_agree(a: Column, b: Column, edits: int) -> Column:
     return (gains <= edits - F.greatest(-longer, F.lit(0))) & (losses <= edits - F.greatest(longer, F.lit(0)))
 
 
-def _length(n: Column, i: int, edits: int) -> Column:
+def _length(n: Column, i: int | Column, edits: int) -> Column:
     """Length of segment i of a line of n characters: the last ones are the longer."""
     return F.floor((n + i) / (edits + 1)).cast("int")
 
@@ -93,28 +93,41 @@ def _start(n: Column, i: int, edits: int) -> Column:
     return reduce(lambda a, j: a + _length(n, j, edits), range(i), F.lit(1))
 
 
+def _key(at: Column, size: Column, i: Column, length: Column) -> Column:
+    """Hash of ``size`` characters of the line from ``at``, as segment i of a line of ``length`` characters.
+
+    Where every character is one byte, bytes are cut at once instead of counting characters from the start of the line.
+    """
+    cut = lambda text: F.xxhash64(F.substring(text, at, size), i, length)
+    line = F.col("line")
+    return F.when(F.octet_length(line) == F.col("n"), cut(line.cast("binary"))).otherwise(cut(line))
+
+
 def segments(edits: int) -> Column:
     """Keys of a line's own ``edits`` + 1 segments."""
     n = F.col("n")
-    return F.array(*[F.xxhash64(F.substring("line", _start(n, i, edits), _length(n, i, edits)), F.lit(i), n) for i in range(edits + 1)])
+    return F.array(*[_key(_start(n, i, edits), _length(n, i, edits), F.lit(i), n) for i in range(edits + 1)])
 
 
-def probes(edits: int) -> Column:
-    """Keys under which a line looks for lines shorter by up to ``edits``.
+def probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(b, key): keys under which a line (tag, line, n) looks for lines shorter by up to ``edits``.
 
     For every length and segment only those substrings are tried whose shift
-    leaves few enough edits to both sides of the segment.
+    leaves few enough edits to both sides of the segment.  The tries are rows
+    of a fixed list, so one short expression makes all keys.
     """
-    n, keys = F.col("n"), []
+    tries = []
     for shorter in range(edits + 1):
-        m = n - shorter
         for i in range(edits + 1):
             right = edits - i
-            for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                at, size = _start(m, i, edits) + shift, _length(m, i, edits)
-                fits = (m >= CHARS_PER_EDIT) & (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(fits, F.xxhash64(F.substring("line", at, size), F.lit(i), m)))
-    return F.array_compact(F.array(*keys))
+            tries += [(shorter, i, shift) for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1)]
+    listed = F.array(*[F.struct(F.lit(m).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift")) for m, i, d in tries])
+    rows = lines.select("tag", "line", "n", F.explode(listed).alias("t")).select("tag", "line", "n", F.col("t.i").alias("i"), F.col("t.shift").alias("shift"), (F.col("n") - F.col("t.shorter")).alias("m"))
+    before = [F.when(F.col("i") > j, _length(F.col("m"), j, edits)).otherwise(F.lit(0)) for j in range(edits)]
+    at = reduce(lambda x, y: x + y, before, F.lit(1)) + F.col("shift")
+    size = _length(F.col("m"), F.col("i"), edits)
+    fits = (F.col("m") >= CHARS_PER_EDIT) & (at >= 1) & (at + size - 1 <= F.col("n"))
+    return rows.where(fits).select(F.col("tag").alias("b"), _key(at, size, F.col("i"), F.col("m")).alias("key"))
 
 
 def edit_distance(left: Column, right: Column, edits: int) -> Column:
@@ -181,7 +194,7 @@ def candidates(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): tags of lines that share a segment and whose letters agree, and (tag, tag) where several lines have one tag."""
     long = distinct.where(F.col("n") >= CHARS_PER_EDIT)
     index = long.select(F.col("tag").alias("a"), F.explode(segments(edits)).alias("key"))
-    probe = long.select(F.col("tag").alias("b"), F.explode(probes(edits)).alias("key"))
+    probe = probes(long, edits)
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & letters_agree(F.col("a"), F.col("b"), edits))
     shared = long.groupBy("tag").count().where("count > 1").select(F.col("tag").alias("a"), F.col("tag").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(shared)
