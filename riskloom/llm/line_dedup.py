@@ -40,7 +40,12 @@ def discard(df: DataFrame, *paths: str) -> None:
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, id): the lines that have a word; ``id`` is a digest of the whole line."""
     each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return each.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("id", F.unhex(F.md5(F.col("line").cast("binary"))))
+    return each.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("id", line_id(F.col("line")))
+
+
+def line_id(line: Column) -> Column:
+    """A digest of the whole line."""
+    return F.unhex(F.md5(line.cast("binary")))
 
 
 def tag(line: Column) -> Column:
@@ -113,14 +118,16 @@ def probes(lines: DataFrame, edits: int) -> DataFrame:
     """(b, key): keys under which a line (tag, line, n) looks for lines shorter by up to ``edits``.
 
     For every length and segment only those substrings are tried whose shift
-    leaves few enough edits to both sides of the segment.  The tries are rows
-    of a fixed list, so one short expression makes all keys.
+    leaves few enough edits to both sides of the segment.  Lines of one length
+    that share a segment in place meet by their own segments and need no try.
+    The tries are rows of a fixed list, so one short expression makes all keys.
     """
     tries = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             right = edits - i
-            tries += [(shorter, i, shift) for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1)]
+            shifts = range(max(-i, shorter - right), min(i, shorter + right) + 1)
+            tries += [(shorter, i, shift) for shift in shifts if shorter or shift]
     listed = F.array(*[F.struct(F.lit(m).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift")) for m, i, d in tries])
     rows = lines.select("tag", "line", "n", F.explode(listed).alias("t")).select("tag", "line", "n", F.col("t.i").alias("i"), F.col("t.shift").alias("shift"), (F.col("n") - F.col("t.shorter")).alias("m"))
     before = [F.when(F.col("i") > j, _length(F.col("m"), j, edits)).otherwise(F.lit(0)) for j in range(edits)]
@@ -195,7 +202,12 @@ def candidates(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
     long = distinct.where(F.col("n") >= CHARS_PER_EDIT)
     index = long.select(F.col("tag").alias("a"), F.explode(segments(edits)).alias("key"))
     probe = probes(long, edits)
-    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & letters_agree(F.col("a"), F.col("b"), edits))
+    # The same plan on both sides, so that its exchange is made once.
+    left, right = index.alias("l"), index.alias("r")
+    placed = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & letters_agree(F.col("l.a"), F.col("r.a"), edits))
+    placed = placed.select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
+    moved = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & letters_agree(F.col("a"), F.col("b"), edits))
+    met = placed.unionByName(moved.select("a", "b"))
     shared = long.groupBy("tag").count().where("count > 1").select(F.col("tag").alias("a"), F.col("tag").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(shared)
 
@@ -236,8 +248,9 @@ def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(id, line, n, tag, copies, first): one row per different line; ``first`` is its first (doc_id, line_no)."""
-    each = lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line"))
-    rows = each.select("id", "line", F.char_length("line").alias("n"), tag(F.col("line")).alias("tag"), "copies", "first")
+    # Grouped by the line itself: digests of what is distinct are made afterwards and need no exchange.
+    each = lines(docs).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
+    rows = each.select(line_id(F.col("line")).alias("id"), "line", F.char_length("line").alias("n"), tag(F.col("line")).alias("tag"), "copies", "first")
     return stored(rows, "lines")[0]
 
 
