@@ -283,10 +283,21 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def drop_near_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(doc_id, text): each text with only those lines that are the first of their class; lines without a word stay."""
-    first = line_classes(docs, edits).where((F.col("doc_id").eqNullSafe(F.col("class_doc_id"))) & (F.col("line_no") == F.col("class_line_no")))
-    kept = first.select("doc_id", "line_no").distinct().withColumn("kept", F.lit(True))
-    each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    bare = ~F.col("line").rlike("[^\\x20\\x09-\\x0D]")
-    rows = each.join(kept, ["doc_id", "line_no"], "left").where(bare | F.col("kept")).groupBy("doc_id")
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """``docs`` with only those lines in each text that are the first of their class; rows and columns stay as they are.
+
+    Rows are told apart by themselves, not by doc_id: rows that share an id, or
+    have none, keep their own texts, and of equal lines in such rows one stays.
+    The first line is that of the smallest doc_id (NULL sorts first), then of
+    the row read first.  Lines without a word stay, NULL texts stay NULL, and a
+    text whose lines are all repeats becomes empty.
+    """
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # written, so a row keeps its number
+    classes = line_classes(numbered.select(F.struct("doc_id", "__row").alias("doc_id"), "text"), edits)
+    place = F.struct(F.col("doc_id.__row"), "line_no")
+    repeats = classes.where(place != F.struct(F.col("class_doc_id.__row"), "class_line_no"))
+    gone = repeats.groupBy(F.col("doc_id.__row").alias("__row")).agg(F.collect_list("line_no").alias("__gone"))  # lines of one text
+    split = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    own = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
+    return numbered.join(gone, "__row", "left").select(*own)

@@ -130,4 +130,17 @@ def test_odd_and_empty_tables(spark, odd, none):
     assert L.line_classes(none).count() == 0
     docs = spark.createDataFrame([(1, "the first line of all\n\nanother line here"), (2, "the first lime of all\nnew words in a line"), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in L.drop_near_lines(docs).collect()}
-    assert got == {1: "the first line of all\n\nanother line here", 2: "new words in a line", 3: ""}
+    assert got == {1: "the first line of all\n\nanother line here", 2: "new words in a line", 3: None}
+
+
+def test_near_lines_are_dropped_by_row(spark, odd, none):
+    """NULL and repeated ids, texts that are repeats as a whole, other columns."""
+    one, two = "a line that comes again and again", "some other words of another line"
+    rows = [(None, f"{one}\nkept without an id", "n"), (5, one, "a"), (5, two, "b"), (6, f"{two}\n\n{one}", "c"), (7, None, "d"), (5, two, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string").coalesce(1)
+    got = sorted((str(r.doc_id), r.text, r.id) for r in L.drop_near_lines(docs).collect() if r.text is not None)
+    assert got == [("5", "", "a"), ("5", "", "e"), ("5", two, "b"), ("6", "", "c"), ("None", f"{one}\nkept without an id", "n")]
+    assert L.drop_near_lines(docs).where("text IS NULL").count() == 1
+    left = L.drop_near_lines(odd)
+    assert left.columns == odd.columns and left.count() == odd.count()
+    assert L.drop_near_lines(none).count() == 0
