@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,9 @@ from riskloom.functions.columns import ratio
 from riskloom.operators.ordering import _ranged, exact_quantiles, global_row_number, quantile_columns
 from riskloom.session import materialise
 
+#: Cells of the grid of ``pareto_front``.
+GRID_CELLS = 4096
+
 
 def union_models(tables: dict[str, DataFrame]) -> DataFrame:
     """Stack model outputs with different columns, tagged with the model name."""
@@ -313,70 +316,62 @@ def pareto_front_2d(df: DataFrame, maximise: str, minimise: str, key: str = "por
     return df.join(keep, [maximise, minimise], "left_semi").select(key, maximise, minimise)
 
 
-def pareto_front(df: DataFrame, objectives: dict[str, bool], key: str = "portfolio_id", batch: int = 200_000) -> DataFrame:
-    """Rows not dominated over any number of objectives (True = maximise); exact.
+def _dominates(better: Sequence[Column], worse: Sequence[Column]) -> Column:
+    """At least as large everywhere and larger somewhere."""
+    every = reduce(lambda x, y: x & y, [a >= b for a, b in zip(better, worse)])
+    return every & reduce(lambda x, y: x | y, [a > b for a, b in zip(better, worse)])
 
-    Every partition first drops rows dominated inside it.  The survivors are taken
-    in order of their objective sum, best first: a dominating row always comes
-    earlier, so the undominated rows of the first ``batch`` are final.  They are
-    broadcast (at most ``batch`` rows), remove what they dominate, and the next
-    batch follows until nothing is left.  One round is enough for most fronts.
-    """
-    import numpy as np
 
+def pareto_front(df: DataFrame, objectives: dict[str, bool], key: str = "portfolio_id", cells: int = GRID_CELLS) -> DataFrame:
+    """Rows not dominated over any number of objectives (True = maximise); exact, without fetching rows.
+
+    Points, equal ones once, are put on a grid of at most ``cells`` cells cut at
+    quantiles.  A cell goes as a whole if some point lies in a cell that is
+    higher in every objective; in the others the best points by sum and by each
+    objective remove what they dominate.  The grid is fitted anew to what is left
+    as long as that halves it.  The rest is compared exactly, each point with
+    the cells that are nowhere lower.  Tables of cells are bounded by the grid,
+    so only they are joined by inequality.  Rows without a value are left out.
+    """
     cols = list(objectives)
-    signs = np.array([1.0 if objectives[c] else -1.0 for c in cols])
+    names = [f"__o{k}" for k in range(len(cols))]
     base = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-
-    def skyline(v: np.ndarray) -> np.ndarray:
-        order = np.lexsort((*[-v[:, c] for c in reversed(range(v.shape[1]))], -v.sum(axis=1)))
-        front: list[int] = []
-        for k in order:
-            f = v[front]
-            if not front or not ((f >= v[k]).all(axis=1) & (f > v[k]).any(axis=1)).any():
-                front.append(int(k))
-        return np.array(front, dtype=int)
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for pdf in batches:
-            kept = pdf if kept is None else pd.concat([kept, pdf])
-            kept = kept.iloc[skyline(kept[cols].to_numpy() * signs)]
-        if kept is not None:
-            yield kept
-
-    signed = [F.col(c) if objectives[c] else -F.col(c) for c in cols]
-    total = signed[0]
-    for x in signed[1:]:
-        total = total + x
-    place = F.struct((-total).alias("s"), *[(-x).alias(f"o{k}") for k, x in enumerate(signed)], F.col(key).alias("k"))
-    rest = materialise(base.mapInPandas(local, base.schema).withColumn("place", place), "skyline")
-    finished: DataFrame | None = None
+    base = materialise(base.select("*", *[(F.col(c) if objectives[c] else -F.col(c)).alias(n) for c, n in zip(cols, names)]), "objectives")
+    side = max(s for s in range(1, 65) if s ** len(cols) <= cells)
+    digit = lambda cell, k: F.floor(cell / F.lit(side**k)) % side
+
+    def place(value: Column, cuts: Sequence[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(e) for e in cuts]), lambda e: e <= value)) if cuts else F.lit(0)
+
+    def on_grid(points: DataFrame) -> DataFrame:
+        steps = [k / side for k in range(1, side)] or [0.5]
+        cuts = points.agg(*[F.percentile_approx(n, steps).alias(n) for n in names]).first()  # one row of at most 64 cuts an objective
+        at = [place(F.col(n), (cuts[n] or [])[: side - 1]) * side**k for k, n in enumerate(names)]
+        return points.withColumn("__cell", reduce(lambda x, y: x + y, at))
+
+    def without_dominated_cells(points: DataFrame) -> DataFrame:
+        point, total = F.struct(*names), reduce(lambda x, y: x + y, [F.col(n) for n in names])
+        best = materialise(points.groupBy("__cell").agg(F.array(*[F.max_by(point, F.struct(x, total)) for x in [total, *map(F.col, names)]]).alias("__best")), "cells")
+        higher = reduce(lambda x, y: x & y, [digit(F.col("h.__cell"), k) > digit(F.col("c.__cell"), k) for k in range(len(cols))])
+        open_cells = best.alias("c").join(F.broadcast(best.select("__cell").alias("h")), higher, "left_anti")
+        worse = F.exists("__best", lambda b: _dominates([b[n] for n in names], [F.col(n) for n in names]))
+        return points.join(F.broadcast(open_cells), "__cell").where(~worse).select(*names, "__cell")
+
+    points = materialise(base.select(*names).distinct(), "points")
+    size = points.count()
     while True:
-        head = rest.orderBy("place").limit(batch).select(*cols, "place").toArrow().to_pandas()  # at most one batch
-        if head.empty:
-            break
-        v = head[cols].to_numpy(dtype=float) * signs
-        shared = df.sparkSession.sparkContext.broadcast(v[skyline(v)])
-
-        def undominated(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            f = shared.value
-            for pdf in batches:
-                keep = [not ((f >= x).all(axis=1) & (f > x).any(axis=1)).any() for x in pdf[cols].to_numpy() * signs]
-                yield pdf[keep]
-
-        last = head["place"].iloc[-1]
-        end = F.struct(*[F.lit(float(x) if n != "k" else x).alias(n) for n, x in last.items()])
-        done = F.col("place") <= end
-        left = rest.withColumn("done", done)
-        flat = left.select(key, *cols, "done")
-        kept = materialise(flat.mapInPandas(undominated, flat.schema).withColumn("place", place), "skyline")
-        part = kept.filter("done").select(*base.columns)
-        finished = part if finished is None else finished.unionByName(part)
-        if len(head) < batch:
+        points = materialise(without_dominated_cells(on_grid(points.select(*names))), "points")
+        before, size = size, points.count()
+        if 2 * size > before or not size:
             break
-        rest = kept.filter("NOT done").drop("done")
-    return finished if finished is not None else base.limit(0)
+    own = materialise(points.select("__cell").distinct(), "cells")
+    nowhere_lower = reduce(lambda x, y: x & y, [digit(F.col("h.__cell"), k) >= digit(F.col("c.__cell"), k) for k in range(len(cols))])
+    meet = materialise(own.alias("c").join(F.broadcast(own.alias("h")), nowhere_lower).select(F.col("c.__cell").alias("__cell"), F.col("h.__cell").alias("__higher")), "meet")
+    other = points.toDF(*[f"{n}_h" for n in names], "__higher_cell")
+    dominated = points.join(meet, "__cell").join(
+        other, (F.col("__higher") == F.col("__higher_cell")) & _dominates([F.col(f"{n}_h") for n in names], [F.col(n) for n in names]), "left_semi")
+    front = points.select(*names).join(dominated.select(*names).distinct(), names, "left_anti")
+    return base.join(front, names, "left_semi").select(key, *cols)
 
 
 def quartile_dominance(df: DataFrame, objectives: dict[str, bool], tool: str = "tool_name") -> DataFrame:

@@ -145,9 +145,14 @@ def test_pareto_fronts_match_brute_force(spark):
     df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(v)], "portfolio_id long, a double, b double, c double")
     s = v * np.array([1, -1, 1])
     brute = lambda m: {k for k in range(len(m)) if not ((m >= m[k]).all(axis=1) & (m > m[k]).any(axis=1)).any()}
-    for batch in (7, 100_000):
-        got = [r.portfolio_id for r in compare.pareto_front(df, {"a": True, "b": False, "c": True}, batch=batch).collect()]
+    up = {"a": True, "b": False, "c": True}
+    for cells in (1, 64, compare.GRID_CELLS):
+        got = [r.portfolio_id for r in compare.pareto_front(df, up, cells=cells).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(s)
+    flat = np.column_stack([v[:, 0], v[:, 0] + v[:, 1], -v[:, 1]])  # none dominates another but by ties: almost all stay
+    flat_df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(flat)] + [(900, None, 0.0, 0.0)], df.schema)
+    assert {r.portfolio_id for r in compare.pareto_front(flat_df, up).collect()} == brute(flat * np.array([1, -1, 1]))
+    assert compare.pareto_front(df.limit(0), up).count() == 0
     two = {r.portfolio_id for r in compare.pareto_front_2d(df, "a", "b").collect()}
     assert two == brute(s[:, :2])
 
