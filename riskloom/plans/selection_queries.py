@@ -433,6 +433,14 @@ def posterior_portfolio_metrics(spark, sf):
     return portfolio.expand_from_sets(sets, per_set)
 
 
+@query("posterior_year_slices", "T8")
+def posterior_year_slices(spark, sf):
+    """Portfolio of the actual posterior against those of the prior and the market, per asset set and year."""
+    r, cov, w, market, prior, views = bl_inputs(spark, sf)
+    sets = materialise(portfolio.set_dictionary(portfolio.asset_sets(w)), "sets")
+    return bl.posterior_slices(sets, r, cov, prior, views, market, "year", WEEKS)
+
+
 @query("benchmark_year_slices", "T8", """
     SELECT portfolio_id, CAST(year(date) AS VARCHAR) AS slice, avg(p - m) * 52 AS active_return_vs_market, stddev_samp(p - m) * sqrt(52) AS tracking_error_vs_market,
            avg(p - m) * 52 / nullif(stddev_samp(p - m) * sqrt(52), 0) AS information_ratio_vs_market, avg(p - e) * 52 AS active_return_vs_prior,

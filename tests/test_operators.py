@@ -229,6 +229,44 @@ def test_equal_risk_and_posterior(spark, panel):
     assert post["all"].posterior_variance == pytest.approx(list(np.diag(s + mm)))
 
 
+def test_posterior_slices_match_numpy(spark, panel):
+    rets, m = panel
+    names = ["X0", "X1", "X2", "X3"]
+    cov, s = factors.sample_covariance(rets), np.cov(m.T)
+    market = spark.createDataFrame(list(zip(names, [0.4, 0.3, 0.2, 0.1])), "asset string, w double")
+    pi = np.array([0.01, 0.02, 0.03, 0.04])
+    prior = spark.createDataFrame(list(zip(names, map(float, pi))), "asset string, pi double")
+    views = spark.createDataFrame([("v1", "X0", 1.0, 0.05, 0.5)], "view_id string, asset string, p double, q double, confidence double")
+    sets = spark.createDataFrame([("all", names), ("unseen", ["X1", "X3"])], "set_id string, assets array<string>")
+    tau = 0.025
+
+    def weights(at, view):
+        c, mu = s[np.ix_(at, at)], pi[at]
+        mm = tau * c
+        if view:
+            p = np.array([1.0] + [0.0] * (len(at) - 1))
+            om = tau * p @ c @ p
+            inv = np.linalg.inv
+            mm = inv(inv(tau * c) + np.outer(p, p) / om)
+            mu = mm @ (inv(tau * c) @ mu + p * 0.05 / om)
+        raw = np.maximum(np.linalg.inv(c + mm) @ mu, 0)
+        return raw / raw.sum()
+
+    dates = sorted(r.date for r in rets.select("date").distinct().collect())
+    for slice_type, key in (("year", lambda x: str(x.year)), ("quarter", lambda x: f"{x.year}Q{(x.month + 2) // 3}")):
+        got = {(r.set_id, r.slice): r for r in black_litterman.posterior_slices(sets, rets, cov, prior, views, market, slice_type, 52).collect()}
+        assert {k[1] for k in got} == {key(x) for x in dates} and len(got) == 2 * len({key(x) for x in dates})
+        for (name, period), r in got.items():
+            at = [0, 1, 2, 3] if name == "all" else [1, 3]
+            rows = m[[key(x) == period for x in dates]]
+            own, plain = rows[:, at] @ weights(at, name == "all"), rows[:, at] @ weights(at, False)
+            for d, bench in ((own - plain, "prior"), (own - rows @ [0.4, 0.3, 0.2, 0.1], "market")):
+                assert r[f"active_return_vs_{bench}"] == pytest.approx(d.mean() * 52, abs=1e-12)
+                if len(d) > 1:
+                    assert r[f"tracking_error_vs_{bench}"] == pytest.approx(d.std(ddof=1) * 52**0.5, abs=1e-12)
+        assert any(abs(r.active_return_vs_prior) > 1e-6 for k, r in got.items() if k[0] == "all")
+
+
 def test_scenarios_are_reproducible(spark, panel):
     rets, m = panel
     w = rolling.latest_per_key(rolling.window_arrays(rets, 30), ["asset"]).drop("current")
