@@ -212,12 +212,18 @@ def tool_checks(df: DataFrame, expected: Sequence[str]) -> DataFrame:
 # --- rankings ----------------------------------------------------------------------------
 
 
-def top_and_tail(df: DataFrame, metric: str, k: int, key: str = "portfolio_id") -> DataFrame:
-    """The k best and k worst rows by a metric, ranked; each side is a distributed top-k."""
+def top_and_tail(df: DataFrame, metric: str, k: int, key: str = "portfolio_id", digits: int = 9) -> DataFrame:
+    """The k best and k worst rows by a metric, ranked; each side is a distributed top-k.
+
+    Rows are ordered by the metric at ``digits`` decimals, then by key: beyond
+    that, portfolios with equal holdings differ by the order their trades were
+    summed in, which must not decide a rank.  A row without the metric comes last.
+    """
     w = Window.partitionBy("side")
-    top = df.select(key, metric).orderBy(F.desc(metric), key).limit(k).withColumn("side", F.lit("top")).withColumn("o", -F.col(metric))
-    tail = df.select(key, metric).orderBy(F.asc(metric), key).limit(k).withColumn("side", F.lit("tail")).withColumn("o", F.col(metric))
-    return top.unionByName(tail).withColumn("rank", F.row_number().over(w.orderBy("o", key))).drop("o")
+    rows = df.select(key, metric, F.round(metric, digits).alias("o"))
+    top = rows.orderBy(F.desc("o"), key).limit(k).withColumn("side", F.lit("top")).withColumn("o", -F.col("o"))
+    tail = rows.orderBy(F.asc_nulls_last("o"), key).limit(k).withColumn("side", F.lit("tail"))
+    return top.unionByName(tail).withColumn("rank", F.row_number().over(w.orderBy(F.asc_nulls_last("o"), key))).drop("o")
 
 
 def top_k_per_tool(df: DataFrame, metrics: dict[str, bool], k: int, tool: str = "tool_name", key: str = "portfolio_id") -> DataFrame:

@@ -377,3 +377,14 @@ def test_a_missing_component_is_the_worst(spark):
     ranked, _ = compare.rank_portfolios(table, {"gain": (0.5, True), "risk": (0.5, False)})
     score = {r.portfolio_id: r.score for r in ranked.collect()}
     assert score == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0}
+
+
+def test_top_and_tail_breaks_ties_of_equal_portfolios_by_key(spark):
+    from riskloom.operators import compare
+
+    # Copies of one portfolio whose metric differs in its last bits only, by the order of summation.
+    noisy = [(k, 0.5 + (5 - k) * 2.0 ** -52) for k in range(6)] + [(10, 0.25), (11, 0.75 - 2.0 ** -53), (12, 0.75), (13, None)]
+    df = spark.createDataFrame(noisy, "portfolio_id long, sharpe_ratio double")
+    got = {(r["side"], r["rank"]): r["portfolio_id"] for r in compare.top_and_tail(df, "sharpe_ratio", 4).collect()}
+    assert [got[("top", k)] for k in range(1, 5)] == [11, 12, 0, 1]
+    assert [got[("tail", k)] for k in range(1, 5)] == [10, 0, 1, 2]
