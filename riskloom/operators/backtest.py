@@ -73,9 +73,13 @@ def _transition_counts() -> list[Column]:
 def accuracy(flagged: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Hit rate, violation ratio, coverage and independence tests and zone, one row per key."""
     prev = F.lag("violation").over(Window.partitionBy(*keys).orderBy("date"))
-    g = flagged.withColumn("prev", prev).groupBy(*keys).agg(
+    return coverage_tests(flagged.withColumn("prev", prev).groupBy(*keys).agg(
         F.count("*").alias("total_observations"), F.count_if("violation").alias("num_violations"), *_transition_counts()
-    )
+    ))
+
+
+def coverage_tests(g: DataFrame) -> DataFrame:
+    """The tests of ``accuracy`` from counts of observations, violations and transitions."""
     n, x = F.col("total_observations"), F.col("num_violations")
     p = 1 - F.col("confidence_level")
     out = (
