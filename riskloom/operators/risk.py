@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import constants as K
 from riskloom.functions.columns import fan_out, horizon_scale, literal_rows
+from riskloom.operators import paths
 from riskloom.operators.rolling import ewma_next_variance, rolling_moments, window_arrays
+from riskloom.session import MAX_INLINE_CELLS
 
 
 def normal_grid(confidence: Sequence[float], horizons: Sequence[int]) -> Column:
@@ -150,8 +152,11 @@ def tail_mean_of_scores(scores: DataFrame, keys: Sequence[str], alpha: float, sc
     return keep.groupBy(*keys).agg(F.avg(score).alias("tail_mean"), F.count("*").alias("n_tail"))
 
 
-def portfolio_volatility_no_correlation(weights: DataFrame, vols: DataFrame) -> DataFrame:
-    """sqrt(sum w^2 sigma^2) per portfolio and date, on dates complete for its assets."""
+def portfolio_volatility_no_correlation(weights: DataFrame, vols: DataFrame, max_cells: int = MAX_INLINE_CELLS) -> DataFrame:
+    """sqrt(sum w^2 sigma^2) per portfolio and date, on dates complete for its assets; a large panel is joined instead."""
+    squares = paths.inline_panel(vols.select("asset", "date", (F.col("sigma") * F.col("sigma")).alias("s2")), "s2", max_cells)
+    if squares is not None:
+        return paths.root_of_squares(weights.filter("w > 0"), squares)
     held = weights.filter("w > 0").withColumn("held", F.count("*").over(Window.partitionBy("portfolio_id")))
     j = held.join(vols, "asset")
     return j.groupBy("portfolio_id", "date").agg(
