@@ -16,6 +16,7 @@ from riskloom.operators import evt, fidelity, risk, rolling, scenarios, sliding_
 from riskloom.plans.base import CONFIDENCE, DAILY_WINDOWS, HORIZONS, log_returns
 from riskloom.plans.registry import query
 from riskloom.plans.tail_queries import PARAM_DOUBLES, pot_ctes, student_fit_sql, student_risk_sql
+from riskloom.session import materialise
 
 QUANTILES, MIN_EXCEEDANCES = [0.95], 50
 N_SIMS, SEED, BLOCK, DOF, LONGEST = 20_000, 7, 5, 5.0, 10
@@ -95,39 +96,33 @@ def student_var_cvar_daily(spark, sf):
     return volatility.student_var_cvar(student(spark, sf), CONFIDENCE)
 
 
-def method_paths(windows: DataFrame, n_sims: int) -> dict[str, DataFrame]:
-    """Paths of every method from the same windows, one row per simulation."""
+def method_paths(windows: DataFrame, n_sims: int, longest: int = LONGEST) -> dict[str, DataFrame]:
+    """Paths of every method from the same windows, one row per simulation; a longer path begins with the shorter one."""
     sims = scenarios.simulations(windows, n_sims)
     return {
-        "iid": scenarios.iid_paths(sims, LONGEST, SEED), "block": scenarios.block_paths(sims, LONGEST, BLOCK, SEED),
-        "normal": scenarios.normal_paths(sims, LONGEST, SEED), "student": scenarios.student_paths(sims, LONGEST, DOF, SEED),
-        "filtered": scenarios.filtered_paths(windows, n_sims, LONGEST, seed=SEED),
+        "iid": scenarios.iid_paths(sims, longest, SEED), "block": scenarios.block_paths(sims, longest, BLOCK, SEED),
+        "normal": scenarios.normal_paths(sims, longest, SEED), "student": scenarios.student_paths(sims, longest, DOF, SEED),
+        "filtered": scenarios.filtered_paths(windows, n_sims, longest, seed=SEED),
     }
 
 
 def method_sums(windows: DataFrame, n_sims: int, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """(method, asset, date, sim, horizon, total) of all methods."""
-    parts = [scenarios.horizon_sums(p, horizons).withColumn("method", F.lit(m)) for m, p in method_paths(windows, n_sims).items()]
+    parts = [scenarios.horizon_sums(p, horizons).withColumn("method", F.lit(m)) for m, p in method_paths(windows, n_sims, max(horizons)).items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 def generated_samples(spark, sf, n_sims: int = N_SIMS) -> DataFrame:
     """(method, sample, value): daily returns of the latest year of all assets, and one-day draws of each method from it."""
     latest = rolling.latest_per_key(rolling.window_arrays(daily(spark, sf), DAILY_WINDOWS[0]), ["asset"]).drop("current")
+    latest = materialise(latest, "latest-windows")  # one row per asset, read by every method
     drawn = method_sums(latest, n_sims, [1]).select("method", F.lit(fidelity.GENERATED).alias("sample"), F.col("total").alias("value"))
     methods = F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method")
     real = latest.select(methods, "w").select("method", F.lit(fidelity.REAL).alias("sample"), F.explode("w").alias("value"))
     return real.unionByName(drawn)
 
 
-def each_method(measure, spark, sf) -> DataFrame:
-    from riskloom.session import materialise
-
-    samples = materialise(generated_samples(spark, sf), "generated-samples")
-    parts = [measure(samples.where(F.col("method") == m).drop("method")).withColumn("method", F.lit(m)) for m in METHODS]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("generated_sample_distances", "Q1 Q2", digits=7)
 def generated_sample_distances(spark, sf):
-    return each_method(fidelity.distances, spark, sf)
+    samples = materialise(generated_samples(spark, sf), "generated-samples")
+    return fidelity.distances(samples, ["method"]).select("wasserstein", "ks_statistic", "method")
