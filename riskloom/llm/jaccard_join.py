@@ -15,14 +15,14 @@ crowding decides e and the segments (``allocate``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,16 +316,12 @@ def group_edges(live: DataFrame) -> DataFrame:
     return x.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def link_sets(node: list[int], sets: list[np.ndarray], left: list[bool] | None, bands: Bands) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the sets, or between those on the left and the others."""
-    n = np.array([len(t) for t in sets])
-    m = 4 * (bands.differ(2 * int(n.max())) + 1)
-    sketches = np.stack([sketch(t, m) for t in sets])
-    label = np.arange(len(sets))
+def connect(n: np.ndarray, sketches: np.ndarray, left: list[bool] | None, bands: Bands, linked: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Links that connect what is linked among the sets, or between those on the left and the others; sizes and sketches are tried first."""
+    label = np.arange(len(n))
     side = None if left is None else np.array(left)
-    edges = []
-    for i in range(len(sets) - 1):
-        rest = slice(i + 1, len(sets))
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, len(n))
         most = (bands.denominator - bands.numerator) * (n[rest] + n[i]) // (bands.denominator + bands.numerator)
         able = (label[rest] != label[i]) & (bands.denominator * np.minimum(n[rest], n[i]) >= bands.numerator * np.maximum(n[rest], n[i]))
         if side is not None:
@@ -333,29 +329,76 @@ def link_sets(node: list[int], sets: list[np.ndarray], left: list[bool] | None,
         at = np.flatnonzero(able)
         at = at[np.count_nonzero(sketches[i + 1 + at] != sketches[i], axis=1) <= most[at]] + i + 1
         for j in at.tolist():
-            if label[j] == label[i]:
-                continue
-            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if bands.denominator * same >= bands.numerator * (n[i] + n[j] - same):
-                edges.append((node[i], node[j]))
+            if label[j] != label[i] and linked(i, j):
+                yield i, j
                 label[label == label[j]] = label[i]
-    return edges
+
+
+def link_sets(node: list[int], sets: list[np.ndarray], left: list[bool] | None, bands: Bands) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the sets, or between those on the left and the others."""
+    n = np.array([len(t) for t in sets])
+    m = 4 * (bands.differ(2 * int(n.max())) + 1)
+
+    def linked(i: int, j: int) -> bool:
+        same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return bands.denominator * same >= bands.numerator * (n[i] + n[j] - same)
+
+    return [(node[i], node[j]) for i, j in connect(n, np.stack([sketch(t, m) for t in sets]), left, bands, linked)]
+
+
+def link_sketches(found: DataFrame, large: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): links that connect those sets of a group (node, grp) whose sizes and sketches leave a link possible.
+
+    Two sets that link stand in one band at least, so the sets of a group and
+    band meet, in blocks two at a time.  A sketch has about a fortieth of the
+    bytes of its set.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, block = rows["node"].to_pylist(), rows["block"].to_pylist()
+        left = None if rows["low"][0] == rows["high"][0] else [b == rows["low"][0].as_py() for b in block]
+        sketches = np.stack([np.frombuffer(x, np.uint8) for x in rows["s"].to_pylist()])
+        edges = list(connect(rows["n"].to_numpy(), sketches, left, bands, lambda i, j: True))
+        return pa.table({"a": pa.array([node[i] for i, _ in edges], pa.int64()), "b": pa.array([node[j] for _, j in edges], pa.int64())})
+
+    sk = found.where("bands is not null").select("node", "n", F.explode("bands").alias("x")).select("node", "n", F.col("x.band").alias("band"), F.col("x.sketch").alias("s"))
+    sk = materialise(sk.join(large, "node").dropDuplicates(["node", "band"]), "group-sketches")
+    blocks = sk.groupBy("grp", "band").agg(F.ceil(F.sum(F.length("s")) / (8 * BLOCK_TOKENS)).cast("int").alias("blocks"))
+    return in_blocks(sk.join(blocks, ["grp", "band"]), ["grp", "band"], ["node", "n", "s"]).applyInArrow(compare, "a bigint, b bigint")
+
+
+def in_blocks(sets: DataFrame, keys: list[str], columns: list[str]) -> GroupedData:
+    """``sets`` (node, blocks, keys, columns) in groups of two blocks (low, high) each, or of one."""
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = sets.select(*keys, *columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    met = met.select(*keys, *columns, "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    return met.groupBy(*keys, "low", "high")
 
 
 def links(docs: DataFrame, found: DataFrame, nodes: DataFrame, bands: Bands, salt: int) -> DataFrame:
     """Links (a, b) between sets, enough to connect all that are linked.
 
-    What may be linked forms groups; a group is cut into blocks of bounded size
-    by hash, blocks meet two at a time, and a task returns the links that connect
-    its sets, at most one per set.
+    What may be linked forms groups.  Crowded keys, such as those of empty
+    segments, chain sets that have little in common to large groups, so what is
+    larger than a block is first cut to what its sketches leave possible.  A
+    group is then cut into blocks of bounded size by hash, blocks meet two at a
+    time, and a task returns the links that connect its sets, at most one per set.
     """
     spark = docs.sparkSession
     live = candidates(docs, found, bands, salt)
     edges = near_pairs(live, found, bands).unionByName(group_edges(live))
     groups = components(edges).withColumnRenamed("root", "grp")
     member = materialise(nodes.join(groups, "node"), "members")
-    blocks = member.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    member = materialise(member.join(blocks, "grp").select("node", "first_id", "grp", "blocks"), "grouped")
+
+    def sized(member: DataFrame) -> DataFrame:
+        blocks = member.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+        return member.join(blocks, "grp").select("node", "first_id", "n", "grp", "blocks")
+
+    member = materialise(sized(member), "grouped")
+    large = member.where("blocks > 1").select("node", "grp")
+    if not large.isEmpty():
+        parts = components(link_sketches(found, large, bands)).withColumnRenamed("root", "grp")
+        member = materialise(member.where("blocks = 1").unionByName(sized(nodes.join(parts, "node"))), "regrouped")
     ids = materialise(member.select("first_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("first_id")), "left_semi")
@@ -379,10 +422,7 @@ def links(docs: DataFrame, found: DataFrame, nodes: DataFrame, bands: Bands, sal
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     sets = _texts(wanted).mapInArrow(read, "node bigint, tokens binary").join(member.select("node", "grp", "blocks"), "node")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = sets.select("node", "tokens", "grp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    met = met.select("node", "tokens", "grp", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    return met.groupBy("grp", "low", "high").applyInArrow(compare, "a bigint, b bigint")
+    return in_blocks(sets, ["grp"], ["node", "tokens"]).applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:

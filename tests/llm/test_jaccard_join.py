@@ -85,6 +85,23 @@ def test_equals_all_pairs(spark, monkeypatch, crowd, cost, block, num):
     assert bool(used) == (cost > 1)
 
 
+def test_a_crowded_key_does_not_make_unlike_sets_meet_by_their_tokens(spark, monkeypatch):
+    """All sets stand under one key, as those with an empty segment do; whose sketches differ is not read again."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 90)))) for i in range(80)]
+    rows += [(100 + i, " ".join(copies(rng, base, 1))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    both = lambda docs, found, bands, salt: found.select(J.F.lit(1).alias("key"), "node", J.F.explode("bands.band").alias("band"), J.F.lit(True).alias("own"), J.F.lit(len(rows)).alias("c"))
+    monkeypatch.setattr(J, "candidates", both)
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 500)
+    read = []
+    real = J.materialise
+    monkeypatch.setattr(J, "materialise", lambda df, label: read.append(df.count()) or real(df, label) if label == "ids" else real(df, label))
+    assert got(docs) == plain(rows)
+    assert read == [6]
+
+
 def test_table_equals_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(docs) == plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
